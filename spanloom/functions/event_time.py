@@ -20,9 +20,8 @@ def event_us(c: Column) -> Column:
     out = None
     for u in UNITS_PER_S:
         inside = (c >= F.lit(FIRST_S * u)) & (c < F.lit(END_S * u))
-        # whole multiples only: a quotient of the raw value would lose digits beyond 2**53
-        k = F.lit(max(1, u // 1_000_000))
-        us = c * F.lit(1_000_000 // u) if u <= 1_000_000 else ((c - F.pmod(c, k)) / k).cast("bigint")
+        # whole division: a quotient in doubles would lose digits beyond 2**53
+        us = c * F.lit(1_000_000 // u) if u <= 1_000_000 else F.call_function("div", c, F.lit(u // 1_000_000))
         out = F.when(inside, us) if out is None else out.when(inside, us)
     return out
 

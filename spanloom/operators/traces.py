@@ -13,5 +13,5 @@ def counting_rows(traces: DataFrame, *cols: str) -> DataFrame:
 
     Rows without a trace id count for nothing; rows tied at the latest instant resolve to the greatest content."""
     th, tl = trace_bits(F.col("trace_id"))
-    best = F.max(F.struct(F.col("created_at"), *cols)).alias("r")
-    return traces.select(th.alias("th"), tl.alias("tl"), "created_at", *cols).filter("th is not null").groupBy("th", "tl").agg(best).select("th", "tl", *[f"r.{c}" for c in cols])
+    rows = traces.select(th.alias("th"), tl.alias("tl"), F.struct(F.col("created_at").alias("_at"), *cols).alias("r")).filter("th is not null")
+    return rows.groupBy("th", "tl").agg(F.max("r").alias("r")).select("th", "tl", *[f"r.{c}" for c in cols])
