@@ -16,28 +16,42 @@ from pyspark.sql import functions as F
 TRACE_DIGITS, SPAN_DIGITS = 32, 16
 
 
-def _digits(c: Column) -> Column:
-    """The digits without leading zeros; null where there are none at all."""
+def _text(c: Column, width: int) -> Column:
+    """``width`` hexadecimal digits of either case, or null. Well-formed text takes the short way, without a pattern."""
     raw = F.regexp_replace(c, r"^[\s\p{Z}]*0[xX]|[\s\p{Z}\-]", "")
-    return F.when(raw != "", F.ltrim(raw, F.lit("0")))
+    digits = F.ltrim(raw, F.lit("0"))
+    padded = F.lpad(digits, width, "0")
+    mended = F.when((raw != "") & (F.length(digits) <= width) & F.unhex(padded).isNotNull(), padded)
+    return F.when((F.length(c) == width) & F.unhex(c).isNotNull(), c).otherwise(mended)
+
+
+def trace_text(c: Column) -> Column:
+    """32 hexadecimal digits of a trace id, of either case; null where it is none."""
+    return _text(c, TRACE_DIGITS)
+
+
+def span_text(c: Column) -> Column:
+    """16 hexadecimal digits of a span id, of either case; null where it is none."""
+    return _text(c, SPAN_DIGITS)
 
 
 def _bits(digits: Column) -> Column:
     return F.conv(digits, 16, -10).cast("bigint")
 
 
+def text_bits(c: Column) -> tuple[Column, Column]:
+    """High and low 64 bits of what ``trace_text`` returned."""
+    return _bits(F.substring(c, 1, 16)), _bits(F.substring(c, 17, 16))
+
+
 def trace_bits(c: Column) -> tuple[Column, Column]:
     """High and low 64 bits of a trace id; both null where it is none."""
-    d = _digits(c)
-    ok = d.rlike(r"^[0-9a-fA-F]{0,32}$")
-    p = F.lpad(d, TRACE_DIGITS, "0")
-    return F.when(ok, _bits(F.substring(p, 1, 16))), F.when(ok, _bits(F.substring(p, 17, 16)))
+    return text_bits(trace_text(c))
 
 
 def span_bits(c: Column) -> Column:
     """The 64 bits of a span id; null where it is none."""
-    d = _digits(c)
-    return F.when(d.rlike(r"^[0-9a-fA-F]{0,16}$"), _bits(F.lpad(d, SPAN_DIGITS, "0")))
+    return _bits(span_text(c))
 
 
 def parent_bits(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.event_time import event_us
-from spanloom.functions.ids import parent_bits, span_bits, trace_bits
+from spanloom.functions.ids import span_text, text_bits, trace_text
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,16 +18,14 @@ def usable_spans(spans: DataFrame, *extra: str) -> DataFrame:
     root), ``event_us`` and ``arrival``, then the columns named in ``extra`` as they are.
 
     Rows without one of the two ids (null, blank, no hexadecimal number) are unusable and left out."""
-    th, tl = trace_bits(F.col("trace_id"))
-    return spans.select(
-        th.alias("th"),
-        tl.alias("tl"),
-        span_bits(F.col("span_id")).alias("s"),
-        parent_bits(F.col("parent_id")).alias("p"),
-        event_us(F.col("start_time")).alias("event_us"),
-        F.col("arrival").cast("bigint").alias("arrival"),
-        *extra,
-    ).filter("th is not null and s is not null")
+    # texts first, then numbers: each text is mended once, not once per use
+    texts = spans.select(
+        trace_text(F.col("trace_id")).alias("_t"), span_text(F.col("span_id")).alias("_s"), span_text(F.col("parent_id")).alias("_p"),
+        event_us(F.col("start_time")).alias("event_us"), F.col("arrival").cast("bigint").alias("arrival"), *extra,
+    ).filter("_t is not null and _s is not null")
+    th, tl = text_bits(F.col("_t"))
+    bits = texts.select(th.alias("th"), tl.alias("tl"), F.conv("_s", 16, -10).cast("bigint").alias("s"), F.conv("_p", 16, -10).cast("bigint").alias("p"), "event_us", "arrival", *extra)
+    return bits.withColumn("p", F.nullif("p", F.lit(0)))
 
 
 def valid_edges(usable: DataFrame) -> DataFrame:
