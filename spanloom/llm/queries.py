@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import logsketch, mojibake, packing, topn, treebpe
-from spanloom.sources.tables import table
+from spanloom.operators.dedup import one_copy_each
+from spanloom.operators.traces import counting_rows
+from spanloom.sources.tables import table, usable_spans
 from spanloom.workdir import new_path
 
 QS = [0.25, 0.5, 0.75, 0.9, 0.99]
@@ -16,11 +18,13 @@ N = 5
 
 
 def _durations(spark: SparkSession, d: str) -> DataFrame:
-    """``kind, key, day, value`` of both columns; the day is that of the arrival or of ``created_at``."""
-    spans = table(spark, d, "spans").select(
-        F.lit("service_name").alias("kind"), F.col("service_name").alias("key"), F.to_date(F.timestamp_micros("arrival")).alias("day"), F.col("duration").alias("value")
-    )
-    traces = table(spark, d, "traces").select(F.lit("fingerprint").alias("kind"), F.col("fingerprint").alias("key"), F.to_date("created_at").alias("day"), F.col("duration_us").alias("value"))
+    """``kind, key, day, value`` of both columns: each span once by its valid copy, each trace once by the row that counts.
+
+    The day is that of the copy's arrival or of ``created_at``. Unusable rows belong to no span."""
+    copies = one_copy_each(usable_spans(table(spark, d, "spans"), "service_name", "duration"))
+    spans = copies.select(F.lit("service_name").alias("kind"), F.col("service_name").alias("key"), F.to_date(F.timestamp_micros("arrival")).alias("day"), F.col("duration").alias("value"))
+    rows = counting_rows(table(spark, d, "traces"), "fingerprint", "duration_us", "created_at")
+    traces = rows.select(F.lit("fingerprint").alias("kind"), F.col("fingerprint").alias("key"), F.to_date("created_at").alias("day"), F.col("duration_us").alias("value"))
     return spans.unionByName(traces)
 
 
@@ -91,7 +95,10 @@ QUERIES = {f.__name__: f for f in (p2_percentiles, p2_from_days, p6_found, p6_ra
 
 _G = (1 + logsketch.ALPHA) / (1 - logsketch.ALPHA)
 _SKETCH = f"""
-WITH x AS (SELECT 'service_name' AS kind, service_name AS key, CAST(duration AS DOUBLE) AS v FROM spans UNION ALL SELECT 'fingerprint', fingerprint, CAST(duration_us AS DOUBLE) FROM traces),
+WITH u AS (SELECT lpad(lower(ltrim(regexp_replace(regexp_replace(trace_id, '^\\s*0[xX]', ''), '[\\s-]', '', 'g'), '0')), 32, '0') AS t, lpad(lower(ltrim(regexp_replace(regexp_replace(span_id, '^\\s*0[xX]', ''), '[\\s-]', '', 'g'), '0')), 16, '0') AS s, *
+           FROM spans WHERE trim(coalesce(trace_id, '')) <> '' AND trim(coalesce(span_id, '')) <> ''),
+x AS (SELECT 'service_name' AS kind, service_name AS key, CAST(duration AS DOUBLE) AS v FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY t, s ORDER BY arrival DESC) = 1)
+      UNION ALL SELECT 'fingerprint', fingerprint, CAST(duration_us AS DOUBLE) FROM (SELECT * FROM traces QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY created_at DESC) = 1)),
 b AS (SELECT kind, key, sign(v) AS s, CASE WHEN v = 0 THEN 0 ELSE ceil(ln(abs(v)) / {math.log(_G)!r}) END AS i, count(*) AS n FROM x WHERE v IS NOT NULL GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY kind, key ORDER BY s, s * i ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY kind, key) AS total FROM b),
 q AS (SELECT unnest({QS}::DOUBLE[]) AS q)
