@@ -65,11 +65,15 @@ def _drop_all() -> None:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` in bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes that the plan of ``df`` reads: the sum over its leaves.
 
+    Estimates further up multiply over joins; leaves of unknown size (local data, RDDs) count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
 
-def partitions_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
+
+def partitions_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     """Shuffle partitions for ``df``: the session's number, or more where a part would exceed ``bytes_each``."""
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(base, min(200_000, -(-plan_bytes(df) // bytes_each)))
