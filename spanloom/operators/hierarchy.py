@@ -232,5 +232,5 @@ def descendants(nodes: DataFrame) -> DataFrame:
     return (
         nodes.filter("path is not null and depth > 0")
         .select(trace_hex(F.col("th"), F.col("tl")).alias("trace_id"), span_hex(F.col("s")).alias("span_id"), F.col("depth"), F.posexplode(F.slice(ids, 1, F.col("depth"))).alias("at", "ancestor_id"))
-        .select("trace_id", "ancestor_id", "span_id", (F.col("depth") - F.col("at")).alias("distance"))
+        .select("trace_id", "ancestor_id", "span_id", (F.col("depth") - F.col("at")).cast("bigint").alias("distance"))
     )

@@ -119,7 +119,7 @@ def s1(s, d):
     path = new_path(s, "sse")
     ev.select(F.pmod("batch_id", F.lit(97)).alias("part"), "value").write.partitionBy("part").option("lineSep", "\u001e").text(path)
     back = s.read.option("lineSep", "\u001e").text(path)
-    return back.groupBy("part").agg(F.lit(0)).select("part").join(_parsed_parts(back), "part")
+    return _parsed_parts(back).withColumn("part", F.col("part").cast("bigint"))
 
 
 def _parsed_parts(back: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def p1(s, d):
     return spans(s, d).select("trace_id", "span_id", "parent_id", "operation_name", "start_time", "duration", "service_name")
 
 
-@query("ref_p2_known_tags", "SELECT trace_id, span_id, arrival, tags['http.method'] AS method, tags['http.status_code'] AS code, tags['error'] AS error, coalesce(cardinality(tags), 0) AS n FROM spans")
+@query("ref_p2_known_tags", "SELECT trace_id, span_id, arrival, tags['http.method'] AS method, tags['http.status_code'] AS code, tags['error'] AS error, CAST(coalesce(cardinality(tags), 0) AS BIGINT) AS n FROM spans")
 def p2(s, d):
     t = F.col("tags")
     return _raw(s, d).select("trace_id", "span_id", "arrival", t["http.method"].alias("method"), t["http.status_code"].alias("code"), t["error"].alias("error"), F.coalesce(F.size("tags"), F.lit(0)).cast("bigint").alias("n"))
