@@ -13,6 +13,7 @@ characters were lost (U+FFFD) or control characters of the C1 range are left. Wh
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import html
 import re
@@ -20,6 +21,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Encodings that text is read in by mistake, and those that it was written in.
-SINGLE = ("latin_1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859_2", "iso8859_5", "iso8859_7", "iso8859_15", "koi8_r", "cp437", "cp850", "cp852", "cp866", "cp737", "mac_roman", "mac_cyrillic")
+SINGLE = ("cp1252", "latin_1", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859_2", "iso8859_5", "iso8859_7", "iso8859_15", "koi8_r", "cp437", "cp850", "cp852", "cp866", "cp737", "mac_roman", "mac_cyrillic")
 MULTI = ("gbk", "cp932", "euc_jp", "big5")
 
 #: Bits that a word must save to count as garbled: bytes that are valid UTF-8 hardly come by chance, other steps more easily.
@@ -46,9 +48,10 @@ def _chars(enc: str) -> list[str]:
 
 
 TO_BYTE = {e: {c: i for i, c in reversed(list(enumerate(_chars(e))))} for e in SINGLE}
-#: Characters to a latin-1 text of their bytes; what the encoding lacks becomes U+2603, which is no byte.
-_AS_BYTES = {e: {ord(c): i for c, i in t.items() if i > 127 or ord(c) > 127} for e, t in TO_BYTE.items()}
-_FROM_BYTE = {e: _chars(e) for e in SINGLE}
+#: Characters to a latin-1 text of their bytes; Latin-1 characters that the encoding lacks become U+2603, which is no byte.
+_AS_BYTES = {e: dict.fromkeys(range(128, 256), 0x2603) | {ord(c): i for c, i in t.items() if i > 127 or ord(c) > 127} for e, t in TO_BYTE.items()}
+_FROM_BYTE = {e: "".join(_chars(e)) for e in SINGLE}
+_ANY_SINGLE = frozenset(c for t in TO_BYTE.values() for c in t if ord(c) > 127)
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 _DIGITS = str.maketrans("123456789", "000000000")
 _WORD = re.compile(r"[^\t-\r ]+")
@@ -93,20 +96,15 @@ class Model:
         self.known: dict[str, float] = {}
 
     def pair(self, p: str) -> float:
-        """Bits of a pair; one with capitals may count as its lower case, at a price."""
+        """Bits of a pair; capitals count as their lower case, other than after a small letter, where they do not belong."""
         own = self.bits.get(p, self.unseen)
         low = p.lower()
-        return own if low == p else min(own, self.bits.get(low, self.unseen) + 2)
+        return own if low == p or p[0].islower() else min(own, self.bits.get(low, self.unseen) + 0.5)
 
     def each(self, text: str) -> list[float]:
+        t = f" {text} ".translate(_DIGITS)
         known = self.known
-        out = []
-        for p in pairs(text):
-            b = known.get(p)
-            if b is None:
-                b = known[p] = self.pair(p)
-            out.append(b)
-        return out
+        return [known[p] if p in known else known.setdefault(p, self.pair(p)) for p in map(add, t, t[1:])]
 
     def cost(self, text: str) -> float:
         return sum(self.each(text))
@@ -128,29 +126,21 @@ def _steps(word: str) -> tuple[tuple[str, str], ...]:
     high = _HIGH.findall(word)
     if not high:
         return tuple(out.items())
-    for enc in SINGLE:
-        table = _AS_BYTES[enc]
-        fit_all = True
-        low = []
-        for c in word:
-            o = ord(c)
-            x = o if o < 128 else table.get(o, 0x2603)
-            fit_all &= x != 0x2603
-            low.append(chr(x))
-        mapped = "".join(low)
+    for enc in SINGLE if not _ANY_SINGLE.isdisjoint(high) else ():
+        mapped = word.translate(_AS_BYTES[enc])
         parts, last = [], 0
         for m in _UTF8.finditer(mapped):
             parts += [word[last : m.start()], m.group().encode("latin_1").decode("utf-8")]
             last = m.end()
         if parts:
             out.setdefault("".join(parts) + word[last:], f"{enc}>utf-8")
-        if not fit_all:
+        try:
+            raw = mapped.encode("latin_1")
+        except UnicodeEncodeError:
             continue
-        raw = mapped.encode("latin_1")
         for other in SINGLE:
             if other != enc:
-                chars = _FROM_BYTE[other]
-                out.setdefault("".join([chars[b] for b in raw]), f"{enc}>{other}")
+                out.setdefault(codecs.charmap_decode(raw, "strict", _FROM_BYTE[other])[0], f"{enc}>{other}")
         if len(high) > 1:
             for other in MULTI:
                 try:
@@ -217,17 +207,20 @@ class Repairer:
             return False
         if kind == "utf-8":
             return True
-        return self._plausible(word, best, kind)
+        return self._plausible(word, best, kind, len(steps))
 
-    def _plausible(self, word: str, best: str, kind: str) -> bool:
+    def _plausible(self, word: str, best: str, kind: str, steps: int = 1) -> bool:
         if kind == "single":
-            if sum(c.isalpha() for c in best) < 2:
+            # a lone sign tells nothing; a unit of one letter and a sign does, by one step
+            if sum(c.isalpha() for c in best) < 2 and not (steps == 1 and any(c.isascii() and c.isalpha() for c in word)):
                 return False
             # a sign after a word is no letter of it
             if len(word) == len(best) and word[:-1] == best[:-1] and unicodedata.category(word[-1])[0] in "PS" and best[-1].isalpha():
                 return False
         odd = [b >= 0.85 * self.model.unseen for b in self.model.each(best)]
         if kind == "multi":
+            if len(_HIGH.findall(word)) < 2 or len(word) < 3:
+                return False
             return sum(odd) <= 0.1 * len(odd) and ("\ufffd" in word or "\ufffd" not in best)
         return not any(odd)
 
@@ -258,7 +251,7 @@ class Repairer:
         words = [(m.start(), m.end(), *self.word(m.group())) for m in _WORD.finditer(text) if not m.group().isascii() or "&" in m.group()]
         weak: dict[tuple[str, ...], dict[str, float]] = {}
         for a, b, best, saved, steps, sure in words:
-            if not sure and saved >= WEAK and _kind(steps) == "single" and any(">" in x for x in steps) and self._plausible(text[a:b], best, "single"):
+            if not sure and saved >= WEAK and _kind(steps) == "single" and any(">" in x for x in steps) and self._plausible(text[a:b], best, "single", len(steps)):
                 weak.setdefault(steps, {})[text[a:b]] = saved
         joint = {k for k, w in weak.items() if len(w) > 1 and sum(w.values()) >= TOGETHER}
         garbled, out, last = False, [], 0
