@@ -33,9 +33,11 @@ SINGLE = ("cp1252", "latin_1", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859_
 MULTI = ("gbk", "cp932", "euc_jp", "big5")
 
 #: Bits that a word must save to count as garbled: bytes that are valid UTF-8 hardly come by chance, other steps more easily.
-MARGIN = {"utf-8": 6.0, "single": 10.0, "multi": 14.0}
+MARGIN = {"utf-8": 5.0, "single": 8.0, "multi": 12.0}
 #: A word mended by single-byte steps that saves at least WEAK counts towards TOGETHER with others of the same steps.
-WEAK, TOGETHER = 8.0, 14.0
+WEAK, TOGETHER = 6.0, 12.0
+#: Bits that a step must be worth.
+STEP_PRICE = 2.0
 #: Pairs kept in the model: the most frequent ones; the others count as unseen.
 MODEL_PAIRS = 400_000
 MAX_BITS = 14.0
@@ -191,7 +193,7 @@ class Repairer:
             for t, name in _steps(text):
                 if t not in seen:
                     seen.add(t)
-                    tc = cost(t)
+                    tc = cost(t) + STEP_PRICE * (len(steps) + 1)
                     if tc < c:
                         heapq.heappush(heap, (tc, t, (*steps, name)))
         return best, first - best_cost, best_steps
@@ -201,12 +203,22 @@ class Repairer:
         odd = [i for i, b in enumerate(self.model.each(word)) if b > 0.75 * self.model.unseen]
         return (max(0, odd[0] - 1), min(len(word), odd[-1] + 1)) if odd else None
 
+    def _clean_script(self, word: str) -> bool:
+        """Whether a run of ideographs or kana has no place that could be garbled: nearly none of its characters are in a single-byte
+        encoding, and no three implausible pairs lie together. A rare character gives two; what other steps garble gives more."""
+        high = _HIGH.findall(word)
+        if len(word) <= 12 or "\ufffd" in word or 4 * sum(c in _ANY_SINGLE for c in high) > len(high):
+            return False
+        odd = [i for i, b in enumerate(self.model.each(word)) if b > 0.75 * self.model.unseen]
+        return not any(c - a <= 4 for a, c in zip(odd, odd[2:]))
+
     def _sure(self, word: str, best: str, saved: float, steps: tuple[str, ...]) -> bool:
         """Whether a cheaper word tells that the one given is garbled."""
         if not any(">" in x for x in steps) or saved < MARGIN[kind := _kind(steps)]:
             return False
-        if kind == "utf-8":
+        if kind == "utf-8" and not any(x.partition(">")[0] in MULTI for x in steps):
             return True
+        kind = "multi" if kind == "utf-8" else kind
         return self._plausible(word, best, kind, len(steps))
 
     def _plausible(self, word: str, best: str, kind: str, steps: int = 1) -> bool:
@@ -227,6 +239,8 @@ class Repairer:
     def word(self, word: str) -> tuple[str, float, tuple[str, ...], bool]:
         """Repaired word, bits saved, steps, garbled or not."""
         got = self.found.get(word)
+        if got is None and self._clean_script(word):
+            return word, 0.0, (), False
         if got is None:
             best, saved, steps = self._search(word)
             sure = self._sure(word, best, saved, steps)
@@ -236,8 +250,11 @@ class Repairer:
                     for y in range(max(x + 1, b - 2), min(len(word), b + 1) + 1):
                         if (x, y) != (0, len(word)) and y - x > 1:
                             mid, s, e = self._search(word[x:y])
-                            if s > saved + 2 and self._sure(word[x:y], mid, s, e):
-                                best, saved, steps, sure = word[:x] + mid + word[y:], s, e, True
+                            if e and self._sure(word[x:y], mid, s, e):
+                                whole = word[:x] + mid + word[y:]
+                                gain = self.model.cost(word) - self.model.cost(whole) - STEP_PRICE * len(e)
+                                if gain > saved + 2:
+                                    best, saved, steps, sure = whole, gain, e, True
             got = (best, saved, steps, sure)
             if len(self.found) > 200_000:
                 self.found.clear()
@@ -254,9 +271,11 @@ class Repairer:
             if not sure and saved >= WEAK and _kind(steps) == "single" and any(">" in x for x in steps) and self._plausible(text[a:b], best, "single", len(steps)):
                 weak.setdefault(steps, {})[text[a:b]] = saved
         joint = {k for k, w in weak.items() if len(w) > 1 and sum(w.values()) >= TOGETHER}
+        # words too short to tell by themselves follow the steps that mended others of the text
+        agreed = {steps for *_, steps, sure in words if sure}
         garbled, out, last = False, [], 0
-        for a, b, best, _, steps, sure in words:
-            if sure or (steps in joint and text[a:b] in weak[steps]):
+        for a, b, best, saved, steps, sure in words:
+            if sure or (steps in joint and text[a:b] in weak[steps]) or (steps in agreed and saved > 2):
                 garbled = True
                 out += [text[last:a], best]
                 last = b
