@@ -99,7 +99,9 @@ class Engine:
 
     def stats(self) -> DataFrame:
         """One row of totals."""
-        return self._q("ref_a11_stats").crossJoin(self._q("ref_a13_topology_total"))
+        from spanloom.plans.engine_queries import side_by_side
+
+        return side_by_side(self._q("ref_a11_stats"), self._q("ref_a13_topology_total"))
 
     def facets(self, facet: str, **chosen: str) -> DataFrame:
         """Sorted values of a facet, given those chosen before it."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.ids import trace_hex
-from spanloom.functions.percentile import nearest_low, nearest_low_sorted, weighted
+from spanloom.functions.percentile import nearest_low_sorted
 from spanloom.functions.spans import format_us, lookup, status
 from spanloom.operators import assembly, fingerprint, graph, rollup, tree
 from spanloom.operators.config import DIMENSIONS, OPERATION_KEYS, TAG_KEYS
@@ -97,8 +97,12 @@ def findings(s: SparkSession, d: str) -> DataFrame:
     return one("anomaly", "anomalies").unionByName(one("deviation", "deviations"))
 
 
-def _us(c: str):
-    return F.unix_micros(c)
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Tables of one row each as one row with all their columns."""
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
 
 
 # --- sources and sinks ---------------------------------------------------------------------------
@@ -334,7 +338,7 @@ def t9(s, d):
     u = usable_spans(raw)
     per = u.groupBy("th", "tl", "s").agg(F.count("*").alias("n")).groupBy("th", "tl").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
     a = per.agg(F.sum("n").alias("usable"), F.sum("m").alias("spans"), F.count("*").alias("traces"))
-    return raw.agg(F.count("*").alias("received")).crossJoin(a).crossJoin(table(s, d, "pending_traces").agg(F.countDistinct("trace_id").alias("pending")))
+    return side_by_side(raw.agg(F.count("*").alias("received")), a, table(s, d, "pending_traces").agg(F.countDistinct("trace_id").alias("pending")))
 
 
 # --- fingerprints and graphs ---------------------------------------------------------------------
@@ -566,8 +570,13 @@ def a4b(s, d):
 @query("ref_a5_percentiles", f"WITH {R}, h AS (SELECT service_id, start_us // 3600000000 AS hour, list_sort(list(duration_us)) AS x FROM r GROUP BY ALL) SELECT service_id, hour, " + ", ".join(f"x[CAST(floor((len(x) - 1) * {p}) AS INT) + 1] AS p{int(p * 100)}" for p in (0, 0.25, 0.5, 0.75, 0.9, 0.99, 1)) + " FROM h")
 def a5(s, d):
     """The engine's percentile rule over the traces of each service and hour."""
-    h = traces(s, d).groupBy("service_id", ((F.col("start_us") - F.pmod("start_us", F.lit(3_600_000_000))) / F.lit(3_600_000_000)).cast("bigint").alias("hour")).agg(F.sort_array(F.collect_list("duration_us")).alias("x"))
-    return h.select("service_id", "hour", *[nearest_low_sorted(F.col("x"), p).alias(f"p{int(p * 100)}") for p in (0, 0.25, 0.5, 0.75, 0.9, 0.99, 1)])
+    hour = ((F.col("start_us") - F.pmod("start_us", F.lit(3_600_000_000))) / F.lit(3_600_000_000)).cast("bigint").alias("hour")
+    w = Window.partitionBy("service_id", "hour")
+    # ranks in a spilling sort: a busy hour is never gathered into an array
+    x = traces(s, d).select("service_id", hour, "duration_us", "trace_id")
+    x = x.withColumns({"_r": F.row_number().over(w.orderBy("duration_us", "trace_id")), "_n": F.count("*").over(w)})
+    at = lambda p: F.max(F.when(F.col("_r") == F.floor((F.col("_n") - 1) * F.lit(float(p))) + 1, F.col("duration_us"))).alias(f"p{int(p * 100)}")
+    return x.groupBy("service_id", "hour").agg(*[at(p) for p in (0, 0.25, 0.5, 0.75, 0.9, 0.99, 1)])
 
 
 @query(
@@ -620,7 +629,7 @@ def a10(s, d):
 def a11(s, d):
     c = counting_rows(table(s, d, "traces"), "span_count", "has_error").agg(F.count("*").alias("traces"), F.sum("span_count").alias("spans"), F.count_if("has_error").alias("errors"))
     f = findings(s, d).agg(F.count_if(F.col("kind") == "deviation").alias("deviations"), F.count_if(F.col("kind") == "anomaly").alias("anomalies"), F.countDistinct("trace_id").alias("interesting"))
-    return c.crossJoin(f)  # one row each
+    return side_by_side(c, f)
 
 
 @query("ref_a11_by_variant", f"WITH {FI} SELECT variant, count(*) FILTER (kind = 'deviation') AS deviations, count(*) FILTER (kind = 'anomaly') AS anomalies, count(DISTINCT trace_id) AS traces FROM f GROUP BY variant")
@@ -631,7 +640,7 @@ def a11b(s, d):
 @query("ref_a12_interesting_share", f"WITH {_LAST}, {FI} SELECT count(DISTINCT trace_id) AS interesting, round(count(DISTINCT trace_id) * 100.0::DOUBLE / (SELECT count(*) FROM cr), 6) AS pct FROM f")
 def a12(s, d):
     n = counting_rows(table(s, d, "traces")).agg(F.count("*").alias("n"))
-    return findings(s, d).agg(F.countDistinct("trace_id").alias("interesting")).crossJoin(n).select("interesting", F.round(F.col("interesting") * F.lit(100.0) / F.nullif("n", F.lit(0)), 6).alias("pct"))
+    return side_by_side(findings(s, d).agg(F.countDistinct("trace_id").alias("interesting")), n).select("interesting", F.round(F.col("interesting") * F.lit(100.0) / F.nullif("n", F.lit(0)), 6).alias("pct"))
 
 
 @query("ref_a13_topology_total", f"WITH {R} SELECT count(*) AS topologies FROM (SELECT DISTINCT service_id, fingerprint FROM r)")
