@@ -71,6 +71,17 @@ def count_pairs(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter[str] = Counter()
+        known: dict[str, frozenset[str]] = {}
+
+        def of(word: str) -> frozenset[str]:
+            got = known.get(word)
+            if got is None:
+                got = frozenset(p for x in {word, word.lower()} for p in pairs(x))
+                if len(word) <= 24:
+                    if len(known) > 100_000:
+                        known.clear()
+                    known[word] = got
+            return got
 
         def out() -> pa.RecordBatch:
             keys = sorted(c)
@@ -79,7 +90,7 @@ def count_pairs(docs: DataFrame) -> DataFrame:
         for b in batches:
             for t in b.column(0):
                 if (s := t.as_py()) is not None:
-                    c.update({p for w in _WORD.findall(s) for x in {w, w.lower()} for p in pairs(x)})
+                    c.update(frozenset().union(*map(of, set(_WORD.findall(s)))))
                 if len(c) > 500_000:
                     yield out()
                     c.clear()
