@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import logsketch, mojibake, packing, topn, treebpe
@@ -17,14 +17,20 @@ QS = [0.25, 0.5, 0.75, 0.9, 0.99]
 N = 5
 
 
+def _utc_day(us: Column) -> Column:
+    """The UTC day of an instant in microseconds, whatever the session's time zone."""
+    day = F.lit(86_400_000_000)
+    return F.date_from_unix_date(F.call_function("div", us - F.pmod(us, day), day).cast("int"))
+
+
 def _durations(spark: SparkSession, d: str) -> DataFrame:
     """``kind, key, day, value`` of both columns: each span once by its valid copy, each trace once by the row that counts.
 
     The day is that of the copy's arrival or of ``created_at``. Unusable rows belong to no span."""
     copies = one_copy_each(usable_spans(table(spark, d, "spans"), "service_name", "duration"))
-    spans = copies.select(F.lit("service_name").alias("kind"), F.col("service_name").alias("key"), F.to_date(F.timestamp_micros("arrival")).alias("day"), F.col("duration").alias("value"))
+    spans = copies.select(F.lit("service_name").alias("kind"), F.col("service_name").alias("key"), _utc_day(F.col("arrival")).alias("day"), F.col("duration").alias("value"))
     rows = counting_rows(table(spark, d, "traces"), "fingerprint", "duration_us", "created_at")
-    traces = rows.select(F.lit("fingerprint").alias("kind"), F.col("fingerprint").alias("key"), F.to_date("created_at").alias("day"), F.col("duration_us").alias("value"))
+    traces = rows.select(F.lit("fingerprint").alias("kind"), F.col("fingerprint").alias("key"), _utc_day(F.unix_micros("created_at")).alias("day"), F.col("duration_us").alias("value"))
     return spans.unionByName(traces)
 
 
@@ -44,7 +50,7 @@ def _findings(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for src in ("anomalies", "deviations"):
         # null parts make a null group, which does not compete
-        g = F.concat(F.lit(src), F.lit("\t"), F.date_format("created_at", "yyyy-MM-dd"), F.lit("\t"), F.col("service_id"))
+        g = F.concat(F.lit(src), F.lit("\t"), _utc_day(F.unix_micros("created_at")).cast("string"), F.lit("\t"), F.col("service_id"))
         x = table(spark, d, src).select(g.alias("g"), "id", "score")
         out = x if out is None else out.unionByName(x)
     return out
