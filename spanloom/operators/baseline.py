@@ -300,7 +300,9 @@ class Service:
     def feed(self, trace_id: str, fp: str, start: int, x: int, branches: tuple, recursive: bool) -> list[tuple]:
         """Findings of a trace (combination, kind, type, score, canonical, summary, slow branches), then learns it."""
         out = []
-        self.clock = max(self.clock, start)  # a late trace is stamped with the latest time seen
+        ahead = self.config.wall_us is not None and start > self.config.wall_us + RECENT_US
+        if not ahead:
+            self.clock = max(self.clock, start)  # a late trace is stamped with the latest time seen
         slow = None
         for v in self.variants.values():
             for t in v.thresholds:
@@ -314,7 +316,8 @@ class Service:
                     out.append((f"{v.name}:{t}", "anomaly", "anomaly", z, "", "", slow))
         for v in self.variants.values():
             v.learn(fp, x, self.clock, branches)
-        self.hours.learn(fp, x, start, trace_id)
+        if not ahead:
+            self.hours.learn(fp, x, start, trace_id)
         for key, d in branches:
             self.branches.setdefault(key, Stats(BRANCH_RING)).learn(d, self.clock)
         return out

@@ -40,6 +40,8 @@ class Config:
     warm_minutes: int = 60
     important_factor: int = 10
     assembly_window_s: int = 180
+    #: Wall clock in microseconds; traces that start over five minutes after it move no clock and fill no hour. None: no such check.
+    wall_us: int | None = None
 
     def keys(self, dim: str) -> list[str]:
         return self.tag_keys.get(dim) or TAG_KEYS[dim]

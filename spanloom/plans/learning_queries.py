@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators import assembly, baseline, rollup, tree
+from spanloom.operators import assembly, baseline, fingerprint, rollup, tree
 from spanloom.operators.config import Config, combinations
 from spanloom.plans.engine_queries import FI, R, _in_ring_sql, findings as stored_findings, spans, traces
 from spanloom.workdir import written
@@ -179,6 +179,34 @@ def d3(s, d):
     return baseline.findings(full_traces(s, d), ["cumulative:50"]).filter("kind = 'deviation'").select("trace_id", "service_id", "fingerprint", "canonical", "type", "score", "summary")
 
 
+def traces_from_spans(s, d) -> DataFrame:
+    """Raw spans all the way to what learning needs: one copy each, assembled, fingerprinted, with branches and recursion."""
+    x = written(spans(s, d), "valid-spans")
+    e = assembly.edges(x).groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("branch_key", "duration_us"))).alias("branches"))
+    rec = tree.tree_view(x).filter("not circular").groupBy("trace_id").agg(F.bool_or("recursive").alias("recursive"))
+    fp = fingerprint.fingerprints(x).select("trace_id", "fingerprint")
+    a = assembly.assemble(x).select("trace_id", "service_id", "start_us", "duration_us", "span_count", "has_error")
+    # written: the long expressions of a service id would be repeated in every filter that is pushed below them
+    t = written(a, "assembled").join(fp, "trace_id").join(e, "trace_id", "left").join(rec, "trace_id", "left")
+    return t.withColumn("recursive", F.coalesce("recursive", F.lit(False)))
+
+
+@query("ref_e1_topologies")
+def e1(s, d):
+    """Paths of each service from raw spans: traces, share, errors, durations."""
+    x = spans(s, d)
+    x = written(x, "valid-spans")
+    t = written(assembly.assemble(x), "assembled").join(fingerprint.fingerprints(x).select("trace_id", "fingerprint"), "trace_id")
+    n = t.groupBy("service_id", "fingerprint").agg(F.count("*").alias("traces"), F.count_if("has_error").alias("errors"), F.min("duration_us").alias("duration_min"), F.max("duration_us").alias("duration_max"))
+    return n.withColumn("percentage", F.round(F.col("traces") * F.lit(100.0) / F.sum("traces").over(Window.partitionBy("service_id")), 6))
+
+
+@query("ref_e1_findings")
+def e1_findings(s, d):
+    """All findings of the twenty combinations from raw spans."""
+    return baseline.findings(traces_from_spans(s, d), combinations())
+
+
 @query("ref_d7_error_traces", f"WITH {R} SELECT trace_id, 'error' AS reason FROM r WHERE has_error")
 def d7(s, d):
     return traces(s, d).filter("has_error").select("trace_id", F.lit("error").alias("reason"))

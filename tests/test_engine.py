@@ -225,3 +225,12 @@ def test_assembly_edge_cases(spark):
     short = assembly.assemble(df, config.Config(identity_fields=("service_name", "color")))
     assert {r.trace_id: r.service_id for r in short.collect()}["t"] == "api"
     assert assembly.assemble(df.limit(0)).count() == 0 and fingerprint.fingerprints(df.limit(0)).count() == 0
+
+
+def test_traces_ahead_of_the_wall_clock():
+    s = baseline.Service(["cumulative:50"], config.Config(wall_us=BASE))
+    s.feed("a", "A", BASE, 1, (), False)
+    s.feed("b", "B", BASE + 10 * M, 1, (), False)
+    assert s.clock == BASE and s.variants["cumulative"].first["B"] == BASE and len(s.hours.buckets) == 1
+    s.feed("c", "C", BASE + 5 * M, 1, (), False)
+    assert s.clock == BASE + 5 * M
