@@ -3,7 +3,8 @@
 States are texts. A step undoes one wrong decoding: encode the characters with the encoding that they were read in, decode the bytes with
 another; or unescape character references. UTF-8 read as something else is undone in every place where the bytes are valid,
 so a text garbled in places needs no special case; other pairs act on a word, or on the implausible stretch of a longer run. The search takes the
-cheapest state first, never visits a state twice, and follows steps that lower the cost, so repeated wrong decodings are undone one by one.
+cheapest state first, never visits a state twice, and goes through one dearer text between two cheaper ones. Single-byte steps map
+character to character, so all chains of two are tried at once, and UTF-8 after one; a chain through a dearer text must save ``DEARER`` more.
 
 The cost of a text is the sum of the surprise of its character pairs, from the share of all texts of the corpus that hold a pair. Garbled
 pairs are rarer and more numerous than what they stand for. A word is garbled if the search reaches one that is cheaper by the ``MARGIN`` of its kind of
@@ -38,6 +39,10 @@ MARGIN = {"utf-8": 5.0, "single": 8.0, "multi": 12.0}
 WEAK, TOGETHER = 6.0, 12.0
 #: Bits that a step must be worth.
 STEP_PRICE = 2.0
+#: Bits that a chain through a dearer text must save beyond its margin: it is one of some hundred times as many.
+DEARER = 8.0
+#: Different garbled letters that must agree on a chain of single-byte steps.
+LETTERS = 4
 #: Pairs kept in the model: the most frequent ones; the others count as unseen.
 MODEL_PAIRS = 400_000
 MAX_BITS = 14.0
@@ -107,6 +112,7 @@ class Model:
         self.bits = {p: min(MAX_BITS, float(np.log2((texts + 1) / (n + 0.3)))) for p, n in counts.items()}
         self.unseen = min(MAX_BITS, float(np.log2((texts + 1) / 0.3)))
         self.known: dict[str, float] = {}
+        self._matrix: np.ndarray | None = None
 
     def pair(self, p: str) -> float:
         """Bits of a pair; capitals count as their lower case, other than after a small letter, where they do not belong."""
@@ -122,6 +128,21 @@ class Model:
     def cost(self, text: str) -> float:
         return sum(self.each(text))
 
+    def matrix(self) -> np.ndarray:
+        """Bits of all pairs of ``_CHARS``, as ``pair`` gives them."""
+        if self._matrix is None:
+            n = len(_CHARS)
+            m = np.full((n, n), self.unseen, np.float32)
+            for p, b in self.bits.items():
+                if len(p) == 2 and p[0] in _AT and p[1] in _AT:
+                    m[_AT[p[0]], _AT[p[1]]] = b
+            low = np.array([_AT.get(c.lower(), i) for i, c in enumerate(_CHARS)])
+            other = low != np.arange(n)
+            small = np.array([c.islower() for c in _CHARS])
+            capital = (other[:, None] | other[None, :]) & ~small[:, None]
+            self._matrix = np.where(capital, np.minimum(m, m[np.ix_(low, low)] + np.float32(0.5)), m)
+        return self._matrix
+
 
 def fit(docs: DataFrame, keep: int = MODEL_PAIRS) -> Model:
     """The model of a corpus: counts over all its texts; the ``keep`` most frequent pairs go to the driver and the tasks."""
@@ -130,6 +151,21 @@ def fit(docs: DataFrame, keep: int = MODEL_PAIRS) -> Model:
     return Model(dict(zip(top["pair"], top["n"].tolist())), n)
 
 
+def _as_utf8(word: str, mapped: str) -> str | None:
+    """The word with every place whose bytes are valid UTF-8 decoded, or None without one."""
+    parts, last = [], 0
+    for m in _UTF8.finditer(mapped):
+        parts += [word[last : m.start()], m.group().encode("latin_1").decode("utf-8")]
+        last = m.end()
+    return "".join(parts) + word[last:] if parts else None
+
+
+def _between_single(step: str) -> bool:
+    """Whether a step maps character to character; chains cover what follows those."""
+    a, _, b = step.partition(">")
+    return a in TO_BYTE and b in TO_BYTE
+
+
 @lru_cache(maxsize=200_000)
 def _steps(word: str) -> tuple[tuple[str, str], ...]:
     """Texts one step away from a word, with the step's name."""
@@ -141,12 +177,8 @@ def _steps(word: str) -> tuple[tuple[str, str], ...]:
         return tuple(out.items())
     for enc in SINGLE if not _ANY_SINGLE.isdisjoint(high) else ():
         mapped = word.translate(_AS_BYTES[enc])
-        parts, last = [], 0
-        for m in _UTF8.finditer(mapped):
-            parts += [word[last : m.start()], m.group().encode("latin_1").decode("utf-8")]
-            last = m.end()
-        if parts:
-            out.setdefault("".join(parts) + word[last:], f"{enc}>utf-8")
+        if (t := _as_utf8(word, mapped)) is not None:
+            out.setdefault(t, f"{enc}>utf-8")
         try:
             raw = mapped.encode("latin_1")
         except UnicodeEncodeError:
@@ -174,6 +206,27 @@ def _steps(word: str) -> tuple[tuple[str, str], ...]:
     return tuple(out.items())
 
 
+#: Characters that single-byte steps can meet, blank and ASCII first; the last index stands for none.
+_CHARS = [chr(i) for i in range(128)] + sorted(_ANY_SINGLE)
+_AT = {c: i for i, c in enumerate(_CHARS)}
+_NONE = len(_CHARS)
+_PAIRS = [(a, b) for a in SINGLE for b in SINGLE if a != b]
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Character that each single-byte step makes of each character, and byte of each character in each encoding (0: none)."""
+    byte = np.zeros((len(SINGLE), _NONE + 1), np.uint8)
+    for k, e in enumerate(SINGLE):
+        for c, i in TO_BYTE[e].items():
+            byte[k, _AT[c]] = i
+    char = np.array([[_AT.get(c, _NONE) for c in _FROM_BYTE[e]] for e in SINGLE], np.int16)
+    char[:, 0] = _NONE
+    return np.stack([char[SINGLE.index(b)][byte[SINGLE.index(a)]] for a, b in _PAIRS]), byte
+
+
+_MAP, _BYTE = _tables()
+
+
 def _kind(steps: tuple[str, ...]) -> str:
     ends = {x.partition(">")[2] for x in steps if ">" in x}
     if "utf-8" in ends:
@@ -187,26 +240,110 @@ class Repairer:
     def __init__(self, model: Model):
         self.model = model
         self.found: dict[str, tuple[str, float, tuple[str, ...], bool]] = {}
-
-    def _search(self, start: str) -> tuple[str, float, tuple[str, ...]]:
-        """The cheapest text reached, how much it saves, and the steps that lead there."""
+        self.least: tuple[np.ndarray, np.ndarray, float, np.ndarray] | None = None
+
+    def _least(self, at: np.ndarray) -> float:
+        """No text of the same length with the same ASCII characters costs less."""
+        if self.least is None:
+            m = self.model.matrix()
+            self.least = m[:128, 128:].min(1), m[128:, :128].min(0), float(m[128:, 128:].min()), (m[:128, None, 128:] + m[128:, :128].T[None, :, :]).min(2)
+        after, before, both, lone = self.least
+        a, b = at[:-1], at[1:]
+        h, k = a > 127, b > 127
+        out = float(self.model.matrix()[a, b][~h & ~k].sum()) + both * int((h & k).sum())
+        single = k[:-1] & ~h[:-1] & ~k[1:]
+        out += float(lone[a[:-1][single], b[1:][single]].sum())
+        rest_in, rest_out = k & ~h & np.r_[~single, True], h & ~k & np.r_[True, ~single]
+        return out + float(after[a[rest_in]].sum()) + float(before[b[rest_out]].sum())
+
+    def _chains(self, text: str, below: float) -> list[tuple[str, tuple[str, ...]]]:
+        """The cheapest text two single-byte steps away, where any can cost less than ``below``, and those where UTF-8 follows one."""
+        t = f" {text} ".translate(_DIGITS)
+        at = np.array([_AT.get(c, _NONE) for c in t])
+        if (at == _NONE).any() or not (high := at > 127).any():
+            return []
+        letters, place = np.unique(at[high], return_inverse=True)
+        first = _MAP[:, letters]
+        ok = np.flatnonzero((first != _NONE).all(1))
+        first, rows = np.unique(first[ok], axis=0, return_index=True)
+        if not len(first):
+            return []
+        names = [">".join(_PAIRS[ok[r]]) for r in rows]
+        out = []
+        if self._least(at) < below:
+            m = self.model.matrix()
+            two = _MAP[:, first]  # second step, first text, letter
+            which = np.argwhere((two != _NONE).all(2))
+            near = np.flatnonzero(high[:-1] | high[1:])
+            fixed = float(m[at[:-1], at[1:]].sum() - m[at[near], at[near + 1]].sum())
+            best = None
+            for part in np.array_split(which, 1 + len(which) * len(near) // 4_000_000):
+                to = two[part[:, 0], part[:, 1]]
+                col = {int(p): to[:, place[i]] for i, p in enumerate(np.flatnonzero(high))}
+                cost = np.zeros(len(part), np.float32)
+                for p in near:
+                    cost += m[col.get(int(p), at[p]), col.get(int(p) + 1, at[p + 1])]
+                if len(cost) and (best is None or cost.min() < best[0]):
+                    j = int(cost.argmin())
+                    best = float(cost[j]), to[j], part[j]
+            if best and best[0] + fixed < below:
+                to, (second, row) = best[1], best[2]
+                out.append((text.translate({ord(_CHARS[c]): _CHARS[x] for c, x in zip(letters, to)}), (names[row], ">".join(_PAIRS[second]))))
+        # UTF-8 after one step: only where a lead byte stands before its continuation bytes
+        full = np.broadcast_to(at, (len(first), len(at))).copy()
+        full[:, high] = first[:, place]
+        raw = _BYTE[:, full]
+        more = np.pad((raw >= 0x80) & (raw < 0xC0), ((0, 0), (0, 0), (0, 3)))
+        n = raw.shape[2]
+        lead = (raw >= 0xC2) & more[..., 1 : n + 1] & ((raw < 0xE0) | (raw < 0xF5) & more[..., 2 : n + 2] & ((raw < 0xF0) | more[..., 3 : n + 3]))
+        hit = np.argwhere(lead.any(2))
+        seen = set()
+        for (e, row), b in zip(hit, map(bytes, raw[hit[:, 0], hit[:, 1]])):
+            if b in seen:
+                continue
+            seen.add(b)
+            mid = text.translate({ord(_CHARS[c]): _CHARS[x] for c, x in zip(letters, first[row])})
+            got = _as_utf8(mid, mid.translate(_AS_BYTES[SINGLE[e]]))
+            if got is not None:
+                out.append((got, (names[row], f"{SINGLE[e]}>utf-8")))
+        return out
+
+    def _search(self, start: str, deep: bool = False) -> tuple[str, float, tuple[str, ...]]:
+        """The cheapest text reached, how much it saves, and the steps that lead there; ``deep``: also through dearer texts. What a chain through a dearer text must save
+        beyond its margin is taken off, so that it wins only where it saves that much more than another."""
         cost = self.model.cost
         first = cost(start)
         best, best_cost, best_steps = start, first, ()
-        heap: list[tuple[float, str, tuple[str, ...]]] = [(first, start, ())]
+        # cost with steps; text; steps; extra price of dearer texts on the way; whether this text is dearer than the one before
+        heap: list[tuple[float, str, tuple[str, ...], float, bool]] = [(first, start, (), 0.0, False)]
         seen = {start}
+
+        def push(t: str, steps: tuple[str, ...], extra: float, above: float, dearer: bool) -> None:
+            if t not in seen:
+                tc = cost(t) + STEP_PRICE * len(steps) + extra
+                if tc < above:
+                    seen.add(t)
+                    heapq.heappush(heap, (tc, t, steps, extra, False))
+                elif deep and dearer and not _between_single(steps[-1]):
+                    heapq.heappush(heap, (tc, t, steps, extra + DEARER, True))
+
         while heap:
-            c, text, steps = heapq.heappop(heap)
+            c, text, steps, extra, dearer = heapq.heappop(heap)
+            if dearer and text in seen:
+                continue
+            seen.add(text)
             if c < best_cost:
                 best, best_cost, best_steps = text, c, steps
-            elif c > best_cost:  # the cheapest state left is dearer than the best: its steps led away
+            elif c > best_cost and not deep:
                 break
+            elif c > best_cost and steps and _between_single(steps[-1]):  # what follows is among the chains of the text before
+                continue
+            above = min(c, best_cost)
             for t, name in _steps(text):
-                if t not in seen:
-                    seen.add(t)
-                    tc = cost(t) + STEP_PRICE * (len(steps) + 1)
-                    if tc < c:
-                        heapq.heappush(heap, (tc, t, (*steps, name)))
+                push(t, (*steps, name), extra, above, not dearer)
+            if deep and c <= best_cost:
+                for t, names in self._chains(text, above - DEARER - STEP_PRICE * (len(steps) + 2) - extra):
+                    push(t, (*steps, *names), extra + DEARER, above, False)
         return best, first - best_cost, best_steps
 
     def _stretch(self, word: str) -> tuple[int, int] | None:
@@ -223,10 +360,13 @@ class Repairer:
         odd = [i for i, b in enumerate(self.model.each(word)) if b > 0.75 * self.model.unseen]
         return not any(c - a <= 4 for a, c in zip(odd, odd[2:]))
 
-    def _sure(self, word: str, best: str, saved: float, steps: tuple[str, ...]) -> bool:
+    def _sure(self, word: str, best: str, saved: float, steps: tuple[str, ...], deep: bool = False) -> bool:
         """Whether a cheaper word tells that the one given is garbled."""
         if not any(">" in x for x in steps) or saved < MARGIN[kind := _kind(steps)]:
             return False
+        # nearly any few letters become others by some chain of steps: more must agree on one
+        if kind == "single" and len(steps) > 1 and len(set(_HIGH.findall(word))) < LETTERS and (deep or not any(c.isascii() and c.isalpha() for c in word)):
+            return False
         if kind == "utf-8" and not any(x.partition(">")[0] in MULTI for x in steps):
             return True
         kind = "multi" if kind == "utf-8" else kind
@@ -255,13 +395,16 @@ class Repairer:
         if got is None:
             best, saved, steps = self._search(word)
             sure = self._sure(word, best, saved, steps)
+            through = self._search(word, deep=True)
+            if through[1] > saved and self._sure(word, *through, deep=True):
+                best, saved, steps, sure = *through, True
             if len(word) > 12 and (at := self._stretch(word)):
                 a, b = at
                 for x in range(max(0, a - 1), min(len(word), a + 3)):
                     for y in range(max(x + 1, b - 2), min(len(word), b + 1) + 1):
                         if (x, y) != (0, len(word)) and y - x > 1:
-                            mid, s, e = self._search(word[x:y])
-                            if e and self._sure(word[x:y], mid, s, e):
+                            mid, s, e = self._search(word[x:y], deep=at == (x, y))
+                            if e and self._sure(word[x:y], mid, s, e, at == (x, y)):
                                 whole = word[:x] + mid + word[y:]
                                 gain = self.model.cost(word) - self.model.cost(whole) - STEP_PRICE * len(e)
                                 if gain > saved + 2:
