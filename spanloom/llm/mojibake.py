@@ -351,15 +351,6 @@ class Repairer:
         odd = [i for i, b in enumerate(self.model.each(word)) if b > 0.75 * self.model.unseen]
         return (max(0, odd[0] - 1), min(len(word), odd[-1] + 1)) if odd else None
 
-    def _clean_script(self, word: str) -> bool:
-        """Whether a run of ideographs or kana has no place that could be garbled: nearly none of its characters are in a single-byte
-        encoding, and no three implausible pairs lie together. A rare character gives two; what other steps garble gives more."""
-        high = _HIGH.findall(word)
-        if len(word) <= 12 or "\ufffd" in word or 4 * sum(c in _ANY_SINGLE for c in high) > len(high):
-            return False
-        odd = [i for i, b in enumerate(self.model.each(word)) if b > 0.75 * self.model.unseen]
-        return not any(c - a <= 4 for a, c in zip(odd, odd[2:]))
-
     def _sure(self, word: str, best: str, saved: float, steps: tuple[str, ...], deep: bool = False) -> bool:
         """Whether a cheaper word tells that the one given is garbled."""
         if not any(">" in x for x in steps) or saved < MARGIN[kind := _kind(steps)]:
@@ -390,8 +381,6 @@ class Repairer:
     def word(self, word: str) -> tuple[str, float, tuple[str, ...], bool]:
         """Repaired word, bits saved, steps, garbled or not."""
         got = self.found.get(word)
-        if got is None and self._clean_script(word):
-            return word, 0.0, (), False
         if got is None:
             best, saved, steps = self._search(word)
             sure = self._sure(word, best, saved, steps)

@@ -26,3 +26,17 @@ def test_two_single_byte_steps_through_a_dearer_text():
     best, _, steps, sure = r.word(twice)
     assert sure and best == word and len(steps) == 2
     assert r.word(word) == (word, 0.0, (), False)
+
+
+JA = ["時計が狂っているので、週末に地方の事務所は新しい設定を見ない。", "誰にも知られずに、更新の後港のカメラは遅く答える。"]
+
+
+def test_garbled_word_inside_a_run_of_ideographs():
+    bad = "café".encode().decode("latin_1")
+    # the garbled pairs are frequent enough that they are not implausible by themselves
+    texts = [f"{JA[i % 2]} {i}" for i in range(300)] + [f"le café répété {i}" for i in range(300)] + [f"le {bad} {i}" for i in range(12)]
+    r = _repairer(texts)
+    run = JA[0][:16] + bad + JA[0][16:]
+    best, _, _, sure = r.word(run)
+    assert sure and best == JA[0][:16] + "café" + JA[0][16:]
+    assert not r.word(JA[0])[3] and not r.word(JA[1])[3]
