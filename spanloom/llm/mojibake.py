@@ -2,7 +2,8 @@
 
 States are texts. A step undoes one wrong decoding: encode the characters with the encoding that they were read in, decode the bytes with
 another; or unescape character references. UTF-8 read as something else is undone in every place where the bytes are valid,
-so a text garbled in places needs no special case; other pairs act on a word, or on the implausible stretch of a longer run. The search takes the
+so a text garbled in places needs no special case; other pairs act on a word, or in a longer run on each place where implausible pairs lie
+together, on two neighbouring places and on all of them, until no place is left to repair. The search takes the
 cheapest state first, never visits a state twice, and goes through one dearer text between two cheaper ones. Single-byte steps map
 character to character, so all chains of two are tried at once, and UTF-8 after one; a chain through a dearer text must save ``DEARER`` more.
 
@@ -43,6 +44,8 @@ STEP_PRICE = 2.0
 DEARER = 8.0
 #: Different garbled letters that must agree on a chain of single-byte steps.
 LETTERS = 4
+#: Plausible characters between two implausible pairs that belong to one place.
+APART = 3
 #: Pairs kept in the model: the most frequent ones; the others count as unseen.
 MODEL_PAIRS = 400_000
 MAX_BITS = 14.0
@@ -240,6 +243,7 @@ class Repairer:
     def __init__(self, model: Model):
         self.model = model
         self.found: dict[str, tuple[str, float, tuple[str, ...], bool]] = {}
+        self.parts: dict[tuple[str, bool], tuple[str, float, tuple[str, ...]]] = {}
         self.least: tuple[np.ndarray, np.ndarray, float, np.ndarray] | None = None
 
     def _least(self, at: np.ndarray) -> float:
@@ -346,12 +350,59 @@ class Repairer:
                     push(t, (*steps, *names), extra + DEARER, above, False)
         return best, first - best_cost, best_steps
 
-    def _stretch(self, word: str) -> tuple[int, int] | None:
-        """From the first to the last implausible pair of a longer run."""
+    def _places(self, word: str) -> list[tuple[int, int]]:
+        """Where implausible pairs of a longer run lie together, then the spans over neighbouring places and over all of them."""
         odd = [i for i, b in enumerate(self.model.each(word)) if b > 0.75 * self.model.unseen]
-        return (max(0, odd[0] - 1), min(len(word), odd[-1] + 1)) if odd else None
+        out: list[tuple[int, int]] = []
+        for i in odd:
+            a, b = max(0, i - 1), min(len(word), i + 1)
+            if out and a <= out[-1][1] + APART:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+        joined = [(x[0], y[1]) for x, y in zip(out, out[1:])]
+        return [*dict.fromkeys([*out, *joined, *([(out[0][0], out[-1][1])] if out else [])])]
+
+    def _part(self, part: str, deep: bool) -> tuple[str, float, tuple[str, ...]]:
+        """Search of a part of a run."""
+        got = self.parts.get((part, deep))
+        if got is None:
+            got = self._search(part, deep)
+            if len(self.parts) > 500_000:
+                self.parts.clear()
+            self.parts[part, deep] = got
+        return got
 
-    def _sure(self, word: str, best: str, saved: float, steps: tuple[str, ...], deep: bool = False) -> bool:
+    def _in_places(self, word: str) -> tuple[str, float, tuple[str, ...]]:
+        """A longer run with its garbled places repaired one after another, what that saves, and the steps that save most."""
+        total, most, by = 0.0, 0.0, ()
+        while True:
+            found = []
+            for a, b in self._places(word):
+                for x in range(max(0, a - 1), min(len(word), a + 3)):
+                    for y in range(max(x + 1, b - 2), min(len(word), b + 1) + 1):
+                        if (x, y) != (0, len(word)) and y - x > 1:
+                            deep = (x, y) == (a, b)
+                            mid, _, steps = self._part(word[x:y], deep)
+                            if steps:
+                                # characters beside the place, the same before and after
+                                left, right = word[max(0, x - 1) : x], word[y : y + 1]
+                                gain = self.model.cost(left + word[x:y] + right) - self.model.cost(left + mid + right) - STEP_PRICE * len(steps)
+                                if gain > 2 and self._sure(word[x:y], mid, gain, steps, deep, (left, right)):
+                                    found.append((-gain, x, y, mid, steps))
+            taken: list[tuple[int, int, str]] = []
+            for gain, x, y, mid, steps in sorted(found):
+                if all(y < p or x > q for p, q, _ in taken):
+                    taken.append((x, y, mid))
+                    total -= gain
+                    if -gain > most:
+                        most, by = -gain, steps
+            if not taken:
+                return word, total, by
+            for x, y, mid in sorted(taken, reverse=True):
+                word = word[:x] + mid + word[y:]
+
+    def _sure(self, word: str, best: str, saved: float, steps: tuple[str, ...], deep: bool = False, beside: tuple[str, str] = ("", "")) -> bool:
         """Whether a cheaper word tells that the one given is garbled."""
         if not any(">" in x for x in steps) or saved < MARGIN[kind := _kind(steps)]:
             return False
@@ -361,9 +412,9 @@ class Repairer:
         if kind == "utf-8" and not any(x.partition(">")[0] in MULTI for x in steps):
             return True
         kind = "multi" if kind == "utf-8" else kind
-        return self._plausible(word, best, kind, len(steps))
+        return self._plausible(word, best, kind, len(steps), beside)
 
-    def _plausible(self, word: str, best: str, kind: str, steps: int = 1) -> bool:
+    def _plausible(self, word: str, best: str, kind: str, steps: int = 1, beside: tuple[str, str] = ("", "")) -> bool:
         if kind == "single":
             # a lone sign tells nothing; a unit of one letter and a sign does, by one step
             if sum(c.isalpha() for c in best) < 2 and not (steps == 1 and any(c.isascii() and c.isalpha() for c in word)):
@@ -371,7 +422,8 @@ class Repairer:
             # a sign after a word is no letter of it
             if len(word) == len(best) and word[:-1] == best[:-1] and unicodedata.category(word[-1])[0] in "PS" and best[-1].isalpha():
                 return False
-        odd = [b >= 0.85 * self.model.unseen for b in self.model.each(best)]
+        left, right = beside
+        odd = [b >= 0.85 * self.model.unseen for b in self.model.each(left + best + right)][bool(left) : -1 if right else None]
         if kind == "multi":
             if len(_HIGH.findall(word)) < 2 or len(word) < 3:
                 return False
@@ -387,17 +439,10 @@ class Repairer:
             through = self._search(word, deep=True)
             if through[1] > saved and self._sure(word, *through, deep=True):
                 best, saved, steps, sure = *through, True
-            if len(word) > 12 and (at := self._stretch(word)):
-                a, b = at
-                for x in range(max(0, a - 1), min(len(word), a + 3)):
-                    for y in range(max(x + 1, b - 2), min(len(word), b + 1) + 1):
-                        if (x, y) != (0, len(word)) and y - x > 1:
-                            mid, s, e = self._search(word[x:y], deep=at == (x, y))
-                            if e and self._sure(word[x:y], mid, s, e, at == (x, y)):
-                                whole = word[:x] + mid + word[y:]
-                                gain = self.model.cost(word) - self.model.cost(whole) - STEP_PRICE * len(e)
-                                if gain > saved + 2:
-                                    best, saved, steps, sure = whole, gain, e, True
+            if len(word) > 12:
+                whole, gain, by = self._in_places(word)
+                if by and gain > saved + 2:
+                    best, saved, steps, sure = whole, gain, by, True
             got = (best, saved, steps, sure)
             if len(self.found) > 200_000:
                 self.found.clear()

@@ -40,3 +40,11 @@ def test_garbled_word_inside_a_run_of_ideographs():
     best, _, _, sure = r.word(run)
     assert sure and best == JA[0][:16] + "café" + JA[0][16:]
     assert not r.word(JA[0])[3] and not r.word(JA[1])[3]
+
+
+def test_two_garbled_places_of_one_run():
+    r = _repairer([f"{JA[i % 2]} {i}" for i in range(300)])
+    clean = bad = JA[0] + JA[1]
+    for place in ("地方の事務所", "港のカメラ"):
+        bad = bad.replace(place, place.encode("cp932").decode("gbk"))
+    assert bad != clean and r.word(bad)[0] == clean and r.word(bad)[3]
