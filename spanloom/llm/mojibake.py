@@ -7,7 +7,7 @@ together, on two neighbouring places and on all of them, until no place is left
 cheapest state first, never visits a state twice, and goes through one dearer text between two cheaper ones. Single-byte steps map
 character to character, so all chains of two are tried at once, and UTF-8 after one; a chain through a dearer text must save ``DEARER`` more.
 
-The cost of a text is the sum of the surprise of its character pairs, from the share of all texts of the corpus that hold a pair. Garbled
+The cost of a text is the sum of the surprise of its character pairs, from the share of the distinct texts of the corpus that hold a pair. Garbled
 pairs are rarer and more numerous than what they stand for. A word is garbled if the search reaches one that is cheaper by the ``MARGIN`` of its kind of
 step and has no implausible pair itself; savings of words that the same step mends add up. A text is garbled if a word of it is, or where
 characters were lost (U+FFFD) or control characters of the C1 range are left. What was lost is not restored.
@@ -75,7 +75,7 @@ def pairs(text: str) -> list[str]:
 
 
 def count_pairs(docs: DataFrame) -> DataFrame:
-    """``pair, n``: in how many texts each pair of characters of their words, as written or in lower case, occurs. Over all rows, combined per task first."""
+    """``pair, n``: in how many texts each pair of characters of their words, as written or in lower case, occurs. Over all rows given, combined per task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter[str] = Counter()
@@ -148,9 +148,10 @@ class Model:
 
 
 def fit(docs: DataFrame, keep: int = MODEL_PAIRS) -> Model:
-    """The model of a corpus: counts over all its texts; the ``keep`` most frequent pairs go to the driver and the tasks."""
-    n = docs.count()
-    top = count_pairs(docs).orderBy(F.desc("n"), "pair").limit(keep).toPandas()
+    """The model of a corpus: counts over its distinct texts, so that copies of a garbled text do not make it plausible; the ``keep`` most frequent pairs go to the driver and the tasks."""
+    texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
+    n = texts.count()
+    top = count_pairs(texts).orderBy(F.desc("n"), "pair").limit(keep).toPandas()
     return Model(dict(zip(top["pair"], top["n"].tolist())), n)
 
 

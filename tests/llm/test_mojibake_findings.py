@@ -48,3 +48,15 @@ def test_two_garbled_places_of_one_run():
     for place in ("地方の事務所", "港のカメラ"):
         bad = bad.replace(place, place.encode("cp932").decode("gbk"))
     assert bad != clean and r.word(bad)[0] == clean and r.word(bad)[3]
+
+
+def test_copies_do_not_make_garbled_text_plausible(spark):
+    fr = "la caméra répète la dernière étape après la température".split()
+    en = "the backup copy waits for a confirmation shortly before midnight".split()
+    rows = [(i, " ".join(w[i % 7 :] + w[: i % 7]) + f" {i}") for i in range(900) for w in [fr if i % 10 == 0 else en]]
+    bad = " ".join(fr).encode().decode("latin_1")
+    rows += [(1000 + i, bad) for i in range(450)] + [(2000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in mojibake.repair(df).collect()}
+    assert len(got) == len(rows) and all(got[1000 + i].garbled and got[1000 + i].fixed == " ".join(fr) for i in range(450))
+    assert not any(got[i].garbled for i in range(900)) and not got[2000].garbled
