@@ -473,8 +473,8 @@ def w7(s, d):
 
 @query("ref_w8_format", f"WITH {K} SELECT trace_id, span_id, CASE WHEN dur <= 0 THEN '0.00ms' WHEN dur < 1000000 THEN printf('%.2fms', dur / 1000.0::DOUBLE) WHEN dur < 60000000 THEN printf('%.2fs', dur / 1000000.0::DOUBLE) ELSE printf('%.2fm', dur / 60000000.0::DOUBLE) END AS shown FROM k WHERE dur % 10 <> 5")
 def w8(s, d):
-    """Durations as text. Those ending in 5 are left to the tests: engines round halves differently."""
-    return spans(s, d).filter("duration % 10 <> 5").select("trace_id", "span_id", format_us(F.col("duration")).alias("shown"))
+    """Durations as text, of all spans. The SQL leaves out those ending in 5, since engines round halves differently."""
+    return spans(s, d).select("trace_id", "span_id", format_us(F.col("duration")).alias("shown"))
 
 
 @query("ref_w9_axis", f"WITH {K}, t AS (SELECT trace_id, max(st + dur) - min(st) AS total FROM k GROUP BY trace_id) SELECT trace_id, CAST(i AS INT) AS tick, total * i / 4.0::DOUBLE AS at_us FROM t, range(5) g(i)")
@@ -614,10 +614,10 @@ def a8b(s, d):
 
 @query("ref_a9_rollup_merge", f"WITH {_ROLL} SELECT 0 AS window_start, service_id, fingerprint, CAST(sum(trace_count) AS BIGINT) AS trace_count, CAST(sum(span_count) AS BIGINT) AS span_count, CAST(sum(error_count) AS BIGINT) AS error_count, CAST(sum(duration_sum) AS BIGINT) AS duration_sum, min(duration_min) AS duration_min, max(duration_max) AS duration_max, list_distinct(flatten(list(sample_trace_ids ORDER BY window_start)))[1] IS NOT NULL AS has_sample FROM ro GROUP BY ALL")
 def a9(s, d):
-    """Rollups of all windows merged into one per service and path."""
+    """Rollups of all windows merged into one per service and path; the SQL has no percentiles and sample ids."""
     parts = rollup.rollups(written(traces(s, d), "traces")).withColumn("at", F.col("window_start")).withColumn("window_start", F.lit(0))
     m = rollup.merge(parts, "at")
-    return m.withColumn("has_sample", F.size("sample_trace_ids") > 0).drop("p50", "p99", "sample_trace_ids")
+    return m.withColumn("has_sample", F.size("sample_trace_ids") > 0)
 
 
 @query("ref_a10_issue_counts", f"WITH {FI} SELECT service_id, count(*) FILTER (kind = 'deviation') AS deviation_count, count(*) FILTER (kind = 'anomaly') AS anomaly_count FROM f GROUP BY service_id")
@@ -653,7 +653,8 @@ _HOUR = f"{R}, h AS (SELECT strftime(make_timestamp(start_us), '%Y-%m-%d-%H') AS
 
 @query("ref_a14_hourly", f"WITH {_HOUR} SELECT * FROM h")
 def a14(s, d):
-    return rollup.hourly(written(traces(s, d), "traces")).drop("samples")
+    """Hourly buckets with their samples; the SQL has no samples."""
+    return rollup.hourly(written(traces(s, d), "traces"))
 
 
 @query("ref_a15_top_shares", f"WITH {R}, n AS (SELECT service_id, fingerprint, count(*) AS n FROM r GROUP BY ALL) SELECT service_id, fingerprint, round(n / (sum(n) OVER (PARTITION BY service_id))::DOUBLE, 9) AS share, CAST(row_number() OVER (PARTITION BY service_id ORDER BY n DESC, fingerprint) AS INT) AS rank FROM n QUALIFY rank <= 3")
