@@ -367,7 +367,8 @@ w AS (SELECT trace_id, span_id, [svc || ':' || op] AS names, false AS rec, 0 AS
 
 @query("ref_f5_recursion", f"{_REC} SELECT trace_id, bool_or(rec) AS recursive FROM w GROUP BY trace_id")
 def f5(s, d):
-    return tree.tree_view(spans(s, d)).filter("not circular").groupBy("trace_id").agg(F.bool_or("recursive").alias("recursive"))
+    """Whether a name repeats on a path from a root; the SQL leaves out traces without a root, which are false."""
+    return tree.tree_view(spans(s, d)).groupBy("trace_id").agg(F.bool_or("recursive").alias("recursive"))
 
 
 _SETS = f"""WITH {K}, {EDGES}, {R}, b AS (SELECT trace_id, list_sort(list_distinct(list(branch_key))) AS keys FROM e GROUP BY trace_id),
@@ -415,7 +416,8 @@ def f10(s, d):
 
 @query("ref_w1_depth", f"{_REC} SELECT trace_id, span_id, least(depth, 100) AS depth FROM w")
 def w1(s, d):
-    return tree.tree_view(spans(s, d)).filter("not circular").select("trace_id", "span_id", "depth")
+    """Depth of all spans; the SQL leaves out those on a circle or below one."""
+    return tree.tree_view(spans(s, d)).select("trace_id", "span_id", "depth")
 
 
 @query(
@@ -457,9 +459,12 @@ def w5(s, d):
 
 @query("ref_w6_span_tree", f"WITH {K} SELECT c.trace_id, c.span_id, coalesce(p.span_id, '') AS shown_below FROM k c LEFT JOIN k p ON p.trace_id = c.trace_id AND p.span_id = c.parent_id")
 def w6(s, d):
-    x = spans(s, d)
-    p = x.select("trace_id", F.col("span_id").alias("parent_id"), F.col("span_id").alias("_p"))
-    return x.join(p, ["trace_id", "parent_id"], "left").select("trace_id", "span_id", F.coalesce("_p", F.lit("")).alias("shown_below"))
+    """Span below which each span is shown; orphans, spans on or below a circle and those too deep are roots. The SQL knows orphans only."""
+    x = written(spans(s, d), "valid-spans")
+    # only a span with a parent in its trace has a depth
+    linked = tree.tree_view(x).filter(~F.col("circular") & F.col("depth").between(1, tree.MAX_DEPTH - 1)).select("trace_id", "span_id", F.lit(True).alias("_linked"))
+    below = F.when(F.col("_linked"), F.col("parent_id")).otherwise("")
+    return x.join(linked, ["trace_id", "span_id"], "left").select("trace_id", "span_id", below.alias("shown_below"))
 
 
 @query("ref_w7_waterfall")
