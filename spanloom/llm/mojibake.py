@@ -5,7 +5,11 @@ another; or unescape character references. UTF-8 read as something else is undon
 so a text garbled in places needs no special case; other pairs act on a word, or in a longer run on each place where implausible pairs lie
 together, on two neighbouring places and on all of them, until no place is left to repair. The search takes the
 cheapest state first, never visits a state twice, and goes through one dearer text between two cheaper ones. Single-byte steps map
-character to character, so all chains of two are tried at once, and UTF-8 after one; a chain through a dearer text must save ``DEARER`` more.
+character to character, so all of them, and all chains of two, are priced at once in arrays, and UTF-8 after one; a chain through a dearer text must
+save ``DEARER`` more.
+
+Every distinct word of the corpus is searched once: words are made distinct over all texts first, and what the search found is joined back
+to the texts that hold the word.
 
 The cost of a text is the sum of the surprise of its character pairs, from the share of the distinct texts of the corpus that hold a pair. Garbled
 pairs are rarer and more numerous than what they stand for. A word is garbled if the search reaches one that is cheaper by the ``MARGIN`` of its kind of
@@ -15,7 +19,6 @@ characters were lost (U+FFFD) or control characters of the C1 range are left. Wh
 
 from __future__ import annotations
 
-import codecs
 import heapq
 import html
 import re
@@ -27,9 +30,11 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.workdir import partitions_for, written
+
 # Encodings that text is read in by mistake, and those that it was written in.
 SINGLE = ("cp1252", "latin_1", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859_2", "iso8859_5", "iso8859_7", "iso8859_15", "koi8_r", "cp437", "cp850", "cp852", "cp866", "cp737", "mac_roman", "mac_cyrillic")
 MULTI = ("gbk", "cp932", "euc_jp", "big5")
@@ -42,12 +47,14 @@ WEAK, TOGETHER = 6.0, 12.0
 STEP_PRICE = 2.0
 #: Bits that a chain through a dearer text must save beyond its margin: it is one of some hundred times as many.
 DEARER = 8.0
+#: Bits that a word must save to follow the steps that mended another word of its text.
+LEAST = 2.0
 #: Different garbled letters that must agree on a chain of single-byte steps.
 LETTERS = 4
 #: Plausible characters between two implausible pairs that belong to one place.
 APART = 3
-#: Pairs kept in the model: the most frequent ones; the others count as unseen.
-MODEL_PAIRS = 400_000
+#: Most bits of a pair. Pairs so rare that they cost as much as an unseen one need no entry in the model, which bounds it: a pair that is kept
+#: occurs in more than one of 2 ** MAX_BITS texts, so there are at most 2 ** MAX_BITS times as many as a text has different pairs on average.
 MAX_BITS = 14.0
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
 
@@ -108,13 +115,25 @@ def count_pairs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
+class _Known(dict):
+    """Bits of the pairs met so far; a new one is asked of the model."""
+
+    def __init__(self, ask):
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, p: str) -> float:
+        self[p] = x = self.ask(p)
+        return x
+
+
 class Model:
     """Surprise in bits of each pair of characters."""
 
     def __init__(self, counts: dict[str, int], texts: int):
         self.bits = {p: min(MAX_BITS, float(np.log2((texts + 1) / (n + 0.3)))) for p, n in counts.items()}
         self.unseen = min(MAX_BITS, float(np.log2((texts + 1) / 0.3)))
-        self.known: dict[str, float] = {}
+        self.known = _Known(self.pair)
         self._matrix: np.ndarray | None = None
 
     def pair(self, p: str) -> float:
@@ -125,11 +144,14 @@ class Model:
 
     def each(self, text: str) -> list[float]:
         t = f" {text} ".translate(_DIGITS)
-        known = self.known
-        return [known[p] if p in known else known.setdefault(p, self.pair(p)) for p in map(add, t, t[1:])]
+        return list(map(self.known.__getitem__, map(add, t, t[1:])))
 
     def cost(self, text: str) -> float:
-        return sum(self.each(text))
+        t = f" {text} ".translate(_DIGITS)
+        return sum(map(self.known.__getitem__, map(add, t, t[1:])))
+
+    def __reduce__(self):
+        return _model, (self.bits, self.unseen)
 
     def matrix(self) -> np.ndarray:
         """Bits of all pairs of ``_CHARS``, as ``pair`` gives them."""
@@ -147,12 +169,26 @@ class Model:
         return self._matrix
 
 
-def fit(docs: DataFrame, keep: int = MODEL_PAIRS) -> Model:
-    """The model of a corpus: counts over its distinct texts, so that copies of a garbled text do not make it plausible; the ``keep`` most frequent pairs go to the driver and the tasks."""
-    texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
+def _model(bits: dict[str, float], unseen: float) -> Model:
+    m = Model({}, 0)
+    m.bits, m.unseen = bits, unseen
+    return m
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """``key, text`` of the distinct texts that are not null; the key is the SHA-256 of the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.sha2(text, 256).alias("key"), text.alias("text")).filter("text is not null").distinct()
+
+
+def fit(texts: DataFrame) -> Model:
+    """The model of the distinct texts given, so that copies of a garbled text do not make it plausible.
+
+    Only pairs that cost less than an unseen one go to the driver and the tasks; the others cost the same without an entry."""
     n = texts.count()
-    top = count_pairs(texts).orderBy(F.desc("n"), "pair").limit(keep).toPandas()
-    return Model(dict(zip(top["pair"], top["n"].tolist())), n)
+    rare = (n + 1) / 2**MAX_BITS - 0.3
+    kept = count_pairs(texts).filter(F.col("n") > F.lit(max(0.0, rare))).toPandas()
+    return Model(dict(zip(kept["pair"], kept["n"].tolist())), n)
 
 
 def _as_utf8(word: str, mapped: str) -> str | None:
@@ -170,32 +206,54 @@ def _between_single(step: str) -> bool:
     return a in TO_BYTE and b in TO_BYTE
 
 
+#: Characters that single-byte steps can meet, blank and ASCII first; the last index stands for none.
+_CHARS = [chr(i) for i in range(128)] + sorted(_ANY_SINGLE)
+_AT = {c: i for i, c in enumerate(_CHARS)}
+_NONE = len(_CHARS)
+_PAIRS = [(a, b) for a in SINGLE for b in SINGLE if a != b]
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Character that each single-byte step makes of each character, and byte of each character in each encoding (0: none)."""
+    byte = np.zeros((len(SINGLE), _NONE + 1), np.uint8)
+    for k, e in enumerate(SINGLE):
+        for c, i in TO_BYTE[e].items():
+            byte[k, _AT[c]] = i
+    char = np.array([[_AT.get(c, _NONE) for c in _FROM_BYTE[e]] for e in SINGLE], np.int16)
+    char[:, 0] = _NONE
+    return np.stack([char[SINGLE.index(b)][byte[SINGLE.index(a)]] for a, b in _PAIRS]), byte
+
+
+_MAP, _BYTE = _tables()
+
+
 @lru_cache(maxsize=200_000)
 def _steps(word: str) -> tuple[tuple[str, str], ...]:
-    """Texts one step away from a word, with the step's name."""
+    """Texts one step away from a word, with the step's name; steps between single-byte encodings are priced in ``Repairer._singles``."""
     out: dict[str, str] = {}
     if "&" in word and (u := html.unescape(word)) != word:
         out[u] = "unescape"
     high = _HIGH.findall(word)
     if not high:
         return tuple(out.items())
-    for enc in SINGLE if not _ANY_SINGLE.isdisjoint(high) else ():
-        mapped = word.translate(_AS_BYTES[enc])
-        if (t := _as_utf8(word, mapped)) is not None:
-            out.setdefault(t, f"{enc}>utf-8")
-        try:
-            raw = mapped.encode("latin_1")
-        except UnicodeEncodeError:
-            continue
-        for other in SINGLE:
-            if other != enc:
-                out.setdefault(codecs.charmap_decode(raw, "strict", _FROM_BYTE[other])[0], f"{enc}>{other}")
-        if len(high) > 1:
-            for other in MULTI:
-                try:
-                    out.setdefault(raw.decode(other), f"{enc}>{other}")
-                except UnicodeDecodeError:
-                    pass
+    if not _ANY_SINGLE.isdisjoint(high):
+        raw = _BYTE[:, [_AT.get(c, _NONE) for c in word]]  # 0: the encoding lacks the character
+        has_utf8 = ((raw[:, :-1] >= 0xC2) & (raw[:, :-1] < 0xF5) & (raw[:, 1:] >= 0x80) & (raw[:, 1:] < 0xC0)).any(1)
+        whole = (raw != 0).all(1)
+        done = set()
+        for k, enc in enumerate(SINGLE):
+            b = raw[k].tobytes()
+            if b in done:  # an encoding before it gave the same bytes
+                continue
+            done.add(b)
+            if has_utf8[k] and (t := _as_utf8(word, b.decode("latin_1"))) is not None:
+                out.setdefault(t, f"{enc}>utf-8")
+            if whole[k] and len(high) > 1:
+                for other in MULTI:
+                    try:
+                        out.setdefault(b.decode(other), f"{enc}>{other}")
+                    except UnicodeDecodeError:
+                        pass
     for enc in MULTI:
         try:
             raw = word.replace("\ufffd", "?").encode(enc)
@@ -210,27 +268,6 @@ def _steps(word: str) -> tuple[tuple[str, str], ...]:
     return tuple(out.items())
 
 
-#: Characters that single-byte steps can meet, blank and ASCII first; the last index stands for none.
-_CHARS = [chr(i) for i in range(128)] + sorted(_ANY_SINGLE)
-_AT = {c: i for i, c in enumerate(_CHARS)}
-_NONE = len(_CHARS)
-_PAIRS = [(a, b) for a in SINGLE for b in SINGLE if a != b]
-
-
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Character that each single-byte step makes of each character, and byte of each character in each encoding (0: none)."""
-    byte = np.zeros((len(SINGLE), _NONE + 1), np.uint8)
-    for k, e in enumerate(SINGLE):
-        for c, i in TO_BYTE[e].items():
-            byte[k, _AT[c]] = i
-    char = np.array([[_AT.get(c, _NONE) for c in _FROM_BYTE[e]] for e in SINGLE], np.int16)
-    char[:, 0] = _NONE
-    return np.stack([char[SINGLE.index(b)][byte[SINGLE.index(a)]] for a, b in _PAIRS]), byte
-
-
-_MAP, _BYTE = _tables()
-
-
 def _kind(steps: tuple[str, ...]) -> str:
     ends = {x.partition(">")[2] for x in steps if ">" in x}
     if "utf-8" in ends:
@@ -261,6 +298,29 @@ class Repairer:
         rest_in, rest_out = k & ~h & np.r_[~single, True], h & ~k & np.r_[True, ~single]
         return out + float(after[a[rest_in]].sum()) + float(before[b[rest_out]].sum())
 
+    def _singles(self, text: str, below: float) -> list[tuple[str, str]]:
+        """Texts one single-byte step away that cost less than ``below``, with the step's name."""
+        t = f" {text} ".translate(_DIGITS)
+        at = np.array([_AT.get(c, _NONE) for c in t])
+        high = at > 127
+        if not high.any() or (at == _NONE).any():
+            return []
+        letters, place = np.unique(at[high], return_inverse=True)
+        to = _MAP[:, letters]
+        ok = np.flatnonzero((to != _NONE).all(1))
+        m = self.model.matrix()
+        near = np.flatnonzero(high[:-1] | high[1:])
+        fixed = float(m[at[:-1], at[1:]].sum() - m[at[near], at[near + 1]].sum())
+        full = np.broadcast_to(at, (len(ok), len(at))).copy()
+        full[:, high] = to[ok][:, place]
+        cost = m[full[:, near], full[:, near + 1]].sum(1) + fixed
+        out: dict[str, str] = {}
+        for i in np.flatnonzero(cost < below + 0.01).tolist():
+            got = text.translate({ord(_CHARS[c]): _CHARS[x] for c, x in zip(letters, to[ok[i]])})
+            if got != text:
+                out.setdefault(got, ">".join(_PAIRS[ok[i]]))
+        return list(out.items())
+
     def _chains(self, text: str, below: float) -> list[tuple[str, tuple[str, ...]]]:
         """The cheapest text two single-byte steps away, where any can cost less than ``below``, and those where UTF-8 follows one."""
         t = f" {text} ".translate(_DIGITS)
@@ -346,6 +406,8 @@ class Repairer:
             above = min(c, best_cost)
             for t, name in _steps(text):
                 push(t, (*steps, name), extra, above, not dearer)
+            for t, name in self._singles(text, above - STEP_PRICE * (len(steps) + 1) - extra):
+                push(t, (*steps, name), extra, above, False)
             if deep and c <= best_cost:
                 for t, names in self._chains(text, above - DEARER - STEP_PRICE * (len(steps) + 2) - extra):
                     push(t, (*steps, *names), extra + DEARER, above, False)
@@ -440,7 +502,8 @@ class Repairer:
             through = self._search(word, deep=True)
             if through[1] > saved and self._sure(word, *through, deep=True):
                 best, saved, steps, sure = *through, True
-            if len(word) > 12:
+            # a whole word mended to one without an implausible pair has no place left to repair
+            if len(word) > 12 and not (sure and not self._places(best)):
                 whole, gain, by = self._in_places(word)
                 if by and gain > saved + 2:
                     best, saved, steps, sure = whole, gain, by, True
@@ -454,42 +517,93 @@ class Repairer:
         """Repaired text, whether it was garbled, and whether nothing of it stayed lost."""
         if not text or not (_HIGH.search(text) or "&" in text):
             return text, False, True
-        words = [(m.start(), m.end(), *self.word(m.group())) for m in _WORD.finditer(text) if not m.group().isascii() or "&" in m.group()]
-        weak: dict[tuple[str, ...], dict[str, float]] = {}
-        for a, b, best, saved, steps, sure in words:
-            if not sure and saved >= WEAK and _kind(steps) == "single" and any(">" in x for x in steps) and self._plausible(text[a:b], best, "single", len(steps)):
-                weak.setdefault(steps, {})[text[a:b]] = saved
-        joint = {k for k, w in weak.items() if len(w) > 1 and sum(w.values()) >= TOGETHER}
-        # words too short to tell by themselves follow the steps that mended others of the text
-        agreed = {steps for *_, steps, sure in words if sure}
-        garbled, out, last = False, [], 0
-        for a, b, best, saved, steps, sure in words:
-            if sure or (steps in joint and text[a:b] in weak[steps]) or (steps in agreed and saved > 2):
-                garbled = True
-                out += [text[last:a], best]
-                last = b
-        fixed = "".join(out) + text[last:] if out else text
-        lost = "\ufffd" in fixed or bool(_C1.search(fixed))
-        return fixed, garbled or lost or "\ufffd" in text, not lost
+        return repaired(self, text, {w: self.word(w) for w in suspicious(text)})
+
+
+def suspicious(text: str) -> set[str]:
+    """Words of a text that can be garbled: those with non-ASCII characters or ``&``."""
+    return {w for w in _WORD.findall(text) if not w.isascii() or "&" in w}
+
+
+def repaired(judge: Repairer, text: str, found: dict[str, tuple[str, float, tuple[str, ...], bool]]) -> tuple[str, bool, bool]:
+    """As ``Repairer.text``, with what the search found for the words of the text; words not in ``found`` stay as they are."""
+    words = [(m.start(), m.end(), *found[m.group()]) for m in _WORD.finditer(text) if m.group() in found]
+    weak: dict[tuple[str, ...], dict[str, float]] = {}
+    for a, b, best, saved, steps, sure in words:
+        if not sure and saved >= WEAK and _kind(steps) == "single" and any(">" in x for x in steps) and judge._plausible(text[a:b], best, "single", len(steps)):
+            weak.setdefault(steps, {})[text[a:b]] = saved
+    joint = {k for k, w in weak.items() if len(w) > 1 and sum(w.values()) >= TOGETHER}
+    # words too short to tell by themselves follow the steps that mended others of the text
+    agreed = {steps for *_, steps, sure in words if sure}
+    garbled, out, last = False, [], 0
+    for a, b, best, saved, steps, sure in words:
+        if sure or (steps in joint and text[a:b] in weak[steps]) or (steps in agreed and saved > LEAST):
+            garbled = True
+            out += [text[last:a], best]
+            last = b
+    fixed = "".join(out) + text[last:] if out else text
+    lost = "\ufffd" in fixed or bool(_C1.search(fixed))
+    return fixed, garbled or lost or "\ufffd" in text, not lost
+
+
+_FOUND = "word string, best string, saved double, steps array<string>, sure boolean"
+
+
+def search_words(texts: DataFrame, model: Model) -> DataFrame:
+    """``word, best, saved, steps, sure`` of the words of ``texts`` for which a cheaper text was found, each distinct word searched once."""
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = Repairer(sent.value)
+        for b in batches:
+            for a in range(0, b.num_rows, 500):
+                rows = []
+                for w in b.column(0).slice(a, 500).to_pylist():
+                    best, saved, steps, sure = r.word(w)
+                    if steps and (sure or saved > LEAST):
+                        rows.append((w, best, saved, list(steps), sure))
+                cols = list(zip(*rows)) if rows else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.bool_()))], ["word", "best", "saved", "steps", "sure"])
+
+    words = texts.select(F.explode(words_of(F.col("text"))).alias("word")).distinct()
+    # long runs cost most and lie beside each other in no order: a hash deals them evenly
+    return words.repartition(max(partitions_for(texts, 1 << 20), 4 * texts.sparkSession.sparkContext.defaultParallelism), "word").mapInArrow(run, _FOUND)
+
+
+def words_of(text: Column) -> Column:
+    """The different suspicious words of a text, as an array."""
+    return F.array_distinct(F.filter(F.split(text, "[\t-\r ]+"), lambda w: w.rlike("[^\\x00-\\x7f]|&")))
 
 
 def repair(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``doc_id, garbled, restored, fixed`` of every row: whether its text is garbled, whether that was fully undone, and the repaired text.
 
-    Null, empty, blank and ASCII texts are not garbled; a text that is not garbled is returned as it is. Other columns play no part."""
-    model = model or fit(docs)
+    Null, empty, blank and ASCII texts are not garbled; a text that is not garbled is returned as it is. Other columns play no part; repeated rows
+    come out as often as they are given. Runs jobs: the distinct texts and what was found for their words are written."""
+    texts = written(distinct_texts(docs), "texts")
+    model = model or fit(texts)
+    found = written(search_words(texts, model), "found-words")
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    # only texts with a word for which something was found, or with lost characters, can be garbled
+    held = texts.filter(F.col("text").rlike("[^\\x00-\\x7f]|&")).select("key", F.explode(words_of(F.col("text"))).alias("word"))
+    per_text = held.join(found, "word").groupBy("key").agg(F.collect_list(F.struct("word", "best", "saved", "steps", "sure")).alias("found"))
+    lost = F.col("text").rlike("[\\x{FFFD}\\x80-\\x84\\x86-\\x9f]")
+    todo = texts.join(per_text, "key", "left").filter(lost | F.col("found").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Repairer(sent.value)
+        judge = Repairer(sent.value)
         for b in batches:
-            for a in range(0, b.num_rows, 1000):
-                part = b.slice(a, 1000)
-                got = [r.text(t.as_py()) for t in part.column(1)]
+            for a in range(0, b.num_rows, 500):
+                part = b.slice(a, 500)
+                got = []
+                for text, words in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    got.append(repaired(judge, text, {x["word"]: (x["best"], x["saved"], tuple(x["steps"]), x["sure"]) for x in words or ()}))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([g for _, g, _ in got]), pa.array([bool(g and w) for _, g, w in got]), pa.array([x for x, _, _ in got], pa.string())],
-                    ["doc_id", "garbled", "restored", "fixed"],
+                    [part.column(0), pa.array([x for x, _, _ in got], pa.string()), pa.array([g for _, g, _ in got], pa.bool_()), pa.array([w for _, _, w in got], pa.bool_())],
+                    ["key", "fixed", "garbled", "whole"],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, garbled boolean, restored boolean, fixed string")
+    judged = todo.select("key", "text", "found").mapInArrow(run, "key string, fixed string, garbled boolean, whole boolean")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("key", F.sha2("text", 256))
+    garbled = F.coalesce("garbled", F.lit(False))
+    return rows.join(judged, "key", "left").select("doc_id", garbled.alias("garbled"), (garbled & F.coalesce("whole", F.lit(True))).alias("restored"), F.coalesce("fixed", "text").alias("fixed"))
