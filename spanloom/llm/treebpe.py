@@ -1,8 +1,8 @@
 """Encoding with a byte-level BPE tokenizer by tree reduction.
 
-An encoding of a piece of text is an element of a monoid: its token ids, and where its words (the matches of the
-tokenizer's splitting pattern; merges never cross them) begin. A text is cut into leaves, the leaves are encoded on their own, and neighbours
-are joined pairwise up the tree. Joining has to mend the tokens around the cut only:
+An encoding of a piece of text is an element of a monoid: its words (the matches of the tokenizer's splitting pattern; merges never cross them), where
+each begins, and the token ids of each. A text is cut into leaves, the leaves are encoded on their own, and neighbours
+are joined pairwise up the tree. Joining has to mend the words around the cut only:
 
 - On the left, a word that ends two characters or more before the cut was found by looking at characters left of the cut alone
   (the pattern looks at most one character past the word, or three past its start). It is a word of the joined text too.
@@ -10,24 +10,28 @@ are joined pairwise up the tree. Joining has to mend the tokens around the cut o
   back, so from that place on both splittings, and with them the tokens, are the same.
 
 So the window grows until both sides provably stay as they are, and the result equals the encoding of the whole text. Decoding
-concatenates the bytes up the same tree.
+concatenates the bytes up the same tree. The vocabulary is read where the job is planned and sent to the tasks.
 """
 
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Characters of a leaf; texts up to this length are one leaf.
-LEAF = 8192
+#: Characters of a leaf: nine in ten texts of a few sentences have several.
+LEAF = 64
+#: Words whose ids a codec keeps.
+WORDS = 500_000
 
 # The splitting pattern of byte_bpe_50k, as its vocabulary's README gives it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -39,61 +43,56 @@ _SPLIT = regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{_WS}\p{{L}}\p{{
 class Codec:
     """A tokenizer read from a rank file."""
 
-    def __init__(self, vocab: str = VOCAB, leaf: int = LEAF):
+    def __init__(self, vocab: str | bytes = VOCAB, leaf: int = LEAF):
         import tiktoken
 
-        with open(vocab, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        raw = vocab if isinstance(vocab, bytes) else Path(vocab).read_bytes()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
         self.enc = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
-        for k, v in ranks.items():
-            self.bytes_of[v] = len(k)
         self.leaf = max(4, leaf)
-
-    def _leaf(self, text: str, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of text[a:b] on its own, begins of its words (places in the text), and the token at each of them."""
-        part = text[a:b]
-        ids = np.array(self.enc.encode_ordinary(part), np.int32)
-        begins = [m.start() for m in _SPLIT.finditer(part)]
-        ends = np.concatenate([[0], np.cumsum(self.bytes_of[ids])])
-        sizes = [len(part[x:y].encode()) for x, y in zip(begins, begins[1:] + [len(part)])]
-        at = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if sizes else np.zeros(0, np.int64)
-        tok = np.searchsorted(ends, at)
-        # a place where the library split otherwise is no sure begin of a word
-        sure = ends[np.minimum(tok, len(ends) - 1)] == at
-        return ids, np.array(begins, np.int64)[sure] + a, tok[sure]
-
-    def _join(self, text: str, left: tuple, right: tuple, cut: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        (li, lb, lt), (ri, rb, rt) = left, right
-        k = int(np.searchsorted(lb, cut - 2, side="right")) - 1  # words before lb[k] end two characters before the cut or earlier
-        k = max(k, 0)
-        window: list[int] = []
-        begins, toks = [], []
-        base = int(lt[k])
-        for m in _SPLIT.finditer(text, int(lb[k]), end):
+        self.known: dict[str, list[int]] = {}
+
+    def _word(self, word: str) -> list[int]:
+        got = self.known.get(word)
+        if got is None:
+            got = self.enc.encode_ordinary(word)
+            if len(word) <= 32:
+                if len(self.known) >= WORDS:
+                    self.known.clear()
+                self.known[word] = got
+        return got
+
+    def _leaf(self, part: str, at: int) -> tuple[list[int], list[list[int]]]:
+        """Begins (places in the text, where the part lies ``at``) and ids of the words of a part on its own."""
+        begins, ids, word = [], [], self._word
+        for m in _SPLIT.finditer(part):
+            begins.append(at + m.start())
+            ids.append(word(m.group()))
+        return begins, ids
+
+    def _join(self, text: str, left: tuple, right: tuple, cut: int, end: int) -> tuple[list[int], list[list[int]]]:
+        (lb, li), (rb, ri) = left, right
+        k = max(bisect_right(lb, cut - 2) - 1, 0)  # words before lb[k] end two characters before the cut or earlier
+        begins, ids = lb[:k], li[:k]
+        for m in _SPLIT.finditer(text, lb[k], end):
             begins.append(m.start())
-            toks.append(base + len(window))
-            window += self.enc.encode_ordinary(m.group())
+            ids.append(self._word(m.group()))
             if m.end() >= cut:
-                j = int(np.searchsorted(rb, m.end()))
+                j = bisect_left(rb, m.end())
                 if j < len(rb) and rb[j] == m.end():
-                    ids = np.concatenate([li[:base], np.array(window, np.int32), ri[int(rt[j]) :]])
-                    shift = base + len(window) - int(rt[j])
-                    return ids, np.concatenate([lb[:k], begins, rb[j:]]), np.concatenate([lt[:k], toks, rt[j:] + shift])
-        return np.concatenate([li[:base], np.array(window, np.int32)]), np.concatenate([lb[:k], begins]).astype(np.int64), np.concatenate([lt[:k], toks]).astype(np.int64)
+                    return begins + rb[j:], ids + ri[j:]
+        return begins, ids
 
-    def encode(self, text: str | None) -> list[int] | np.ndarray:
+    def encode(self, text: str | None) -> list[int]:
         """Token ids without special tokens; null and empty text give an empty list. Strings of special tokens are ordinary text."""
         if not text:
             return []
-        if len(text) <= self.leaf:
-            return self.enc.encode_ordinary(text)
         cuts = [*range(0, len(text), self.leaf), len(text)]
-        level = [(a, b, self._leaf(text, a, b)) for a, b in zip(cuts, cuts[1:])]
+        level = [(a, b, self._leaf(text[a:b], a)) for a, b in zip(cuts, cuts[1:])]
         while len(level) > 1:
             up = [(x[0], y[1], self._join(text, x[2], y[2], x[1], y[1])) for x, y in zip(level[::2], level[1::2])]
             level = up + level[len(level) & ~1 :]
-        return level[0][2][0]
+        return list(chain.from_iterable(level[0][2][1]))
 
     def decode(self, ids) -> str:
         """The text of ids, halves decoded to bytes and put together up the tree."""
@@ -109,7 +108,7 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(vocab: str = VOCAB, leaf: int = LEAF) -> Codec:
+def codec(vocab: str | bytes = VOCAB, leaf: int = LEAF) -> Codec:
     """One codec per worker process."""
     return Codec(vocab, leaf)
 
@@ -119,8 +118,11 @@ def encode_texts(docs: DataFrame, vocab: str = VOCAB, leaf: int = LEAF) -> DataF
 
     Null and empty texts give an empty list; blank ones are tokenized as they are. Other columns play no part."""
 
+    # the rank file has one line per token of the vocabulary, under a megabyte; workers need no copy of it
+    sent = docs.sparkSession.sparkContext.broadcast(Path(vocab).read_bytes())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocab, leaf)
+        c = codec(sent.value, leaf)
         for b in batches:
             ids, held, start = [], 0, 0
             for i, t in enumerate(b.column(1)):
