@@ -1,7 +1,8 @@
 """Top N items of every group by statistics-guided skipping.
 
 Items are clustered by group: ranges of (group, id) become files, so a file holds few groups and a very large group
-is spread over several files. In a file the rows are sorted by falling score and cut into row groups; the footer lists,
+is spread over several files. In a file the rows of each group are parted by rank into layers: the best ``LAYER`` ones, then four times as many, and so on.
+A layer of all groups is cut into row groups, so that what lies deep in a large group never shares a row group with a small one; the footer lists,
 besides the statistics of the scores, the groups of each row group. A reader takes the row groups in descending maximum score, keeps the N
 best items of every group, and skips those whose maximum lies strictly below the current N-th score of all their groups: no row in
 them can enter any list, and equal scores are still read for the tie rule. Each file gives at most N items per group; where a group is spread, these few
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from spanloom.workdir import new_path, partitions_for, written
 
 ROWS_PER_ROW_GROUP = 4096
+#: Rows of a group in its first layer. Any N may be asked; one up to this number finds its items in the first layer.
+LAYER = 32
 #: Rows that a writer gathers before it closes a file and starts the next one.
 ROWS_PER_FILE = 1 << 20
 _FILE_SCHEMA = pa.schema([("g", pa.string()), ("id", pa.int64()), ("score", pa.float64())])
@@ -43,17 +46,31 @@ def usable(items: DataFrame) -> DataFrame:
     return ok.groupBy("g", "id").agg(F.max("score").alias("score"))
 
 
+def layers(rank: np.ndarray) -> np.ndarray:
+    """Layer of each rank (from 0) in its group: LAYER ranks, then up to 4, 16, 64 ... times as many."""
+    return np.where(rank < LAYER, 0, 1 + np.floor(np.log2(np.maximum(rank, LAYER) / LAYER) / 2)).astype(np.int64)
+
+
 def _write_file(t: pa.Table, folder: str) -> str:
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
-    t = t.sort_by([("score", "descending"), ("id", "ascending")])
+    t = t.sort_by([("g", "ascending"), ("score", "descending"), ("id", "ascending")])
     names = pc.unique(t["g"])
     code = pc.index_in(t["g"], names).to_numpy()
-    lists = [np.unique(code[i : i + ROWS_PER_ROW_GROUP]).tolist() for i in range(0, t.num_rows, ROWS_PER_ROW_GROUP)]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    rank = np.arange(len(code)) - np.repeat(first, np.diff(np.r_[first, len(code)]))
+    layer = layers(rank)
+    order = np.argsort(layer, kind="stable")
+    t, code, layer = t.take(pa.array(order)), code[order], layer[order]
+    edges = np.r_[np.flatnonzero(np.r_[True, layer[1:] != layer[:-1]]), len(layer)]
+    cuts = [(i, min(i + ROWS_PER_ROW_GROUP, int(b))) for a, b in zip(edges, edges[1:]) for i in range(int(a), int(b), ROWS_PER_ROW_GROUP)]
+    lists = [np.unique(code[a:b]).tolist() for a, b in cuts]
     meta = base64.b64encode(zlib.compress(json.dumps({"names": names.to_pylist(), "groups": lists}).encode()))
+    t = t.replace_schema_metadata({"row_group_groups": meta})
     file = f"{path}/{uuid.uuid4().hex}.parquet"  # a retried task writes anew; only files that are returned count
-    with fs.open_output_stream(file) as out:
-        pq.write_table(t.replace_schema_metadata({"row_group_groups": meta}), out, row_group_size=ROWS_PER_ROW_GROUP, compression="zstd")
+    with fs.open_output_stream(file) as out, pq.ParquetWriter(out, t.schema, compression="zstd") as w:
+        for a, b in cuts:
+            w.write_table(t.slice(a, b - a), row_group_size=ROWS_PER_ROW_GROUP)
     return folder + file[len(path) :]
 
 
