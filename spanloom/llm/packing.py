@@ -1,12 +1,13 @@
 """Filling fixed-capacity containers with texts by lexical retrieval.
 
-Texts become items of at most one capacity in tokens; only a larger text is split, into full pieces and a rest. Items are dealt to
-shards of bounded size by a hash. Each shard holds a BM25 inverted index of its own items, over token ids, with the document
-frequencies and the mean length of the whole corpus (at most one number per token of the vocabulary: a bounded broadcast). The largest
+Texts become items of at most one capacity in tokens; only a larger text is split, into full pieces and a rest. Items that are alike go to one
+shard of bounded size (``regions``), so that an item and its neighbours meet. Each shard holds a BM25 inverted index of its items, over token ids, with
+the document frequencies and the mean length of the whole corpus (at most one number per token of the vocabulary: a bounded broadcast). The largest
 unused item opens a container; the index returns its unused neighbours, best first, and every one that still fits goes in. Items
 without a token in common come last in that order, so a container is closed only when nothing unused in the shard fits any more.
 
 The last place in a container is given by size instead: see ``_fill``. A shard leaves at most one container open for want of items.
+``recall`` measures how many of the best neighbours in the whole corpus a seed can reach.
 """
 
 from __future__ import annotations
@@ -15,14 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.dataset as ds
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.llm import regions
 from spanloom.llm.treebpe import VOCAB, encode_texts
-from spanloom.workdir import written
+from spanloom.workdir import drop_table, new_path, written
 
 CAPACITY = 2048
-SHARD_ITEMS = 8192
+#: Items of a shard: small neighbouring leaves are put together up to the first number, none holds more than the second.
+SHARD_ITEMS = (8_192, 49_152)
 K1, B = 1.2, 0.75
 
 
@@ -44,42 +49,51 @@ class Index:
 
     def scores(self, seed: int) -> np.ndarray:
         """Score of every item of the shard for the tokens of the seed."""
-        tokens = np.unique(self.docs[seed])
+        return self.query(self.docs[seed])
+
+    def query(self, ids: np.ndarray) -> np.ndarray:
+        """Score of every item of the shard for the different tokens of ``ids``."""
         out = np.zeros(len(self.docs))
-        a, b = self.start[tokens], self.start[tokens + 1]
-        n = b - a
-        if n.sum():
-            at = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            np.add.at(out, self.item[at], self.weight[at])
+        for t in np.unique(ids).tolist():
+            a, b = self.start[t], self.start[t + 1]
+            out[self.item[a:b]] += self.weight[a:b]  # an item occurs once in a posting list
         return out
 
 
-def _fill(order: np.ndarray, size: np.ndarray, room: int) -> tuple[list[int], int]:
-    """Items of ``order`` that go into ``room``, best first, each that fits; what room is left.
+#: Best ranked items that are put in order at once; the others only where these do not fill the room.
+RANKED = 256
+
+
+def _fill(fits: np.ndarray, score: np.ndarray, size: np.ndarray, room: int) -> tuple[list[int], int]:
+    """Items of ``fits`` that go into ``room``, by falling ``score`` (of equal ones the first), each that fits; what room is left.
 
     Where the next best would leave a gap that no other item fills, the item that fills the room most exactly takes its place."""
     taken: list[int] = []
-    s = size[order]
+    s = size[fits]
     live = s <= room
-    i = 0
-    while True:
-        rest = np.flatnonzero(live[i:])
-        if not len(rest):
-            break
-        i += int(rest[0])
+    order, at = np.zeros(0, np.int64), 0
+    if len(fits) > RANKED:
+        head = np.flatnonzero(score > np.partition(score, len(score) - RANKED)[len(score) - RANKED])
+        order = head[np.argsort(-score[head], kind="stable")]
+    while live.any():
+        while at < len(order) and not live[order[at]]:
+            at += 1
+        if at == len(order):
+            order = np.argsort(-score, kind="stable")  # begins with what was ordered before
+            continue
+        i = order[at]
+        live[i] = False
         left = room - s[i]
-        if left and not (live & (np.arange(len(s)) != i) & (s <= left)).any():
+        if left and not (live & (s <= left)).any():
+            live[i] = True
             fit = np.flatnonzero(live & (s <= room))
-            i_best = fit[np.argmax(s[fit])]  # the best ranked among the largest
-            taken.append(int(order[i_best]))
-            return taken, int(room - s[i_best])
-        taken.append(int(order[i]))
+            largest = fit[s[fit] == s[fit].max()]
+            i = largest[np.argmax(score[largest])]
+            taken.append(int(fits[i]))
+            return taken, int(room - s[i])
+        taken.append(int(fits[i]))
         room = int(left)
-        live[i] = False
         live &= s <= room
-        i += 1
-        if i >= len(s):
-            break
     return taken, room
 
 
@@ -99,7 +113,7 @@ def pack_shard(docs: list[np.ndarray], df: np.ndarray, n_all: int, mean_len: flo
         if len(fits):
             index = index or Index(docs, df, n_all, mean_len)
             score = index.scores(seed)[fits]
-            got, room = _fill(fits[np.lexsort((fits, -score))], size, room)
+            got, room = _fill(fits, score, size, room)
             out[got] = number
             unused[got] = False
         number += 1
@@ -112,35 +126,120 @@ def _items(encoded: DataFrame, capacity: int) -> DataFrame:
     return encoded.select("doc_id", "ids", F.explode(cut).alias("piece")).select("doc_id", "piece", F.slice("ids", F.col("piece") * capacity + 1, capacity).alias("ids"))
 
 
-def pack_texts(docs: DataFrame, capacity: int = CAPACITY, vocab: str = VOCAB, shard_items: int = SHARD_ITEMS) -> DataFrame:
+class Corpus:
+    """The items of a table of texts, written with their shard, and what is known of the whole corpus.
+
+    Runs jobs: encoding, document frequencies (one number per token of the vocabulary goes to the driver), a sample of at most ``regions.SAMPLE`` items for
+    the tree, and the items per leaf."""
+
+    def __init__(self, docs: DataFrame, capacity: int = CAPACITY, vocab: str = VOCAB, shard_items: tuple[int, int] = SHARD_ITEMS):
+        spark = docs.sparkSession
+        items = written(_items(encode_texts(docs, vocab), capacity), "items")
+        n, total = items.agg(F.count("*"), F.sum(F.size("ids"))).collect()[0]
+        freq = items.select(F.explode(F.array_distinct("ids")).alias("token")).groupBy("token").agg(F.count("*").alias("df")).toPandas()
+        df = np.zeros(int(freq["token"].max()) + 1 if len(freq) else 1, np.int64)
+        df[freq["token"].to_numpy(np.int64)] = freq["df"].to_numpy(np.int64)
+        self.n, self.mean_len = n, (total or 0) / max(1, n)
+        self.df = spark.sparkContext.broadcast(df)
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        least, most = shard_items
+        tree = regions.Tree()
+        if n > most:
+            share = F.pmod(F.xxhash64("doc_id", "piece", F.lit(1)), F.lit(1 << 30)) < F.lit(int(min(1.0, regions.SAMPLE / n) * (1 << 30)))
+            took = items.filter(share & (F.size("ids") > 0)).select("ids").limit(2 * regions.SAMPLE).toArrow()["ids"].combine_chunks()
+            tree = regions.fit(regions.vectors(*_flat(took), idf), n, most)
+        sent, kind = spark.sparkContext.broadcast((tree, idf)), docs.schema["doc_id"].dataType.simpleString()
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree, idf = sent.value
+            for b in batches:
+                for a in range(0, b.num_rows, 2000):
+                    part = b.slice(a, 2000)
+                    leaf = tree.leaf(regions.vectors(*_flat(part.column(2)), idf)) if tree.kids else np.zeros(part.num_rows, np.int64)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaf.astype(np.int32))], ["doc_id", "piece", "ids", "leaf"])
+
+        placed = written(items.mapInArrow(place, f"doc_id {kind}, piece int, ids array<int>, leaf int"), "placed-items")
+        drop_table(items)
+        counts = np.zeros(tree.leaves, np.int64)
+        for leaf, c in placed.groupBy("leaf").count().collect():
+            counts[leaf] = c
+        first, parts, self.shards = regions.shards(counts, least, most)
+        # as many entries as the tree has leaves, at most one per LEAF_ITEMS of the sample
+        at = F.col("leaf") + 1
+        one, many = (F.element_at(F.array(*[F.lit(int(x)) for x in v]), at) for v in (first, parts))
+        shard = one + F.pmod(F.xxhash64("doc_id", "piece"), many)
+        #: ``shard, doc_id, piece, ids``
+        self.items = placed.select(shard.cast("int").alias("shard"), "doc_id", "piece", "ids")
+
+    def by_shard(self, run, schema: str) -> DataFrame:
+        """``run(table)`` over the items of each shard, sorted by ``doc_id, piece``; a shard is one task's."""
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b for b in batches if b.num_rows]
+            if held:
+                yield from run(pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("piece", "ascending")]))
+
+        return self.items.repartitionById(self.shards, "shard").mapInArrow(whole, schema)
+
+
+def _flat(ids) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a list column in one array, and the length of each list."""
+    return ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _lists(ids) -> list[np.ndarray]:
+    flat, sizes = _flat(ids)
+    off = np.r_[0, np.cumsum(sizes)]
+    return [flat[a:b] for a, b in zip(off, off[1:])]
+
+
+def pack_texts(docs: DataFrame, capacity: int = CAPACITY, vocab: str = VOCAB, shard_items: tuple[int, int] = SHARD_ITEMS) -> DataFrame:
     """``shard, container, doc_id, piece, n_tokens``: every text, whole in one container or, if larger than one, in pieces.
 
     A container is (shard, container). Null and empty texts have no tokens and lie, without taking room, in a shard's container 0.
     Repeated rows are items each. Empty input gives no rows."""
-    encoded = written(encode_texts(docs, vocab), "encoded")
-    items = written(_items(encoded, capacity), "items")
-    n_all, total = items.agg(F.count("*"), F.sum(F.size("ids"))).collect()[0]
-    # one row per token of the vocabulary at most
-    freq = items.select(F.explode(F.array_distinct("ids")).alias("token")).groupBy("token").agg(F.count("*").alias("df")).toPandas()
-    df = np.zeros(int(freq["token"].max()) + 1 if len(freq) else 1, np.int64)
-    df[freq["token"].to_numpy(np.int64)] = freq["df"].to_numpy(np.int64)
-    sent = docs.sparkSession.sparkContext.broadcast(df)
-    mean_len = (total or 0) / max(1, n_all)
-    shards = max(1, -(-n_all // shard_items))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("piece", "ascending")])
-        ids = t["ids"].combine_chunks()
-        flat, off = ids.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]
-        parts = [flat[a:b] for a, b in zip(off, off[1:])]
-        at = pack_shard(parts, sent.value, n_all, mean_len, capacity)
-        cols = [t["shard"], pa.chunked_array([pa.array(at, pa.int32())]), t["doc_id"], t["piece"], pa.chunked_array([pa.array(np.diff(off), pa.int32())])]
+    c = Corpus(docs, capacity, vocab, shard_items)
+    df, n, mean_len = c.df, c.n, c.mean_len
+
+    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        parts = _lists(t["ids"].combine_chunks())
+        at = pack_shard(parts, df.value, n, mean_len, capacity)
+        sizes = pa.array(np.array([len(p) for p in parts]), pa.int32())
+        cols = [t["shard"], pa.chunked_array([pa.array(at, pa.int32())]), t["doc_id"], t["piece"], pa.chunked_array([sizes])]
         yield from pa.table(cols, ["shard", "container", "doc_id", "piece", "n_tokens"]).combine_chunks().to_batches()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int").alias("shard")
-    dealt = items.select(shard, "doc_id", "piece", "ids").repartitionById(shards, "shard")
-    return dealt.mapInArrow(run, f"shard int, container int, doc_id {kind}, piece int, n_tokens int")
+    return c.by_shard(run, f"shard int, container int, doc_id {kind}, piece int, n_tokens int")
+
+
+def recall(docs: DataFrame, seeds: Column, k: int = 10, capacity: int = CAPACITY, vocab: str = VOCAB, shard_items: tuple[int, int] = SHARD_ITEMS) -> DataFrame:
+    """``n_seeds, n_neighbours, recall``: of the ``k`` best neighbours in the whole corpus of every item that ``seeds`` names (a condition on ``doc_id``),
+    the share that lies in the seed's shard. A neighbour as good as the ``k``-th best counts for it; items without a common token are none.
+
+    The seeds are read from a written table in blocks by every shard's task and scored against the whole shard: exact, by brute force."""
+    c = Corpus(docs, capacity, vocab, shard_items)
+    df, n, mean_len = c.df, c.n, c.mean_len
+    path = new_path(docs.sparkSession, "seeds")
+    c.items.filter(seeds & (F.size("ids") > 0)).select(F.col("shard").alias("home"), F.xxhash64("doc_id", "piece").alias("seed"), "ids").write.parquet(path)
+
+    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        index = Index(_lists(t["ids"].combine_chunks()), df.value, n, mean_len)
+        shard = t["shard"][0].as_py()
+        own = t.select(["key"])["key"].to_numpy()
+        fs, root = pafs.FileSystem.from_uri(path)
+        for block in ds.dataset(root, filesystem=fs, format="parquet").to_batches(batch_size=512):
+            out: list[tuple] = []
+            for home, seed, ids in zip(block.column("home").to_pylist(), block.column("seed").to_pylist(), _lists(block.column("ids"))):
+                s = index.query(ids)
+                s[own == seed] = 0.0
+                best = np.sort(s[s > 0])[::-1][:k]
+                out += [(seed, home == shard, float(x)) for x in best]
+            if out:
+                a, b, x = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b), pa.array(np.round(x, 9))], ["seed", "near", "score"])
+
+    c.items = c.items.withColumn("key", F.xxhash64("doc_id", "piece"))
+    found = c.by_shard(run, "seed bigint, near boolean, score double")
+    w = Window.partitionBy("seed").orderBy(F.desc("score"), F.desc("near"))
+    top = found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    return top.agg(F.countDistinct("seed").alias("n_seeds"), F.count("*").alias("n_neighbours"), F.round(F.avg(F.col("near").cast("double")), 4).alias("recall"))
