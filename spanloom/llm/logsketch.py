@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.workdir import written
+
 ALPHA = 0.01
 #: Added to the exponents so that codes of either sign never meet; infinite values have codes of their own.
 _OFFSET, _INF = 1 << 30, 1 << 40
@@ -51,12 +53,34 @@ def combine(sketches: list[DataFrame], by: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [s.select(*by, "code", "n") for s in sketches]).groupBy(*by, "code").agg(F.sum("n").alias("n"))
 
 
-def percentiles(sketched: DataFrame, by: list[str], qs: list[float], alpha: float = ALPHA) -> DataFrame:
-    """``by, q, n, estimate`` for each group and each of ``qs`` (0 to 1); ``n`` is the number of values of the group."""
+def _hits(sketched: DataFrame, by: list[str], qs: list[float]) -> DataFrame:
+    """``by, q, n, code, skip``: the bucket that holds each percentile of each group, and how many values of the bucket come before it."""
     up = Window.partitionBy(*by).orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(*by)
     cum = sketched.withColumn("_upto", F.sum("n").over(up)).withColumn("_all", F.sum("n").over(every))
     wanted = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.floor(F.lit(float(q)) * (F.col("_all") - 1)).alias("r")) for q in qs])
     here = F.filter(wanted, lambda w: (w["r"] < F.col("_upto")) & (w["r"] >= F.col("_upto") - F.col("n")))
-    got = cum.select(*by, "_all", "code", F.explode(here).alias("_w"))
-    return got.select(*by, F.col("_w.q").alias("q"), F.col("_all").alias("n"), estimate(F.col("code"), alpha).alias("estimate"))
+    got = cum.select(*by, "_all", "code", (F.col("_upto") - F.col("n")).alias("_before"), F.explode(here).alias("_w"))
+    return got.select(*by, F.col("_w.q").alias("q"), F.col("_all").alias("n"), "code", (F.col("_w.r") - F.col("_before")).alias("skip"))
+
+
+def percentiles(sketched: DataFrame, by: list[str], qs: list[float], alpha: float = ALPHA) -> DataFrame:
+    """``by, q, n, estimate`` for each group and each of ``qs`` (0 to 1); ``n`` is the number of values of the group."""
+    return _hits(sketched, by, qs).select(*by, "q", "n", estimate(F.col("code"), alpha).alias("estimate"))
+
+
+def checked(df: DataFrame, by: list[str], value: str, qs: list[float], alpha: float = ALPHA) -> DataFrame:
+    """``by, q, n, exact, estimate, within``: each percentile beside the exact one, and whether it keeps the bound.
+
+    The sketch tells which bucket holds the exact value; only the values of those buckets are counted, equal ones together, and ranked."""
+    hits = written(_hits(sketch(df, by, value, alpha), by, qs), "percentile-buckets")
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in [*by, "code"]])
+    rows = df.select(*by, F.col(value).alias("_x"), bucket(F.col(value), alpha).alias("code"))
+    wanted = hits.select(*by, "code").distinct()
+    vals = rows.join(wanted, same(rows, wanted), "left_semi").groupBy(*by, "code", "_x").agg(F.count("*").alias("_c"))
+    up = Window.partitionBy(*by, "code").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    vals = vals.withColumn("_upto", F.sum("_c").over(up))
+    on = same(hits, vals) & (hits["skip"] < vals["_upto"]) & (hits["skip"] >= vals["_upto"] - vals["_c"])
+    x, e = F.col("_x").cast("double"), estimate(hits["code"], alpha)
+    near = F.abs(e - x) <= F.abs(x) * F.lit(alpha * (1 + 1e-9))
+    return hits.join(vals, on).select(*[hits[c] for c in by], "q", "n", F.col("_x").alias("exact"), e.alias("estimate"), near.alias("within"))

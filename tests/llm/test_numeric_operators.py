@@ -28,6 +28,38 @@ def test_percentiles_within_bound(spark):
     assert logsketch.sketch(df.limit(0), ["k"], "v").count() == 0
 
 
+def test_checked_gives_exact_values(spark):
+    rng = random.Random(6)
+    values = {"a": [rng.randint(-50, 10**6) for _ in range(2000)], None: [3, 3, 4], "same": [7] * 900}
+    df = spark.createDataFrame([(k, v, "x") for k, vs in values.items() for v in vs] + [("none", None, "x")], "k string, v long, code string").drop("code")
+    got = logsketch.checked(df, ["k"], "v", [0.0, 0.5, 0.99]).collect()
+    assert len(got) == 9 and all(r.within for r in got)
+    for r in got:
+        assert r.exact == sorted(values[r.k])[math.floor(r.q * (len(values[r.k]) - 1))]
+
+
+def test_names_that_share_no_hash(spark, tmp_path):
+    from spanloom.llm import queries
+
+    rows = [("a" * 32, "1", None, 1704067200, 5, "svc", 2), ("A" * 32, "01", None, 1704067200, 9, None, 3), ("b" * 32, "1", None, None, None, "svc", 1), ("", "1", None, 1, 1, "no", 1)]
+    df = spark.createDataFrame(rows, "trace_id string, span_id string, parent_id string, start_time long, duration long, service_name string, arrival long")
+    got = sorted(map(tuple, queries._named_durations(df).collect()), key=str)
+    assert got == [("svc", None, 1), (None, 9, 3)] or got == [(None, 9, 3), ("svc", None, 1)]
+
+
+def test_layers_never_share_a_row_group(tmp_path):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    g = ["big"] * 500 + [f"s{i % 200}" for i in range(800)]
+    t = pa.table({"g": g, "id": pa.array(np.arange(1300)), "score": pa.array(rng.random(1300))})
+    file = topn._write_file(t, f"file://{tmp_path}")
+    out, groups, read = topn.read_file(file, 5)
+    assert groups == 1 + int(topn.layers(np.array([499]))[0]) and read == 1
+    want = {i for k in set(g) for i in sorted((j for j in range(1300) if g[j] == k), key=lambda j: -t["score"][j].as_py())[:5]}
+    assert set(out.column(1).to_pylist()) == want
+
+
 def test_top_n_equals_brute_force(spark):
     rng = random.Random(4)
     rows = [("hot" if rng.random() < 0.4 else f"g{rng.randint(0, 50)}", i, float(rng.randint(0, 300))) for i in range(30_000)]
@@ -52,4 +84,4 @@ def test_skipping_saves_reading(tmp_path):
     rng = np.random.default_rng(0)
     t = pa.table({"g": pa.array(["big"] * topn_rows + ["small"]), "id": pa.array(np.arange(topn_rows + 1)), "score": pa.array(np.r_[rng.random(topn_rows), 2.0])})
     out, groups, read = topn.read_file(topn._write_file(t, f"file://{tmp_path}"), 5)
-    assert groups >= 40 and read <= 2 and out.num_rows == 6
+    assert groups >= 40 and read == 1 and out.num_rows == 6

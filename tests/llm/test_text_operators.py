@@ -45,7 +45,7 @@ def test_packing_keeps_every_token(spark):
     words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
     docs = [(i, " ".join(rng.choices(words, k=rng.randint(1, 60)))) for i in range(800)] + [(900, " ".join(rng.choices(words, k=3000))), (901, None), (902, ""), (903, "alpha"), (903, "alpha")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    rows = packing.pack_texts(df, capacity=256, shard_items=300).collect()
+    rows = packing.pack_texts(df, capacity=256, shard_items=(200, 300)).collect()
     c = treebpe.Codec()
     need = sorted((d, len(c.encode(t))) for d, t in docs)
     have: dict = {}
@@ -71,6 +71,44 @@ def test_retrieval_prefers_shared_words():
     assert at[0] == at[2] != at[1]
 
 
+TOPICS = ["apple pear plum cherry", "brick mortar beam tile", "violin cello flute drum", "granite basalt slate chalk"]
+
+
+def test_alike_texts_meet_in_bounded_shards(spark):
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choices(TOPICS[i % 4].split(), k=12)) + f" {i}") for i in range(2000)]
+    docs += [(5000 + i, "one text that a third of all rows repeat word for word") for i in range(1000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = packing.pack_texts(df, capacity=512, shard_items=(100, 600)).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(d for d, _ in docs)
+    held: dict = {}
+    for r in rows:
+        held.setdefault(r.shard, []).append(r.doc_id)
+    assert max(map(len, held.values())) <= 800 and len(held) >= 4
+    got = packing.recall(df.filter("doc_id < 5000"), packing.F.col("doc_id") % 100 == 0, 10, 512, shard_items=(100, 600)).collect()[0]
+    assert got.n_seeds == 20 and got.recall >= 0.9
+
+
+def test_fill_takes_the_best_that_fit():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        n = int(rng.integers(1, 900))
+        size, score, room = rng.integers(1, 40, n), rng.integers(0, 30, n).astype(float), int(rng.integers(40, 300))
+        taken, left = packing._fill(np.arange(n), score, size, room)
+        assert len(set(taken)) == len(taken) and room - size[taken].sum() == left >= 0
+        rest = np.setdiff1d(np.arange(n), taken)
+        assert not (size[rest] <= left).any()
+        # all but the last are the best ranked of those that fitted
+        order, want, space = np.lexsort((np.arange(n), -score)).tolist(), [], room
+        for i in order:
+            if size[i] <= space and len(want) < len(taken) - 1:
+                want.append(i)
+                space -= size[i]
+        assert taken[: len(want)] == want
+
+
 def _corpus():
     de = "Die Prüfung der Übersicht läuft wieder während der Nacht für ungefähr eine Stunde und schließt das Fenster früh".split()
     fr = "La caméra répète la dernière étape après chaque redémarrage où la température s’élève à la fenêtre".split()
