@@ -60,8 +60,9 @@ def find_orphans(spans: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     no rows; null keys are no references."""
     edges = written(valid_edges(usable_spans(spans)).select("th", "tl", "s", "p"), "edges")
     lost_spans = orphan_rows(edges, ["th", "tl", "p"], edges, ["th", "tl", "s"])
-    refs = trace_refs(tables).select("src", "th", "tl").distinct()
-    lost_traces = refs.join(edges.select("th", "tl").distinct(), ["th", "tl"], "left_anti")
+    refs = written(trace_refs(tables).select("src", "th", "tl").distinct(), "trace-refs")
+    # one row per trace is enough to know that it exists
+    lost_traces = orphan_rows(refs, ["th", "tl"], edges.select("th", "tl").distinct(), ["th", "tl"])
     trace = trace_hex(F.col("th"), F.col("tl")).alias("trace_id")
     return lost_spans.select(F.lit("spans").alias("src"), trace, span_hex(F.col("s")).alias("span_id")).unionByName(
         lost_traces.select("src", trace, F.lit("").alias("span_id"))
