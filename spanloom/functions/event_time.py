@@ -26,6 +26,15 @@ def event_us(c: Column) -> Column:
     return out
 
 
+def event_us_sql(c: str) -> str:
+    """``event_us`` of the expression ``c`` as SQL text."""
+    whens = []
+    for u in UNITS_PER_S:
+        us = f"{c} * {1_000_000 // u}L" if u <= 1_000_000 else f"{c} div {u // 1_000_000}L"
+        whens.append(f"WHEN {c} >= {FIRST_S * u}L AND {c} < {END_S * u}L THEN {us}")
+    return f"CASE {' '.join(whens)} END"
+
+
 def period_start(us: Column, width: int = PERIOD_US) -> Column:
     """Start of the period that holds an instant (both in microseconds)."""
     return us - F.pmod(us, F.lit(width))

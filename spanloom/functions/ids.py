@@ -72,3 +72,25 @@ def trace_hex(hi: Column, lo: Column) -> Column:
 def span_hex(c: Column) -> Column:
     """Canonical 16-digit text of a span id."""
     return _hex64(c)
+
+
+# The same as SQL text, for queries that are SQL throughout.
+
+
+def text_sql(c: str, width: int) -> str:
+    """``_text`` of the expression ``c``."""
+    raw = f"regexp_replace({c}, r'^[\\s\\pZ]*0[xX]|[\\s\\pZ\\-]', '')"
+    digits = f"ltrim('0', {raw})"
+    padded = f"lpad({digits}, {width}, '0')"
+    mended = f"CASE WHEN {raw} <> '' AND length({digits}) <= {width} AND unhex({padded}) IS NOT NULL THEN {padded} END"
+    return f"CASE WHEN length({c}) = {width} AND unhex({c}) IS NOT NULL THEN {c} ELSE {mended} END"
+
+
+def bits_sql(digits: str) -> str:
+    return f"CAST(conv({digits}, 16, -10) AS BIGINT)"
+
+
+def hex_sql(*words: str) -> str:
+    """Canonical text of an id from its 64-bit words."""
+    parts = [f"lower(lpad(hex({w}), 16, '0'))" for w in words]
+    return f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]

@@ -48,30 +48,28 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(_tree(spark, d))
 
 
-def _late_records(spark: SparkSession, d: str) -> DataFrame:
-    from spanloom.functions.ids import trace_bits
-
-    th, tl = trace_bits(F.col("trace_id"))
-    pending = table(spark, d, "pending_traces").select(th.alias("k1"), tl.alias("k2"), "first_seen", "last_seen")
-    spans = late.span_records(usable_spans(table(spark, d, "spans"), "duration"))
-    return late.on_time_or_late(spans.unionByName(late.pending_records(pending)))
+def _with_pending(spans: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql("SELECT * FROM {spans} UNION ALL SELECT * FROM {pending}", spans=spans, pending=late.pending_records(table(spark, d, "pending_traces")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Records that arrived beyond the cut-off of their period."""
-    return _late_records(spark, d).filter("late").select(
-        "src", trace_hex(F.col("k1"), F.col("k2")).alias("trace_id"), F.when(F.col("src") == "spans", span_hex(F.col("k3"))).otherwise("").alias("span_id")
-    )
+    records = late.span_records(late.span_copies(table(spark, d, "spans")))
+    return late.late_records(_with_pending(spark.sql("SELECT *, 0L AS value FROM {r}", r=records), spark, d))
+
+
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    return late.changes(_with_pending(late.span_copies(table(spark, d, "spans")), spark, d))
 
 
 def p4_triangle(spark: SparkSession, d: str) -> DataFrame:
-    """Totals per period of the event and period of the arrival."""
-    return late.triangle(_late_records(spark, d))
+    """Changes of totals per period of the event and period of the arrival."""
+    return late.triangle(_changes(spark, d))
 
 
 def p4_revisions(spark: SparkSession, d: str) -> DataFrame:
     """Every corrected total of every period."""
-    return late.revisions(late.triangle(_late_records(spark, d)))
+    return late.revisions(late.triangle(_changes(spark, d)))
 
 
 SHARE = 0.05
@@ -86,7 +84,7 @@ def _trace_keys(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Services and fingerprints that hold at least 5 % of the traces."""
     keys, n = _trace_keys(spark, d)
-    per_key = skew.spread_aggregate(keys, ["key_kind", "key_value"], ["th", "tl"], [F.count("*").alias("n")], [F.sum("n").alias("n")])
+    per_key = skew.spread_aggregate(keys, ["key_kind", "key_value"], ["th", "tl"], [F.count("*").alias("n")], [F.sum("n").alias("n")], n=2 * n)
     return per_key.filter((F.col("n") >= F.lit(SHARE) * F.lit(n)) & F.col("key_value").isNotNull()).select("key_kind", "key_value")
 
 
@@ -154,17 +152,21 @@ refs AS (SELECT 'traces' AS src, trace_id, epoch_us(created_at) AS us FROM trace
          SELECT 'deviations', trace_id, epoch_us(created_at) FROM deviations)
 """
 _LATE = f"""
-rec AS (SELECT 'spans' AS src, t AS trace_id, s AS span_id, arg_max(event_us, arrival) AS ev, min(arrival) AS arr, arg_max(duration, arrival) AS value,
-               max(arrival) AS last
-        FROM (SELECT t, s, coalesce(event_us, -1) AS event_us, arrival, coalesce(duration, -9223372036854775807) AS duration FROM u) GROUP BY t, s
+rec AS (SELECT 'spans' AS src, t AS trace_id, s AS span_id, arg_max(event_us, arrival) AS ev, min(arrival) AS arr FROM (SELECT t, s, coalesce(event_us, -1) AS event_us, arrival FROM u) GROUP BY t, s
+        UNION ALL
+        SELECT 'pending_traces', trace_id, '', min(least(epoch_us(first_seen), epoch_us(last_seen))), max(greatest(epoch_us(first_seen), epoch_us(last_seen))) FROM pending_traces GROUP BY trace_id),
+late AS (SELECT src, trace_id, span_id FROM rec WHERE ev > 0 AND arr > ev - ev % 900000000 + 4500000000)
+"""
+#: Every copy's own change, then summed: the engine reduces the copies of one arrival period first.
+_CELLS = f"""
+cop AS (SELECT DISTINCT 'spans' AS src, t AS trace_id, s AS span_id, event_us AS ev, arrival AS arr, coalesce(duration, 0) AS value FROM u WHERE arrival IS NOT NULL
         UNION ALL
         SELECT 'pending_traces', trace_id, '', min(least(epoch_us(first_seen), epoch_us(last_seen))), max(greatest(epoch_us(first_seen), epoch_us(last_seen))),
-               max(greatest(epoch_us(first_seen), epoch_us(last_seen))) - min(least(epoch_us(first_seen), epoch_us(last_seen))), 0
-        FROM pending_traces GROUP BY trace_id),
-placed AS (SELECT src, trace_id, span_id, nullif(value, -9223372036854775807) AS value, ev - ev % 900000000 AS period, arr - arr % 900000000 AS arrival_period,
-                  arr > ev - ev % 900000000 + 900000000 + 3600000000 AS late
-           FROM rec WHERE ev > 0 AND arr IS NOT NULL),
-cells AS (SELECT src, period, arrival_period, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM placed WHERE NOT late GROUP BY ALL)
+               max(greatest(epoch_us(first_seen), epoch_us(last_seen))) - min(least(epoch_us(first_seen), epoch_us(last_seen))) FROM pending_traces GROUP BY trace_id),
+st AS (SELECT *, ev - ev % 900000000 AS period, lead(arr) OVER w AS next_arr, lag(ev - ev % 900000000) OVER w AS old_period, lag(value) OVER w AS old_value FROM cop WINDOW w AS (PARTITION BY src, trace_id, span_id ORDER BY arr, ev NULLS FIRST, value)),
+ch AS (SELECT src, period, arr, 1 AS n, value AS total FROM st UNION ALL SELECT src, old_period, arr, -1, -old_value FROM st WHERE old_period IS NOT NULL),
+inside AS (SELECT src, period, arr - arr % 900000000 AS arrival_period, n, total FROM ch WHERE period IS NOT NULL AND arr <= period + 4500000000),
+cells AS (SELECT src, period, arrival_period, CAST(sum(n) AS BIGINT) AS n, CAST(sum(total) AS BIGINT) AS total FROM inside GROUP BY ALL)
 """
 _LAST = "cr AS (SELECT * FROM traces QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY created_at DESC) = 1)"
 _TREE = f"""
@@ -190,10 +192,10 @@ ORACLE = {
     " SELECT tree.t AS trace_id, tree.s AS span_id, root AS root_id, depth, orphan, NULL::VARCHAR AS cycle_span_id, d.n - 1 AS n_descendants, path FROM tree JOIN d ON d.t = tree.t AND d.x = tree.s"
     " UNION ALL SELECT t, s, NULL, NULL, false, c, NULL, NULL FROM cyc",
     "p3_descendants": f"WITH RECURSIVE {SPANS_SQL}, {_TREE} SELECT t AS trace_id, a AS ancestor_id, s AS span_id, depth - i + 1 AS distance FROM (SELECT t, s, depth, unnest(string_split(path, '/')) AS a, generate_subscripts(string_split(path, '/'), 1) AS i FROM tree) WHERE a <> s",
-    "p4_found": f"WITH {SPANS_SQL}, {_LATE} SELECT src, trace_id, span_id FROM placed WHERE late",
-    "p4_triangle": f"WITH {SPANS_SQL}, {_LATE} SELECT * FROM cells",
-    "p4_revisions": f"WITH {SPANS_SQL}, {_LATE} SELECT src, period, arrival_period, CAST(row_number() OVER w AS INT) AS revision, n AS n_added, CAST(sum(n) OVER w AS BIGINT) AS n_so_far, CAST(sum(total) OVER w AS BIGINT) AS total_so_far,"
-    " arrival_period = max(arrival_period) OVER (PARTITION BY src, period) AS is_final FROM cells WINDOW w AS (PARTITION BY src, period ORDER BY arrival_period ROWS UNBOUNDED PRECEDING)",
+    "p4_found": f"WITH {SPANS_SQL}, {_LATE} SELECT src, trace_id, span_id FROM late",
+    "p4_triangle": f"WITH {SPANS_SQL}, {_CELLS} SELECT * FROM cells WHERE n <> 0 OR total <> 0",
+    "p4_revisions": f"WITH {SPANS_SQL}, {_CELLS}, kept AS (SELECT * FROM cells WHERE n <> 0 OR total <> 0) SELECT src, period, arrival_period, CAST(row_number() OVER w AS INT) AS revision, n AS n_added, CAST(sum(n) OVER w AS BIGINT) AS n_so_far, CAST(sum(total) OVER w AS BIGINT) AS total_so_far,"
+    " arrival_period = max(arrival_period) OVER (PARTITION BY src, period) AS is_final FROM kept WINDOW w AS (PARTITION BY src, period ORDER BY arrival_period ROWS UNBOUNDED PRECEDING)",
     "p5_found": f"WITH {_LAST}, k AS (SELECT 'service_id' AS key_kind, service_id AS key_value FROM cr UNION ALL SELECT 'fingerprint', fingerprint FROM cr) SELECT key_kind, key_value FROM k WHERE key_value IS NOT NULL GROUP BY ALL HAVING count(*) >= 0.05 * (SELECT count(*) FROM cr)",
     "p5_per_service": f"WITH {_LAST} SELECT service_id, service_identity, env, count(*) AS n_traces, count(*) FILTER (has_error) AS n_errors, CAST(sum(duration_us) AS BIGINT) AS duration_sum, max(duration_us) AS duration_max FROM cr LEFT JOIN service_groupings USING (service_id) GROUP BY ALL",
     "p5_per_fingerprint": f"WITH {_LAST} SELECT fingerprint, count(*) AS n_traces, count(*) FILTER (has_error) AS n_errors, CAST(sum(duration_us) AS BIGINT) AS duration_sum, max(duration_us) AS duration_max FROM cr GROUP BY ALL",
