@@ -1,15 +1,19 @@
 """Parent-child links to full hierarchies, by pointer doubling.
 
 Every node keeps ``top``, the farthest ancestor known so far, ``next``, the parent that this one names,
-and the segment of the path between. A round joins ``next`` to the node of that name and takes over its
-``top``, ``next`` and segment, so the known part of every path doubles. A node is resolved once ``next``
+and what the known part of its path amounts to: its length, its smallest id, its segment of text. A round joins ``next`` to the node of that name, takes
+over its ``top`` and ``next`` and puts the two parts together, so the known part of every path doubles. A node is resolved once ``next``
 is null (a root) or names no node (an orphan's subtree keeps its own top). Depths of a tree leave no gap:
 a node twice as deep as known has an ancestor that the next round would resolve. So a round that resolves
-nothing proves that all nodes left are on a cycle or below one; rounds grow with the logarithm of the depth.
+nothing proves that all nodes left are on a cycle or below one; rounds grow with the logarithm of the depth. Those nodes go on doubling until the part
+that they know covers their tail and the whole cycle; the smallest id known to a node on the cycle is then that of the cycle.
 
 Links never leave their trace. Traces up to ``TASK_ROWS`` rows are therefore shuffled once and doubled
 inside a task, many traces at a time, in arrays. Larger ones, whose size could exceed a task, are doubled by
 distributed joins with the same recurrence and a written table after each round.
+
+Segments of text stop doubling at ``SEGMENT`` hops, since all paths of a deep trace together may be a thousand times as large as the trace; from there
+a node keeps the ancestor that its segment ends at, and paths are put together from segments as they leave, in batches of bounded size.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ from spanloom.workdir import drop_table, partitions_for, written
 TASK_ROWS = 100_000
 #: Rows that a task doubles at a time (whole traces).
 CHUNK_ROWS = 200_000
+#: Hops that a segment of text covers at most.
+SEGMENT = 64
+#: Bytes of path text in a batch, about.
+BATCH_BYTES = 32 << 20
 
 SCHEMA = "th bigint, tl bigint, s bigint, root bigint, depth int, orphan boolean, cycle bigint, n_below bigint"
 
@@ -64,56 +72,67 @@ def resolve(th, tl, s, p, has_p, arrival, with_path: bool = False) -> dict[str,
     # top: position of the farthest known ancestor; a node is resolved once its top has no parent
     top, depth = np.arange(n), np.zeros(n, np.int64)
     low = s.view(np.uint64).copy()  # smallest id on the known part
-    seg = [""] * n
-    if with_path:
-        seg = [f"{x:016x}" for x in s.view(np.uint64).tolist()]
+    seg, hop = [f"{x:016x}" for x in s.view(np.uint64).tolist()] if with_path else [], np.full(n, -1, np.int64)
     nxt = up.copy()
     size = np.ones(n, np.int64)  # nodes below within the distance known, the node included
-    left = np.flatnonzero(nxt >= 0)
-    while len(left):
+    left, reach, most = np.flatnonzero(nxt >= 0), 1, 0
+    while len(left) and not (most and reach >= most):
         j = nxt[left]
-        more = size[left]
-        size_add = np.zeros(n, np.int64)
-        np.add.at(size_add, j, more)
-        size += size_add
-        new_top, new_nxt, new_depth = top[j], nxt[j], depth[left] + 1 + depth[j]
-        new_low = np.minimum(low[left], low[j])
-        if with_path:
-            add = [seg[b] + "/" + seg[a] for a, b in zip(left.tolist(), j.tolist())]
-            for a, x in zip(left.tolist(), add):
-                seg[a] = x
-        top[left], nxt[left], depth[left], low[left] = new_top, new_nxt, new_depth, new_low
+        if with_path and not most:
+            if reach < SEGMENT:
+                for x, head in zip(left.tolist(), [seg[y] for y in j.tolist()]):
+                    seg[x] = head + "/" + seg[x]
+            elif reach == SEGMENT:
+                hop[left] = j
+        if not most:  # a node of a cycle would count itself below itself
+            np.add.at(size, j, size[left])
+        # all right sides are read before any left side is written
+        top[left], nxt[left], depth[left], low[left] = top[j], nxt[j], depth[left] + 1 + depth[j], np.minimum(low[left], low[j])
+        reach *= 2
         rest = left[nxt[left] >= 0]
-        if len(rest) == len(left):  # nothing was resolved: cycles
-            break
+        if not most and len(rest) == len(left):  # nothing was resolved: cycles
+            most = int(np.bincount(g[left]).max())
         left = rest
-    cycle, in_cycle = np.zeros(n, np.uint64), np.zeros(n, bool)
-    if len(left):
-        in_cycle[left] = True
-        most = int(np.bincount(g[left]).max())
-        # the known part must cover the tail and the whole cycle before its least id can be taken
-        jump, m = np.arange(n), s.view(np.uint64).copy()
-        jump[left] = up[left]
-        reach = 1
-        while reach < most:
-            m[left] = np.minimum(m[left], m[jump[left]])
-            jump[left] = jump[jump[left]]
-            reach *= 2
-        cycle[left] = m[jump[left]]
+    in_cycle = np.zeros(n, bool)
+    in_cycle[left] = True
+    cycle = np.zeros(n, np.uint64)
+    cycle[left] = low[nxt[left]]
     out = {"th": th, "tl": tl, "s": s, "root": s[top], "depth": depth.astype(np.int32), "orphan": has_p[top] & ~in_cycle, "cycle": cycle.view(np.int64), "in_cycle": in_cycle, "n_below": size - 1}
-    if with_path:
-        out["path"] = np.array([None if c else x for c, x in zip(in_cycle.tolist(), seg)], dtype=object)
+    return out | {"seg": seg, "hop": hop} if with_path else out
+
+
+def _paths(r: dict, a: int, b: int) -> list[str | None]:
+    """Paths of the nodes ``a`` to ``b``, from their segments."""
+    seg, hop, out = r["seg"], r["hop"], []
+    for i, (c, x) in enumerate(zip(r["in_cycle"][a:b].tolist(), hop[a:b].tolist()), a):
+        if c:
+            out.append(None)
+        elif x < 0:
+            out.append(seg[i])
+        else:
+            parts = [seg[i]]
+            while x >= 0:
+                parts.append(seg[x])
+                x = int(hop[x])
+            out.append("/".join(reversed(parts)))
     return out
 
 
-def _to_batch(r: dict[str, np.ndarray], with_path: bool) -> pa.RecordBatch:
+def _to_batches(r: dict, with_path: bool) -> Iterator[pa.RecordBatch]:
     c = r["in_cycle"]
     arrays = [pa.array(r["th"]), pa.array(r["tl"]), pa.array(r["s"]), pa.array(r["root"], mask=c), pa.array(r["depth"], mask=c), pa.array(r["orphan"]), pa.array(r["cycle"], mask=~c), pa.array(r["n_below"], mask=c)]
     names = ["th", "tl", "s", "root", "depth", "orphan", "cycle", "n_below"]
-    if with_path:
-        arrays.append(pa.array(r["path"], pa.string()))
-        names.append("path")
-    return pa.RecordBatch.from_arrays(arrays, names)
+    whole = pa.RecordBatch.from_arrays(arrays, names)
+    # rows of 20,000, fewer where their paths are long
+    room = np.cumsum(np.where(c, 0, r["depth"].astype(np.int64) + 1) * 17) if with_path else np.zeros(len(c), np.int64)
+    a = 0
+    while a < len(c):
+        b = min(len(c), a + 20_000)
+        if with_path:
+            b = min(b, max(a + 1, int(np.searchsorted(room, (room[a - 1] if a else 0) + BATCH_BYTES))))
+        batch = whole.slice(a, b - a)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_paths(r, a, b), pa.string())], [*names, "path"]) if with_path else batch
+        a = b
 
 
 def _in_task(with_path: bool):
@@ -126,9 +145,7 @@ def _in_task(with_path: bool):
             col = lambda c, fill=0: t[c].combine_chunks().fill_null(fill).to_numpy(zero_copy_only=False)
             has_p = t["p"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
             r = resolve(col("th"), col("tl"), col("s"), col("p"), has_p, col("arrival", -(2**63)), with_path)
-            b = _to_batch(r, with_path)
-            for i in range(0, b.num_rows, 20_000):
-                yield b.slice(i, 20_000)
+            yield from _to_batches(r, with_path)
 
         for b in batches:
             held.append(b)
