@@ -149,19 +149,48 @@ def test_late_triangle(spark):
     h, q = 3_600_000_000, 900_000_000
     base = 1_718_000_100_000_000 - 1_718_000_100_000_000 % h
     recs = [("a", 1, 1, 1, base, base, 10), ("a", 1, 1, 2, base + 1, base + q + h, 5), ("a", 1, 1, 3, base + 1, base + q + h + 1, 7), ("a", 1, 1, 4, base + q, base + q, 1), ("a", 1, 1, 5, None, base, 1), ("a", 1, 1, 6, base, None, 1), ("a", 1, 1, 7, base + 2, base - 1, 100), ("b", 1, 1, 1, base, base, None)]
+    # delivered again: with another value in a later period, in another period of the event, after the cut-off, and twice in one arrival period
+    recs += [("c", 1, 1, 1, base, base + 1, 10), ("c", 1, 1, 1, base, base + 2 * q, 4), ("c", 1, 1, 2, base, base, 1), ("c", 1, 1, 2, base + 4 * q, base + q, 2), ("c", 1, 1, 3, base, base, 50), ("c", 1, 1, 3, base, base + q + h + 5, 60)]
+    recs += [("d", 1, 1, 1, base, base + 1, 10), ("d", 1, 1, 1, base, base + 2, 11), ("d", 1, 1, 1, base, base + 2, 11), ("d", 1, 1, 2, base, base + q + h, 3), ("d", 1, 1, 2, base, base + q + h + 9, 4)]
     df = spark.createDataFrame(recs, "src string, k1 long, k2 long, k3 long, event_us long, arrival_us long, value long")
-    placed = late.on_time_or_late(df)
-    assert [(r.k3) for r in placed.filter("late").collect()] == [3] and placed.count() == 6
-    rev = {(r.src, r.period - base, r.revision): (r.n_added, r.n_so_far, r.total_so_far, r.is_final) for r in late.revisions(late.triangle(placed)).collect()}
+    assert [r.trace_id for r in late.late_records(df.filter("src = 'a'")).collect()] == [f"{1:016x}{1:016x}"]
+    rev = {(r.src, r.period - base, r.revision): (r.n_added, r.n_so_far, r.total_so_far, r.is_final) for r in late.revisions(late.triangle(late.changes(df))).collect()}
     assert rev[("a", 0, 1)] == (1, 1, 100, False) and rev[("a", 0, 2)] == (1, 2, 110, False) and rev[("a", 0, 3)] == (1, 3, 115, True)
-    assert rev[("a", q, 1)] == (1, 1, 1, True) and rev[("b", 0, 1)] == (1, 1, None, True)
-    assert late.revisions(late.triangle(late.on_time_or_late(df.limit(0)))).count() == 0
+    assert rev[("a", q, 1)] == (1, 1, 1, True) and rev[("b", 0, 1)] == (1, 1, 0, True)
+    # no revision shows what came later: 61 first, then a span moves to another period, then 10 becomes 4
+    assert rev[("c", 0, 1)] == (3, 3, 61, False) and rev[("c", 0, 2)] == (-1, 2, 60, False) and rev[("c", 0, 3)] == (0, 2, 54, True) and rev[("c", 4 * q, 1)] == (1, 1, 2, True)
+    assert rev[("d", 0, 1)] == (1, 1, 11, False) and rev[("d", 0, 2)] == (1, 2, 14, True)
+    assert late.revisions(late.triangle(late.changes(df.limit(0)))).count() == 0 and late.late_records(df.limit(0)).count() == 0
+
+
+def test_ids_in_sql_as_in_columns(spark):
+    from spanloom.functions.ids import SPAN_DIGITS, span_text, text_sql
+
+    texts = [None, "", " ", "0x", "0X1f", "1F", "-1-f-", "\u00a01f", "00000000000000001f", "12345678901234567", "xyz", "0123456789abcdef", "0123456789ABCDEG", "0x0"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    assert all(r.a == r.b for r in df.select(span_text(F.col("x")).alias("a"), F.expr(text_sql("x", SPAN_DIGITS)).alias("b")).collect())
 
 
 def test_pending_instants(spark):
-    p = spark.sql("select * from values (1L, 1L, timestamp'2024-06-10 00:00:00', null), (1L, 1L, timestamp'2024-06-10 02:00:00', timestamp'2024-06-09 23:59:59'), (2L, 2L, null, null), (null, null, timestamp'2024-06-10', null) as t(k1, k2, first_seen, last_seen)")
-    got = {r.k1: r for r in late.pending_records(p).collect()}
-    assert set(got) == {1, 2} and got[1].arrival_us - got[1].event_us == 7_201_000_000 and got[2].event_us is None
+    p = spark.sql(f"select * from values ('{T(1)}', timestamp'2024-06-10 00:00:00', null), ('{T(1)}', timestamp'2024-06-10 02:00:00', timestamp'2024-06-09 23:59:59'), ('{T(2)}', null, null), (null, timestamp'2024-06-10', null) as t(trace_id, first_seen, last_seen)")
+    got = {r.k2: r for r in late.pending_records(p).collect()}
+    assert len(got) == 2 and {r.arrival_us and r.arrival_us - r.event_us for r in got.values()} == {7_201_000_000, None}
+
+
+def test_paths_of_a_deep_chain_leave_in_bounded_batches():
+    n = 20_000
+    s, z = np.arange(1, n + 1), np.zeros(n, np.int64)
+    r = hierarchy.resolve(z, z, s, s - 1, s > 1, s, True)
+    assert r["depth"].tolist() == list(range(n)) and r["n_below"].tolist() == list(range(n - 1, -1, -1))
+    for i in (0, 63, 64, 65, 127, 128, 129, 4000, n - 1):
+        assert hierarchy._paths(r, i, i + 1) == ["/".join(f"{x:016x}" for x in range(1, i + 2))]
+    seen = 0
+    for k, b in enumerate(hierarchy._to_batches(r, True)):
+        seen += b.num_rows
+        assert b.nbytes < 2 * hierarchy.BATCH_BYTES
+        if k > 20:
+            break
+    assert seen > 5000
 
 
 def test_quotient_table_is_exact():
@@ -169,14 +198,41 @@ def test_quotient_table_is_exact():
     w = [rng.integers(0, 4, 20_000).astype(np.uint64) for _ in range(3)]
     back = dedup.unpermute(*dedup.permute(*w))
     assert all((a == b).all() for a, b in zip(w, back))
-    table, seen = dedup.QuotientTable(4), {}
+    state, seen = dedup._Copies(), Counter()
     for a in range(0, 20_000, 777):
         part = [x[a : a + 777] for x in w]
-        for key, e in zip(zip(*map(np.ndarray.tolist, part)), table.insert(dedup.permute(*part)).tolist()):
-            assert seen.setdefault(key, e) == e
-    assert table.n == len(seen) == 64 and len(set(seen.values())) == 64
-    shards = dedup.shard_of(dedup.permute(*[rng.integers(0, 2**63, 50_000).astype(np.uint64) for _ in range(3)])[0], 7)
-    assert shards.min() == 0 and shards.max() == 6 and np.bincount(shards).std() < 200
+        m = len(part[0])
+        state.add(dedup.permute(*part), np.ones(m, np.int64), np.zeros(m, np.int64), np.arange(m))
+        seen.update(zip(*map(np.ndarray.tolist, part)))
+    at = state.table.slots()
+    ids = zip(*map(np.ndarray.tolist, dedup.unpermute(*state.table.identifiers(at, 0))))
+    assert state.table.n == len(seen) == 64 and dict(zip(ids, state.copies[at].tolist())) == seen
+
+
+@pytest.mark.parametrize("shard_bits", [0, 1, 5])
+def test_identifiers_come_back_from_remainders(shard_bits):
+    rng = np.random.default_rng(shard_bits)
+    w = dedup.permute(*[rng.integers(0, 2**64, 60_000, np.uint64) for _ in range(3)])
+    shard = dedup.shard_of(w[0], shard_bits)
+    assert np.bincount(shard, minlength=1 << shard_bits).std() < 400
+    for k in range(1 << shard_bits):
+        mine = [x[shard == k] for x in w]
+        table = dedup.QuotientTable(4, shard_bits)
+        slots, _ = table.insert(mine, k)
+        for x, y in zip(table.identifiers(slots, k), mine):
+            assert (x == y).all()
+        # the quotient is not stored: the first word holds the remainder and a distance
+        assert (table.first[slots] & table.low == mine[0] & table.low).all() and int((table.first[slots] >> table.rest).max()) < 200
+        again, moved = table.insert([x[:100] for x in mine], k)
+        assert (again == slots[:100]).all() and moved is None and table.n == len(mine[0])
+
+
+def test_crowded_slots_grow_the_table():
+    # one home slot and a distance of at most three: the table has to grow
+    w = [np.arange(40, dtype=np.uint64) << np.uint64(50), np.zeros(40, np.uint64), np.zeros(40, np.uint64)]
+    table = dedup.QuotientTable(2)
+    slots, _ = table.insert(w)
+    assert len(set(slots.tolist())) == 40 and all((x == y).all() for x, y in zip(table.identifiers(slots, 0), w))
 
 
 def test_one_copy_each(spark, monkeypatch):
@@ -199,7 +255,8 @@ def test_tied_copies_and_small_tables():
     w = [np.array([5, 5, 5, 6], np.uint64)] * 3
     c.add(w, np.ones(4, np.int64), np.array([3, 9, 9, 1]), np.arange(4))
     c.add([x[:1] for x in w], np.ones(1, np.int64), np.array([9]), np.array([4]))
-    assert c.copies[:2].tolist() == [4, 1] and c.arrival[:2].tolist() == [9, 1] and c.row[0] in (1, 4)
+    at = c.table.slots()
+    assert sorted(zip(c.copies[at].tolist(), c.arrival[at].tolist())) == [(1, 1), (4, 9)] and set(c.row[at].tolist()) <= {1, 3, 4}
 
 
 def test_packing_is_balanced(spark):
