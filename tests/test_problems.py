@@ -224,7 +224,7 @@ def test_identifiers_come_back_from_remainders(shard_bits):
         # the quotient is not stored: the first word holds the remainder and a distance
         assert (table.first[slots] & table.low == mine[0] & table.low).all() and int((table.first[slots] >> table.rest).max()) < 200
         again, moved = table.insert([x[:100] for x in mine], k)
-        assert (again == slots[:100]).all() and moved is None and table.n == len(mine[0])
+        assert (again == (slots if moved is None else moved[slots])[:100]).all() and table.n == len(mine[0])
 
 
 def test_crowded_slots_grow_the_table():
