@@ -2,12 +2,18 @@
 
 Learning is a fold over each service's traces in the order (start_us, trace_id): a trace is first checked against what was learned before it,
 then learned. The fold reads a sorted stream, so a service's rows are never gathered; its state is bounded by its paths and their sample
-rings. A variant is learned once for all its thresholds, which only differ in when they begin to speak and in what is known good.
+rings. A variant is learned once for all its thresholds, which only differ in when they begin to speak and in what is known good. Three of the variants
+count alike and keep the same samples, so they are learned together. What is known good and canonical is kept up from trace to trace: a share can only rise
+with a path's own traces, so no trace looks through all paths.
+
+A service's state can be saved and taken up again (``snapshots``, and ``saved`` of ``findings`` and ``learned``): later traces are then checked and learned as if
+the earlier ones had just gone through.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import math
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
@@ -16,6 +22,7 @@ from functools import lru_cache
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanloom.operators.config import HOUR_US, MINUTE_US, VARIANTS, Config, parse_combination
 from spanloom.workdir import partitions_for
@@ -64,21 +71,34 @@ class Ring:
 
 
 class Stats:
-    """Count, sum and extremes with a ring: a path or a branch. ``rule`` is the variant that ages a path."""
+    """Count, sum and extremes with a ring: a path or a branch. ``rule`` is the kind of variant that ages a path."""
 
-    __slots__ = ("n", "total", "low", "high", "ring", "at")
+    __slots__ = ("n", "total", "low", "high", "ring", "at", "moving", "start")
 
     def __init__(self, limit: int):
         self.n, self.total, self.low, self.high, self.ring, self.at = 0, 0, 0, 0, Ring(limit), None
+        self.moving, self.start = 0, 0
+
+    def dump(self) -> list:
+        return [self.n, self.total, self.low, self.high, self.at, self.moving, self.start, self.ring.slots]
+
+    @classmethod
+    def restored(cls, limit: int, d: list) -> Stats:
+        p = cls(limit)
+        p.n, p.total, p.low, p.high, p.at, p.moving, p.start, p.ring.slots = d
+        p.ring.ordered = sorted(p.ring.slots)
+        return p
 
     def learn(self, x: int, stamp: int, rule: str = "cumulative") -> None:
         first = self.at is None
         if first:
-            self.low = self.high = x
-        if rule == "ewma":
-            # the extremes stay at the first value
-            self.total = x if self.n == 0 else int((0.1 * x + 0.9 * self.total / self.n) * (self.n + 1))
+            self.low = self.high = self.start = x
+        if rule == "cumulative":
+            # beside it the running sum of ewma, whose count and samples are the same
+            self.moving = x if self.n == 0 else int((0.1 * x + 0.9 * self.moving / self.n) * (self.n + 1))
             self.n += 1
+            self.total += x
+            self.low, self.high = min(self.low, x), max(self.high, x)
         else:
             if rule == "sliding_window" and not first:
                 age = stamp - self.at
@@ -159,109 +179,174 @@ def z_score(x: float, ref: float, p25: float, low: int, high: int) -> float:
     return abs(0.6745 * (x - ref) / mad)
 
 
+PLAIN = ("cumulative", "ewma", "same_time_yesterday")
+
+
 class Variant:
-    """What one variant knows of one service."""
+    """What the variants of one kind know of one service. ``names`` maps each variant to its thresholds; ``kind`` ages counts and paths."""
 
-    def __init__(self, name: str, thresholds: list[int]):
-        self.name = name
-        self.thresholds = thresholds
+    def __init__(self, kind: str, names: dict[str, list[int]]):
+        self.kind, self.names = kind, names
+        self.thresholds = sorted({t for ts in names.values() for t in ts})
         self.counts: dict[str, int] = {}
         self.first: dict[str, int] = {}
-        self.seen: dict[str, int] = {}
+        self.seen: dict[str, int] = {}  # last stamp of each path, in the order of these
+        self.live: dict[str, None] = {}  # paths that aging can still lower
+        self.expired: set[str] = set()  # unseen for longer than the window: their count is zero
+        self.old: dict[str, int] = {}  # last stamps of these
         self.example: dict[str, tuple] = {}
         self.n = 0
+        self.top = ""  # most frequent path, of equal ones the first by name
         self.paths: dict[str, Stats] = {}
-        self.known: dict[int, set[str]] = {t: set() for t in thresholds}
-        self.canonical: dict[int, str] = dict.fromkeys(thresholds, "")
+        self.known: dict[int, set[str]] = {t: set() for t in self.thresholds}
+        self.canonical: dict[int, str] = dict.fromkeys(self.thresholds, "")
         self.recent: dict[str, int] = {}
+        self.recent_n = 0
         self.recent_from: int | None = None
         self.previous: dict[str, float] = {}
 
     def learn(self, fp: str, x: int, stamp: int, branches: tuple) -> None:
-        self.counts[fp] = self.counts.get(fp, 0) + 1
+        n = self.counts.get(fp, 0) + 1
+        self.counts[fp] = n
         self.n += 1
         self.first.setdefault(fp, stamp)
         self.example.setdefault(fp, branches)
-        if self.name in ("sliding_window", "exponential_decay"):
+        if self.kind != "cumulative":
             self._age(fp, stamp)
+            n = self.counts[fp]
+        elif n > (best := self.counts.get(self.top, 0)) or (n == best and fp < self.top):
+            self.top = fp
         if self.recent_from is None:
             self.recent_from = stamp
         if stamp - self.recent_from > RECENT_US:
-            total = sum(self.recent.values())
-            if total:
-                self.previous = {k: v / total for k, v in self.recent.items()}
-            self.recent, self.recent_from = {}, stamp
+            if self.recent_n:
+                self.previous = {k: v / self.recent_n for k, v in self.recent.items()}
+            self.recent, self.recent_n, self.recent_from = {}, 0, stamp
         self.recent[fp] = self.recent.get(fp, 0) + 1
+        self.recent_n += 1
+        share = self.counts[self.top] / self.n if self.top else 0.0
         for t in self.thresholds:
-            if self.n >= t:
-                known = self.known[t]
-                known.update(k for k, v in self.counts.items() if k not in known and v / self.n > KNOWN_SHARE)
-                # of equal counts the first path by name
-                top = min(self.counts, key=lambda k: (-self.counts[k], k), default="")
-                if top and self.counts[top] / self.n > CANONICAL_SHARE:
-                    self.canonical[t] = top
-        self.paths.setdefault(fp, Stats(PATH_RING)).learn(x, stamp, self.name)
+            if self.n < t:
+                break
+            if self.n == t:
+                self.known[t].update(k for k, v in self.counts.items() if v / self.n > KNOWN_SHARE)
+            elif n / self.n > KNOWN_SHARE:
+                self.known[t].add(fp)
+            if share > CANONICAL_SHARE:
+                self.canonical[t] = self.top
+        p = self.paths.get(fp)
+        if p is None:
+            p = self.paths[fp] = Stats(PATH_RING)
+        p.learn(x, stamp, self.kind)
 
     def _age(self, fp: str, stamp: int) -> None:
-        sliding = self.name == "sliding_window"
-        for k, at in self.seen.items():
-            if k == fp:
-                continue
-            age, n = stamp - at, self.counts.get(k, 0)
-            if sliding and age > WINDOW_US:
-                if n > 0:
-                    self.counts[k] = 0
-            elif n > 1:
-                f = 1.0 - age / WINDOW_US * 0.1 if sliding else math.exp(-math.log(2) / HALF_LIFE_S * (age / 1e6))
-                self.counts[k] = int(n * f)
-        self.counts[fp] += 1  # a second time for this trace: the rule of these variants
+        sliding, counts = self.kind == "sliding_window", self.counts
+        self.live.pop(fp, None)
+        if sliding:
+            while self.seen:  # the longest unseen first
+                k, at = next(iter(self.seen.items()))
+                if stamp - at <= WINDOW_US or k == fp:
+                    break
+                counts[k] = 0
+                self.live.pop(k, None)
+                self.expired.add(k)
+                self.old[k] = self.seen.pop(k)
+        for k in list(self.live):
+            age = stamp - self.seen[k]
+            f = 1.0 - age / WINDOW_US * 0.1 if sliding else math.exp(-math.log(2) / HALF_LIFE_S * (age / 1e6))
+            n = counts[k] = int(counts[k] * f)
+            if n <= 1:
+                del self.live[k]
+        counts[fp] += 1  # a second time for this trace: the rule of these variants
+        self.live[fp] = None
+        self.seen.pop(fp, None)
+        self.old.pop(fp, None)
+        self.expired.discard(fp)
         self.seen[fp] = stamp
         if sliding and self.n % 100 == 0:
-            for k in [k for k, n in self.counts.items() if n == 0 and k in self.seen and stamp - self.seen[k] > 2 * WINDOW_US]:
-                del self.counts[k], self.seen[k]
+            for k in [k for k in self.expired if stamp - self.old[k] > 2 * WINDOW_US]:
+                del counts[k], self.old[k]
+                self.expired.discard(k)
                 self.first.pop(k, None)
+        # others only fall, so the most frequent path is this one or lies among those that aging has not worn down to one
+        most = max(counts[k] for k in self.live)
+        self.top = min((k for k in self.live if counts[k] == most), default="")
 
     def shift(self, fp: str) -> tuple[bool, float, float]:
-        total = sum(self.recent.values())
         old = self.previous.get(fp, 0.0)
-        if total < MIN_RECENT:
+        if self.recent_n < MIN_RECENT:
             return False, old, 0.0
-        new = self.recent.get(fp, 0) / total
+        new = self.recent.get(fp, 0) / self.recent_n
         if old > 0:
             return abs(new - old) > 0.1 or abs(new - old) / old > 0.5, old, new
         return new > 0.1, old, new
 
-    def deviation(self, fp: str, at: int, t: int, hours: Hours, rare: float, branches: tuple, recursive: bool) -> tuple[str, float, str] | None:
-        """Type, score and summary of a deviating path."""
+    def deviation(self, fp: str, at: int, t: int, share: float | None, rare: float, branches: tuple, recursive: bool) -> tuple[str, float, str] | None:
+        """Type, score and summary of a deviating path; ``share`` replaces the path's own share where it is known."""
         if self.n < t:
             return None
         n = self.counts.get(fp, 0)
         is_new = fp not in self.first or at - self.first[fp] < NEW_US
         if not is_new and n < t:
             return None
-        share = hours.share(fp, at) if self.name == "same_time_yesterday" else None
         freq = share if share is not None else n / self.n
         if is_new and freq == 0:
             return "new_path", 1.0, "New execution path detected (never seen before)"
-        shifted, old, new = self.shift(fp)
         if fp in self.known[t]:
+            shifted, old, new = self.shift(fp)
             if shifted and new < old:
                 return "frequency_drop", (old - new) / old, f"Path frequency dropped: {old * 100:.1f}% → {new * 100:.1f}%"
             return None
         if freq < rare:
+            shifted, old, new = self.shift(fp)
             if shifted and new > old and new > 0.05:
                 return "frequency_spike", new - old, f"Rare path spiking: {old * 100:.1f}% → {new * 100:.1f}%"
             if freq < 0.001:
                 return "rare_path", 1.0 - freq * 100, diff_summary(branches, self.example.get(self.canonical[t], ()), recursive)
         return None
 
-    def score(self, fp: str, x: int, at: int, t: int, hours: Hours, pct: float) -> float | None:
-        if self.name == "same_time_yesterday" and (y := hours.path(fp, at)) and y[0] >= t:
-            return z_score(x, weighted_percentile(y[3], pct), weighted_percentile(y[3], 0.25), y[1], y[2])
+    def scores(self, fp: str, x: int, at: int, hours: Hours, pct: float) -> list[tuple[str, float]]:
+        """Combinations that can judge the duration, with their scores."""
         p = self.paths.get(fp)
-        if p is None or p.n < t:
-            return None
-        return z_score(x, percentile(p.ring.ordered, pct), percentile(p.ring.ordered, 0.25), p.low, p.high)
+        out: list[tuple[str, float]] = []
+        own = None
+        for name, ts in self.names.items():
+            y = hours.path(fp, at) if name == "same_time_yesterday" else None
+            merged = mine = None
+            for t in ts:
+                if y and y[0] >= t:
+                    if merged is None:
+                        merged = z_score(x, weighted_percentile(y[3], pct), weighted_percentile(y[3], 0.25), y[1], y[2])
+                    out.append((f"{name}:{t}", merged))
+                elif p is not None and p.n >= t:
+                    if own is None:
+                        own = percentile(p.ring.ordered, pct), percentile(p.ring.ordered, 0.25)
+                    if mine is None:
+                        # the extremes of ewma stay at the first value
+                        mine = z_score(x, *own, *((p.low, p.high) if name != "ewma" else (0, 0)))
+                    out.append((f"{name}:{t}", mine))
+        return out
+
+    # saved and loaded as plain lists and maps with text keys
+
+    _PLAIN = ("counts", "first", "seen", "old", "n", "top", "recent", "recent_n", "recent_from", "previous")
+
+    def dump(self) -> dict:
+        out = {k: getattr(self, k) for k in self._PLAIN}
+        out |= {"live": list(self.live), "expired": sorted(self.expired), "example": {k: [list(x) for x in v] for k, v in self.example.items()}}
+        out |= {"known": {str(t): sorted(v) for t, v in self.known.items()}, "canonical": {str(t): v for t, v in self.canonical.items()}}
+        return out | {"order": list(self.seen), "paths": {k: p.dump() for k, p in self.paths.items()}}
+
+    def load(self, d: dict) -> None:
+        for k in self._PLAIN:
+            setattr(self, k, d[k])
+        self.seen = {k: d["seen"][k] for k in d["order"]}
+        self.live, self.expired = dict.fromkeys(d["live"]), set(d["expired"])
+        self.example = {k: tuple(tuple(x) for x in v) for k, v in d["example"].items()}
+        # a threshold that was not learned then starts with nothing known
+        self.known = {t: set(d["known"].get(str(t), ())) for t in self.thresholds}
+        self.canonical = {t: d["canonical"].get(str(t), "") for t in self.thresholds}
+        self.paths = {k: Stats.restored(PATH_RING, x) for k, x in d["paths"].items()}
 
 
 def diff_summary(branches: tuple, canonical: tuple, recursive: bool) -> str:
@@ -292,7 +377,12 @@ class Service:
 
     def __init__(self, combos: list[str], config: Config):
         self.config = config
-        self.variants = {v: Variant(v, sorted(t for w, t in map(parse_combination, combos) if w == v)) for v in VARIANTS if any(parse_combination(c)[0] == v for c in combos)}
+        wanted = {v: sorted({t for w, t in map(parse_combination, combos) if w == v}) for v in VARIANTS}
+        kinds: dict[str, dict[str, list[int]]] = {}
+        for v, ts in wanted.items():
+            if ts:
+                kinds.setdefault("cumulative" if v in PLAIN else v, {})[v] = ts
+        self.variants = [Variant(k, names) for k, names in kinds.items()]
         self.hours = Hours()
         self.branches: dict[str, Stats] = {}
         self.clock = 0
@@ -300,31 +390,51 @@ class Service:
     def feed(self, trace_id: str, fp: str, start: int, x: int, branches: tuple, recursive: bool) -> list[tuple]:
         """Findings of a trace (combination, kind, type, score, canonical, summary, slow branches), then learns it."""
         out = []
-        ahead = self.config.wall_us is not None and start > self.config.wall_us + RECENT_US
+        config = self.config
+        ahead = config.wall_us is not None and start > config.wall_us + RECENT_US
         if not ahead:
             self.clock = max(self.clock, start)  # a late trace is stamped with the latest time seen
         slow = None
-        for v in self.variants.values():
-            for t in v.thresholds:
-                d = v.deviation(fp, self.clock, t, self.hours, self.config.rare_threshold, branches, recursive)
-                if d:
-                    out.append((f"{v.name}:{t}", "deviation", d[0], d[1], v.canonical[t], f"[{d[0]}] {d[2]}", []))
-                z = v.score(fp, x, start, t, self.hours, self.config.baseline_pct)
-                if z is not None and z >= self.config.anomaly_threshold:
+        for v in self.variants:
+            for name, ts in v.names.items():
+                share = self.hours.share(fp, start) if name == "same_time_yesterday" else None
+                for t in ts:
+                    if d := v.deviation(fp, self.clock, t, share, config.rare_threshold, branches, recursive):
+                        out.append((f"{name}:{t}", "deviation", d[0], d[1], v.canonical[t], f"[{d[0]}] {d[2]}", []))
+            for combo, z in v.scores(fp, x, start, self.hours, config.baseline_pct):
+                if z >= config.anomaly_threshold:
                     if slow is None:
-                        slow = slow_branches(branches, self.branches, self.config.baseline_pct)
-                    out.append((f"{v.name}:{t}", "anomaly", "anomaly", z, "", "", slow))
-        for v in self.variants.values():
+                        slow = slow_branches(branches, self.branches, config.baseline_pct)
+                    out.append((combo, "anomaly", "anomaly", z, "", "", slow))
+        for v in self.variants:
             v.learn(fp, x, self.clock, branches)
         if not ahead:
             self.hours.learn(fp, x, start, trace_id)
         for key, d in branches:
-            self.branches.setdefault(key, Stats(BRANCH_RING)).learn(d, self.clock)
+            b = self.branches.get(key)
+            if b is None:
+                b = self.branches[key] = Stats(BRANCH_RING)
+            b.learn(d, self.clock)
         return out
 
+    def dump(self) -> str:
+        """The whole state as JSON."""
+        hours = [[h, b["n"], b["paths"]] for h, b in self.hours.buckets.items()]
+        return json.dumps({"clock": self.clock, "hours": hours, "branches": {k: b.dump() for k, b in self.branches.items()}, "variants": {v.kind: v.dump() for v in self.variants}})
 
-def _streamed(traces: DataFrame, combos: list[str], config: Config, each, schema: str) -> DataFrame:
-    """Sorted stream of each service through ``each(service, key, rows)``; rows of one service may come in several calls."""
+    def load(self, text: str) -> None:
+        d = json.loads(text)
+        self.clock = d["clock"]
+        self.hours.buckets = {h: {"n": n, "paths": {k: p | {"s": [tuple(x) for x in p["s"]]} for k, p in paths.items()}} for h, n, paths in d["hours"]}
+        self.branches = {k: Stats.restored(BRANCH_RING, x) for k, x in d["branches"].items()}
+        for v in self.variants:
+            if v.kind in d["variants"]:
+                v.load(d["variants"][v.kind])
+
+
+def _streamed(traces: DataFrame, combos: list[str], config: Config, each, schema: str, saved: DataFrame | None = None) -> DataFrame:
+    """Sorted stream of each service through ``each(service, key, rows)``; rows of one service may come in several calls. A service in ``saved``
+    begins with its state."""
     has_branches = "branches" in traces.columns
     cols = ["service_id", "start_us", "trace_id", "fingerprint", "duration_us"] + (["branches", "recursive"] if has_branches else [])
 
@@ -345,14 +455,20 @@ def _streamed(traces: DataFrame, combos: list[str], config: Config, each, schema
                     if service is not None:
                         out += each(service, key, None)
                     service, key = Service(combos, config), row[0]
-                out += each(service, key, row)
+                if row[-1] is not None:
+                    service.load(row[-1])
+                else:
+                    out += each(service, key, row[:-1])
             if len(out) > 5000:
                 yield batch()
         if service is not None:
             out += each(service, key, None)
         yield batch()
 
-    rows = traces.select(*cols).filter("service_id is not null and fingerprint is not null and start_us is not null and duration_us is not null")
+    rows = traces.select(*cols).filter("service_id is not null and fingerprint is not null and start_us is not null and duration_us is not null").withColumn("state", F.lit(None).cast("string"))
+    if saved is not None:
+        # the state of a service comes before all its traces
+        rows = rows.unionByName(saved.select("service_id", F.lit(-(2**63)).alias("start_us"), "state"), allowMissingColumns=True)
     return rows.repartition(partitions_for(rows), "service_id").sortWithinPartitions("service_id", "start_us", "trace_id").mapInArrow(run, schema)
 
 
@@ -370,11 +486,12 @@ def _branches(row: tuple) -> tuple[tuple, bool]:
 FINDINGS = "trace_id string, service_id string, fingerprint string, start_us bigint, combination string, kind string, type string, score double, canonical string, summary string, slow_branches array<string>"
 
 
-def findings(traces: DataFrame, combos: list[str], config: Config = Config()) -> DataFrame:
+def findings(traces: DataFrame, combos: list[str], config: Config = Config(), saved: DataFrame | None = None) -> DataFrame:
     """Every deviation and anomaly of every combination.
 
     ``traces`` has ``trace_id, service_id, fingerprint, start_us, duration_us`` and, if known, ``branches`` (array of ``branch_key,
-    duration_us``) and ``recursive``. Rows with a null among the first five are neither checked nor learned."""
+    duration_us``) and ``recursive``. Rows with a null among the first five are neither checked nor learned. ``saved`` is what ``snapshots`` gave of
+    earlier traces."""
 
     def each(s: Service, key: str, row: tuple | None) -> list[tuple]:
         if row is None:
@@ -382,14 +499,50 @@ def findings(traces: DataFrame, combos: list[str], config: Config = Config()) ->
         branches, rec = _branches(row)
         return [(row[2], key, row[3], row[1], *f) for f in s.feed(row[2], row[3], row[1], row[4], branches, rec)]
 
-    return _streamed(traces, combos, config, each, FINDINGS)
+    return _streamed(traces, combos, config, each, FINDINGS, saved)
+
+
+SNAPSHOT = "service_id string, state string"
+
+
+def snapshots(traces: DataFrame, combos: list[str], config: Config = Config(), saved: DataFrame | None = None) -> DataFrame:
+    """``service_id, state``: all that was learned of each service, to be saved and taken up again. A state grows with the paths and branches of its
+    service and their sample rings, not with its traces."""
+
+    def each(s: Service, key: str, row: tuple | None) -> list[tuple]:
+        if row is None:
+            return [(key, s.dump())]
+        branches, rec = _branches(row)
+        s.feed(row[2], row[3], row[1], row[4], branches, rec)
+        return []
+
+    return _streamed(traces, combos, config, each, SNAPSHOT, saved)
+
+
+BEFORE = "trace_id string, service_id string, fingerprint string, n_service bigint, n_path bigint, known_good boolean, canonical string, recent_total bigint, recent_n bigint, previous double"
+
+
+def before(traces: DataFrame, combo: str, config: Config = Config()) -> DataFrame:
+    """What a combination knows when each trace comes: counts, known good, canonical, the recent window and the path's share in the one before."""
+    t = parse_combination(combo)[1]
+
+    def each(s: Service, key: str, row: tuple | None) -> list[tuple]:
+        if row is None:
+            return []
+        v, fp = s.variants[0], row[3]
+        out = (row[2], key, fp, v.n, v.counts.get(fp, 0), fp in v.known[t], v.canonical[t], v.recent_n, v.recent.get(fp, 0), v.previous.get(fp, 0.0))
+        branches, rec = _branches(row)
+        s.feed(row[2], fp, row[1], row[4], branches, rec)
+        return [out]
+
+    return _streamed(traces, [combo], config, each, BEFORE)
 
 
 STATE = "service_id string, combination string, fingerprint string, n_service bigint, n bigint, first_seen bigint, path_n bigint, path_sum bigint, path_min bigint, path_max bigint, p50 bigint, p90 bigint, p99 bigint, known_good boolean, is_canonical boolean, recent bigint, previous double"
 
 
-def learned(traces: DataFrame, combos: list[str], config: Config = Config()) -> DataFrame:
-    """The state after all traces: one row per service, combination and path. This is the snapshot that a restart would load."""
+def learned(traces: DataFrame, combos: list[str], config: Config = Config(), saved: DataFrame | None = None) -> DataFrame:
+    """What is known after all traces: one row per service, combination and path."""
 
     def each(s: Service, key: str, row: tuple | None) -> list[tuple]:
         if row is not None:
@@ -397,11 +550,13 @@ def learned(traces: DataFrame, combos: list[str], config: Config = Config()) ->
             s.feed(row[2], row[3], row[1], row[4], branches, rec)
             return []
         out = []
-        for v in s.variants.values():
-            for t in v.thresholds:
-                for fp, p in v.paths.items():
-                    q = [percentile(p.ring.ordered, x) for x in (0.5, 0.9, 0.99)]
-                    out.append((key, f"{v.name}:{t}", fp, v.n, v.counts.get(fp, 0), v.first.get(fp), p.n, p.total, p.low, p.high, *q, fp in v.known[t], v.canonical[t] == fp, v.recent.get(fp, 0), v.previous.get(fp, 0.0)))
+        for v in s.variants:
+            for fp, p in v.paths.items():
+                q = [percentile(p.ring.ordered, x) for x in (0.5, 0.9, 0.99)]
+                for name, ts in v.names.items():
+                    stats = (p.n, p.moving, p.start, p.start) if name == "ewma" else (p.n, p.total, p.low, p.high)
+                    for t in ts:
+                        out.append((key, f"{name}:{t}", fp, v.n, v.counts.get(fp, 0), v.first.get(fp), *stats, *q, fp in v.known[t], v.canonical[t] == fp, v.recent.get(fp, 0), v.previous.get(fp, 0.0)))
         return out
 
-    return _streamed(traces, combos, config, each, STATE)
+    return _streamed(traces, combos, config, each, STATE, saved)

@@ -19,6 +19,24 @@ def sampled(value: str, order: Column, limit: int, key: list[str], df: DataFrame
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(order, value))).filter(F.col("_r") <= limit).drop("_r")
 
 
+def numbered(df: DataFrame, key: list[str], order: list[str], at: str, width: int = 3_600_000_000) -> DataFrame:
+    """``df`` with ``seq`` (place of the row within ``key`` by ``order``, from 1) and ``n_all`` (rows of the key), without a task that holds a whole key.
+
+    ``order`` begins with ``at``, whole numbers that are cut into ranges of ``width``: rows are numbered within key and range, and the few counts of the ranges
+    before are added. A range is a task's share of a busy key."""
+    from pyspark.sql import Window
+
+    r = df.withColumn("_range", F.floor(F.col(at) / F.lit(width)))
+    counts = r.groupBy(*key, "_range").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*key)
+    sums = counts.select(*[F.col(k).alias(f"_k_{k}") for k in key], F.col("_range").alias("_k_range"), (F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("n_all"))
+    on = F.col("_range").eqNullSafe(F.col("_k_range"))
+    for k in key:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    seq = F.row_number().over(Window.partitionBy(*key, "_range").orderBy(*order)).cast("bigint")
+    return r.withColumn("_seq", seq).join(sums, on).withColumn("seq", F.col("_seq") + F.col("_before")).drop("_seq", "_before", "_range", "_k_range", *[f"_k_{k}" for k in key])
+
+
 def rollups(traces: DataFrame) -> DataFrame:
     """Per window, service and fingerprint: counts, sums, extremes, p50 and p99 of at most 1000 samples, the first ten trace ids.
 
@@ -30,7 +48,7 @@ def rollups(traces: DataFrame) -> DataFrame:
         F.count("*").alias("trace_count"), F.sum("span_count").alias("span_count"), F.count_if("has_error").alias("error_count"),
         F.sum("duration_us").alias("duration_sum"), F.min("duration_us").alias("duration_min"), F.max("duration_us").alias("duration_max"),
     )
-    few = sampled("trace_id", F.xxhash64("trace_id"), SAMPLES, key, t).groupBy(*key).agg(F.sort_array(F.collect_list("duration_us")).alias("s"))
+    few = sampled("trace_id", F.md5("trace_id"), SAMPLES, key, t).groupBy(*key).agg(F.sort_array(F.collect_list("duration_us")).alias("s"))
     ids = sampled("trace_id", F.col("start_us"), SAMPLE_IDS, key, t).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start_us", "trace_id"))).alias("i"))
     return main.join(few, key).join(ids, key).select(
         *main.columns, nearest_low_sorted(F.col("s"), 0.5).alias("p50"), nearest_low_sorted(F.col("s"), 0.99).alias("p99"), F.col("i.trace_id").alias("sample_trace_ids")
@@ -73,7 +91,7 @@ def hourly(traces: DataFrame) -> DataFrame:
     key = ["hour", "service_id", "fingerprint"]
     t = traces.withColumn("hour", F.date_format(F.timestamp_micros("start_us"), "yyyy-MM-dd-HH"))
     main = t.groupBy(*key).agg(F.count("*").alias("n"), F.sum("duration_us").alias("duration_sum"), F.min("duration_us").alias("duration_min"), F.max("duration_us").alias("duration_max"))
-    few = sampled("trace_id", F.xxhash64("trace_id"), HOUR_SAMPLES, key, t).groupBy(*key).agg(F.sort_array(F.collect_list("duration_us")).alias("samples"))
+    few = sampled("trace_id", F.md5("trace_id"), HOUR_SAMPLES, key, t).groupBy(*key).agg(F.sort_array(F.collect_list("duration_us")).alias("samples"))
     return main.join(few, key)
 
 
