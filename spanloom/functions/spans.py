@@ -44,11 +44,12 @@ def join_identity(parts: list[Column], fallback: Column) -> Column:
 
 
 def format_us(us: Column) -> Column:
-    """A duration for reading: ``ms`` below a second, ``s`` below a minute, else ``m``; two decimals; ``0.00ms`` if not positive."""
-    us = us.cast("double")
-    return (
-        F.when(us.isNull() | F.isnan(us) | (us <= 0), F.lit("0.00ms"))
-        .when(us < 1_000_000, F.format_string("%.2fms", us / 1000))
-        .when(us < 60_000_000, F.format_string("%.2fs", us / 1_000_000))
-        .otherwise(F.format_string("%.2fm", us / 60_000_000))
-    )
+    """A duration for reading: ``ms`` below a second, ``s`` below a minute, else ``m``; two decimals, halves up; ``0.00ms`` if not positive or no number."""
+    us = us.try_cast("bigint")
+
+    def shown(hundredth: int, unit: str) -> Column:
+        # whole numbers of hundredths: no rounding of binary fractions
+        h = F.call_function("div", us + F.lit(hundredth // 2), F.lit(hundredth))
+        return F.concat(F.call_function("div", h, F.lit(100)).cast("string"), F.lit("."), F.lpad(F.pmod(h, F.lit(100)).cast("string"), 2, "0"), F.lit(unit))
+
+    return F.when(us.isNull() | (us <= 0), F.lit("0.00ms")).when(us < 1_000_000, shown(10, "ms")).when(us < 60_000_000, shown(10_000, "s")).otherwise(shown(600_000, "m"))

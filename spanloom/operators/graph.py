@@ -35,14 +35,20 @@ def call_links(spans: DataFrame) -> DataFrame:
     )
 
 
-def topology_cardinality(spans: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Per root service and operation: traces, distinct shapes, mixes (multisets of names) and sizes; traces with exactly one root only."""
+def topology_cardinality(spans: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
+    """Per root service and operation: traces, distinct mixes (multisets of names) and sizes, and shapes where ``shapes`` gives them. Traces with no root
+    or several come out under a null root, counted alone."""
     name = F.concat_ws("|", "service_name", "operation_name")
-    per = spans.groupBy("trace_id").agg(
-        F.count_if(F.col("parent_id") == "").alias("roots"), F.max(F.when(F.col("parent_id") == "", name)).alias("root"), F.count("*").alias("size"), F.md5(F.array_join(F.sort_array(F.collect_list(name)), "\n")).alias("mix")
-    )
-    one = per.filter("roots = 1").join(shapes.select("trace_id", "shape"), "trace_id")
-    return one.groupBy("root").agg(F.count("*").alias("traces"), F.countDistinct("shape").alias("shapes"), F.countDistinct("mix").alias("mixes"), F.countDistinct("size").alias("sizes"))
+    # equal names of a trace are counted first, so what is gathered is bounded by the different names
+    names = spans.groupBy("trace_id", name.alias("name")).agg(F.count("*").alias("n"), F.count_if(F.col("parent_id") == "").alias("roots"))
+    entry = F.concat_ws(" ", F.col("name"), F.col("n").cast("string"))
+    per = names.groupBy("trace_id").agg(F.sum("roots").alias("roots"), F.max(F.when(F.col("roots") > 0, F.col("name"))).alias("root"), F.sum("n").alias("size"), F.md5(F.array_join(F.array_sort(F.collect_list(entry)), "\n")).alias("mix"))
+    one = F.col("roots") == 1
+    root = F.when(one, F.col("root")).alias("root")
+    if shapes is not None:
+        per = per.join(shapes.select("trace_id", "shape"), "trace_id")
+    only = lambda c: F.countDistinct(F.when(one, F.col(c)))
+    return per.groupBy(root).agg(F.count("*").alias("traces"), only("mix").alias("mixes"), only("size").alias("sizes"), *([only("shape").alias("shapes")] if shapes is not None else []))
 
 
 def top_shares(traces: DataFrame, k: int = 3) -> DataFrame:

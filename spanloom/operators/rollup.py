@@ -37,13 +37,13 @@ def numbered(df: DataFrame, key: list[str], order: list[str], at: str, width: in
     return r.withColumn("_seq", seq).join(sums, on).withColumn("seq", F.col("_seq") + F.col("_before")).drop("_seq", "_before", "_range", "_k_range", *[f"_k_{k}" for k in key])
 
 
-def rollups(traces: DataFrame) -> DataFrame:
+def rollups(traces: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
     """Per window, service and fingerprint: counts, sums, extremes, p50 and p99 of at most 1000 samples, the first ten trace ids.
 
     ``traces`` has ``trace_id, service_id, fingerprint, start_us, span_count, duration_us, has_error``. Groups of more than 1000 traces
     are sampled by a hash of the trace id."""
     key = ["window_start", "service_id", "fingerprint"]
-    t = traces.withColumn("window_start", F.col("start_us") - F.pmod("start_us", F.lit(WINDOW_US)))
+    t = traces.withColumn("window_start", F.col("start_us") - F.pmod("start_us", F.lit(window_us)))
     main = t.groupBy(*key).agg(
         F.count("*").alias("trace_count"), F.sum("span_count").alias("span_count"), F.count_if("has_error").alias("error_count"),
         F.sum("duration_us").alias("duration_sum"), F.min("duration_us").alias("duration_min"), F.max("duration_us").alias("duration_max"),
@@ -55,9 +55,9 @@ def rollups(traces: DataFrame) -> DataFrame:
     )
 
 
-def branch_stats(spans: DataFrame, traces: DataFrame) -> DataFrame:
+def branch_stats(spans: DataFrame, traces: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
     """Per window, service and fingerprint: a map from ``service:operation`` to count, sum, min, max and errors of its spans."""
-    t = traces.select("trace_id", "service_id", "fingerprint", (F.col("start_us") - F.pmod("start_us", F.lit(WINDOW_US))).alias("window_start"))
+    t = traces.select("trace_id", "service_id", "fingerprint", (F.col("start_us") - F.pmod("start_us", F.lit(window_us))).alias("window_start"))
     s = spans.select("trace_id", F.concat_ws(":", "service_name", "operation_name").alias("branch"), "duration", (status(F.col("tags")) == "ERROR").alias("bad"))
     key = ["window_start", "service_id", "fingerprint"]
     return s.join(t, "trace_id").groupBy(*key, "branch").agg(
@@ -71,8 +71,15 @@ def as_map(stats: DataFrame) -> DataFrame:
     return stats.groupBy("window_start", "service_id", "fingerprint").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("branch_stats"))
 
 
+def merge_branches(parts: DataFrame) -> DataFrame:
+    """Partial ``branch_stats`` of the same rollup and branch into one."""
+    return parts.groupBy("window_start", "service_id", "fingerprint", "branch").agg(
+        F.sum("n").alias("n"), F.sum("duration_sum").alias("duration_sum"), F.min("duration_min").alias("duration_min"), F.max("duration_max").alias("duration_max"), F.sum("error_count").alias("error_count")
+    )
+
+
 def merge(parts: DataFrame, order: str) -> DataFrame:
-    """Partial rollups of one key into one: counts and sums add up, percentiles become the count-weighted whole-number mean, taken in steps in
+    """Partial rollups of one window, service and path into one (as many as the flushes of its window): counts and sums add up, percentiles become the count-weighted whole-number mean, taken in steps in
     the order of ``order`` as they arrive, and the first ten distinct sample ids stay."""
     key = ["window_start", "service_id", "fingerprint"]
     seq = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("trace_count").cast("bigint").alias("n"), F.col("p50").cast("bigint").alias("p50"), F.col("p99").cast("bigint").alias("p99"), F.col("sample_trace_ids").alias("ids"))))
@@ -103,6 +110,12 @@ def comparison_hours(start_us: Column) -> Column:
     return F.transform(F.array(*[F.lit(i) for i in range(-2, 3)]), lambda i: F.date_format(F.timestamp_micros(base + i * F.lit(3_600_000_000)), "yyyy-MM-dd-HH"))
 
 
+def tier_of(rollups: DataFrame, now_us: int, warm_minutes: int = 60) -> DataFrame:
+    """``rollups`` with ``tier``: ``cold`` once their window ended ``warm_minutes`` ago or more, else ``warm``."""
+    end = F.col("window_start") + F.lit(WINDOW_US)
+    return rollups.withColumn("tier", F.when(end < F.lit(now_us - warm_minutes * 60_000_000), "cold").otherwise("warm"))
+
+
 def tiers(traces: DataFrame, important: DataFrame, now_us: int, hot_minutes: int = 15, factor: int = 10) -> DataFrame:
     """Traces still hot at ``now_us``: younger than ``hot_minutes``, or ``factor`` times that if they are in ``important`` (``trace_id``)."""
     age = F.lit(now_us) - F.col("start_us")

@@ -13,10 +13,11 @@ from spanloom.operators.fingerprint import parents_of
 MAX_DEPTH = 100
 
 
-def walk(up: list[int], duration: list[int], name: list[str]) -> dict[str, list]:
+def walk(up: list[int], duration: list[int], name: list[str], is_root: list[bool]) -> dict[str, list]:
     """One trace, spans in start order. ``depth``: hops to the farthest ancestor (at most MAX_DEPTH; stops where a cycle closes).
     ``circular``: on a cycle or below one. ``critical``: on the root-to-leaf path with the largest sum of durations, of equal ones the
-    first by start; spans deeper than MAX_DEPTH weigh nothing. ``recursive``: the name occurs among the span's ancestors."""
+    first by start; spans deeper than MAX_DEPTH weigh nothing. Where all ancestors run in a circle the path may begin at any span and ends before it would
+    meet itself. ``recursive``: the span lies below the last span without a parent, and its name occurs among its ancestors."""
     n = len(up)
     depth, state = [-1] * n, [0] * n
     circular = [False] * n
@@ -60,15 +61,52 @@ def walk(up: list[int], duration: list[int], name: list[str]) -> dict[str, list]
     while start >= 0 and depth[start] <= MAX_DEPTH:
         critical[start] = True
         start = via[start]
+    if n and not roots:
+        for i in _rootless(kids, duration):
+            critical[i] = True
     recursive = [False] * n
+    last = max((i for i in range(n) if is_root[i]), default=-1)
+    below = [False] * n
     names: list[frozenset] = [frozenset()] * n
     for i in order:
+        below[i] = i == last or (up[i] >= 0 and below[up[i]])
+        if not below[i]:
+            continue
         above = names[up[i]] if up[i] >= 0 else frozenset()
         recursive[i] = name[i] in above
         names[i] = above if recursive[i] else above | {name[i]}
     return {"depth": [min(state[i] if circular[i] else depth[i], MAX_DEPTH) for i in range(n)], "circular": circular, "critical": critical, "recursive": recursive}
 
 
+def _rootless(kids: list[list[int]], duration: list[int]) -> list[int]:
+    """The longest path of a trace without a root, from any of its spans, of equal ones the first. A span has one parent, so a path from a span can only
+    meet itself where it began."""
+    best_all, path = -1, []
+    for start in range(len(kids)):
+        order, depth = [start], {start: 0}
+        for i in order:
+            if depth[i] < MAX_DEPTH:
+                for j in kids[i]:
+                    if j != start:
+                        depth[j] = depth[i] + 1
+                        order.append(j)
+        best, via = {}, {}
+        for i in reversed(order):
+            top, via[i] = -1, -1
+            for j in kids[i]:
+                # a child that would close the circle or lies too deep counts nothing and ends the path
+                b = best.get(j, 0) if j != start else 0
+                if b > top:
+                    top, via[i] = b, j if j != start and j in depth and depth[j] == depth[i] + 1 else -1
+            best[i] = max(duration[i], 0) + max(top, 0)
+        if best[start] > best_all:
+            best_all, path, i = best[start], [], start
+            while i >= 0:
+                path.append(i)
+                i = via[i]
+    return path
+
+
 def tree_view(spans: DataFrame) -> DataFrame:
     """``trace_id, span_id, depth, circular, critical, recursive`` for every span of ``valid_spans``."""
 
@@ -77,7 +115,7 @@ def tree_view(spans: DataFrame) -> DataFrame:
         sid, pid, dur, name = (t[c].to_pylist() for c in ("span_id", "parent_id", "duration", "name"))
         out: dict[str, list] = {"depth": [], "circular": [], "critical": [], "recursive": []}
         for a, b in zip(starts, starts[1:]):
-            for k, v in walk(parents_of(sid[a:b], pid[a:b]), dur[a:b], name[a:b]).items():
+            for k, v in walk(parents_of(sid[a:b], pid[a:b]), dur[a:b], name[a:b], [not x for x in pid[a:b]]).items():
                 out[k] += v
         return pa.table({"trace_id": t["trace_id"], "span_id": t["span_id"], "depth": pa.array(out["depth"], pa.int32()), **{k: out[k] for k in ("circular", "critical", "recursive")}})
 

@@ -14,9 +14,9 @@ from spanloom.functions.ids import trace_hex
 from spanloom.functions.percentile import nearest_low_sorted
 from spanloom.functions.spans import format_us, lookup, status
 from spanloom.operators import assembly, fingerprint, graph, rollup, tree
-from spanloom.operators.config import DIMENSIONS, OPERATION_KEYS, TAG_KEYS
+from spanloom.operators.config import DIMENSIONS, OPERATION_KEYS, TAG_KEYS, Config
 from spanloom.operators.traces import counting_rows
-from spanloom.plans.pipeline_queries import _LAST, SPANS_SQL
+from spanloom.plans.pipeline_queries import _LAST, SPANS_SQL, _id
 from spanloom.sources import cold, events
 from spanloom.sources.tables import table
 from spanloom.workdir import new_path, written
@@ -123,13 +123,8 @@ def s1(s, d):
     path = new_path(s, "sse")
     ev.select(F.pmod("batch_id", F.lit(97)).alias("part"), "value").write.partitionBy("part").option("lineSep", "\u001e").text(path)
     back = s.read.option("lineSep", "\u001e").text(path)
-    return _parsed_parts(back).withColumn("part", F.col("part").cast("bigint"))
-
-
-def _parsed_parts(back: DataFrame) -> DataFrame:
-    ev = back.select("part", F.explode(F.split("value", "\n\n+")).alias("value"))
-    one = ev.select("part", F.regexp_extract("value", "(?:^|\n)event: *([a-z_]+)", 1).alias("event"), F.regexp_extract("value", "(?:^|\n)data: *(.*)", 1).alias("data")).filter("event = 'trace_batch'")
-    return one.select("part", F.from_json("data", events.SPAN).alias("x")).groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("x.TraceID").alias("traces"), F.sum("x.Duration").alias("duration"))
+    x = events.span_batches(events.sse_events(back, "value", "part"), "part").filter("not bad")
+    return x.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("TraceID").alias("traces"), F.sum("Duration").alias("duration")).withColumn("part", F.col("part").cast("bigint"))
 
 
 @query("ref_s2_json_batches", "SELECT count(*) AS n, count(DISTINCT trace_id) AS traces, CAST(sum(duration) AS BIGINT) AS duration, 0 AS bad FROM spans")
@@ -149,6 +144,40 @@ def s4(s, d):
     return events.batch_report(_raw(s, d), "batch_id", "trace_id", "span_id")
 
 
+_REQ = "q AS (SELECT CAST(floor(batch_id / 16) AS BIGINT) AS request, count(*) AS n, count(*) FILTER (coalesce(trace_id, '') <> '' AND coalesce(span_id, '') <> '') AS ok FROM spans GROUP BY 1)"
+
+
+@query("ref_s4_ingest_batches", f"WITH {_REQ} SELECT request, CASE WHEN n > 1000 THEN 0 ELSE ok END AS accepted, CASE WHEN n > 1000 THEN 0 ELSE n - ok END AS rejected, CASE WHEN n > 1000 THEN 'batch size exceeds maximum of 1000 spans' END AS error FROM q")
+def s4_requests(s, d):
+    """Requests of sixteen delivery batches each, as JSON arrays: those above the limit are refused whole."""
+    # what lies above the limit is refused for its number alone, so no array needs more than one span beyond it
+    one = _raw(s, d).withColumn("request", F.floor(F.col("batch_id") / 16)).withColumn("j", _json(None))
+    n = F.row_number().over(Window.partitionBy("request").orderBy("batch_id", "arrival"))
+    body = one.withColumn("_n", n).filter(F.col("_n") <= events.BATCH_LIMIT + 1).groupBy("request").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("body"))
+    return events.ingest(body, "request", "body")[1]
+
+
+@query(
+    "ref_s9_trace_export",
+    "SELECT trace_id, span_id, coalesce(parent_id, '') AS parent_id, coalesce(operation_name, '') AS operation_name, start_time, duration, coalesce(service_name, '') AS service_name, CASE WHEN duration % 3 = 0 THEN 'true' ELSE tags['http.method'] END AS mark FROM spans"
+    " WHERE trace_id IS NOT NULL AND span_id IS NOT NULL AND start_time BETWEEN 0 AND 4000000000000000 AND duration BETWEEN 0 AND 4000000000000000 QUALIFY row_number() OVER (PARTITION BY trace_id, span_id ORDER BY arrival DESC) = 1",
+)
+def s9(s, d):
+    """Spans as trace-export JSON, each twice in its text and as often as it was delivered: the last one counts."""
+    raw = _raw(s, d).filter("trace_id is not null and span_id is not null and start_time between 0 and 4000000000000000 and duration between 0 and 4000000000000000")
+    attr = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(v.alias("stringValue")).alias("value"))
+    nano = lambda c: F.concat(c.cast("string"), F.lit("789"))
+    span = lambda name: F.struct(
+        F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.col("parent_id").alias("parentSpanId"), name.alias("name"), nano(F.col("start_time")).alias("startTimeUnixNano"),
+        nano(F.col("start_time") + F.col("duration")).alias("endTimeUnixNano"), F.struct(F.when(F.pmod("duration", F.lit(3)) == 0, "2").otherwise("0").alias("code")).alias("status"), F.array(attr("http.method", F.col("tags")["http.method"])).alias("attributes"),
+    )
+    scope = F.struct(F.array(span(F.lit("before")), span(F.col("operation_name"))).alias("spans"))
+    doc = F.struct(F.array(F.struct(F.struct(F.array(attr("service.name", F.col("service_name"))).alias("attributes")).alias("resource"), F.array(scope).alias("scopeSpans"))).alias("resourceSpans"))
+    x = events.from_otlp(raw.select(F.to_json(doc).alias("value"), "arrival"), "value", "arrival")
+    mark = F.coalesce(F.col("tags")["error"], F.nullif(F.col("tags")["http.method"], F.lit("")))
+    return x.select("trace_id", "span_id", "parent_id", "operation_name", "start_time", "duration", "service_name", mark.alias("mark"))
+
+
 @query(
     "ref_s5_export_scan",
     "SELECT coalesce(trace_id, '') AS trace_id, coalesce(span_id, '') AS span_id, coalesce(parent_id, '') AS parent_id, coalesce(operation_name, '') AS operation_name, start_time, duration, coalesce(service_name, '') AS service_name, tags['http.method'] AS method, tags['env'] AS env"
@@ -160,14 +189,16 @@ def s5(s, d):
     return x.select(*[c for c in x.columns if c != "tags"], F.col("tags")["http.method"].alias("method"), F.col("tags")["env"].alias("env"))
 
 
-@query("ref_s7_bucket_layout", f"WITH {K} SELECT CAST(CAST('0x' || right(trace_id, 8) AS BIGINT) % 128 AS INT) AS bucket, count(*) AS n, CAST(sum(dur) AS BIGINT) AS duration FROM k WHERE st >= 1718150400000000 AND st < 1718236800000000 GROUP BY ALL")
+@query("ref_s7_bucket_layout", f"WITH {K} SELECT CAST(CAST('0x' || right(trace_id, 8) AS BIGINT) % 128 AS INT) AS bucket, count(*) AS n, CAST(sum(dur) AS BIGINT) AS duration FROM k WHERE st >= 1718150400000000 AND st < 1718236800000000 AND CAST('0x' || right(trace_id, 8) AS BIGINT) % 128 < 64 GROUP BY ALL")
 def s7(s, d):
-    """Bucket and hour folders, read back for one day with pruned partitions."""
+    """Folders by bucket and day, read back for one day and half of the buckets with pruned partitions."""
     x = spans(s, d).select("trace_id", "start_time", "duration", cold.bucket_of(F.col("trace_id")).alias("bucket"))
     path = new_path(s, "layout")
-    t = F.timestamp_micros("start_time")
-    x.withColumns({"day": F.date_format(t, "yyyy-MM-dd"), "hour": F.hour(t)}).repartition("day", "hour").write.partitionBy("day", "hour").parquet(path)
-    return s.read.parquet(path).filter(F.col("day").cast("string") == "2024-06-12").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("duration").alias("duration"))
+    parts = {"year": "yyyy", "month": "MM", "day": "dd"}
+    x = x.withColumns({k: F.date_format(F.timestamp_micros("start_time"), v) for k, v in parts.items()})
+    x.repartition("bucket", *parts).write.partitionBy("bucket", *parts).parquet(path)
+    back = s.read.parquet(path).filter("bucket < 64 and year = 2024 and month = 6 and day = 12")
+    return back.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("duration").alias("duration"))
 
 
 @query(
@@ -219,6 +250,25 @@ def s19(s, d):
     return cold.stored(s, path)
 
 
+@query("ref_s16_cold_rollups")
+def s16(s, d):
+    """Rollups written to cold storage by hour of their window, then read for one day."""
+    x = rollup.rollups(written(traces(s, d), "traces"))
+    path = new_path(s, "cold-rollups")
+    cold.write_hours(x, "window_start", path)
+    return cold.read_hours(s, path, x.schema, "window_start", *_COLD).select(*x.columns)
+
+
+@query("ref_s17_cold_interesting", f"WITH {FI}, {R} SELECT r.trace_id, kind AS reason, start_us, r.service_id FROM r JOIN (SELECT DISTINCT trace_id, kind FROM f) f USING (trace_id) WHERE start_us >= {_COLD[0]} AND start_us < {_COLD[1]}")
+def s17(s, d):
+    """Traces with findings, written to cold storage by hour, then read for one day."""
+    f = findings(s, d).select("trace_id", F.col("kind").alias("reason")).distinct()
+    x = traces(s, d).join(f, "trace_id").select("trace_id", "reason", "start_us", "service_id")
+    path = new_path(s, "cold-interesting")
+    cold.write_hours(x, "start_us", path)
+    return cold.read_hours(s, path, x.schema, "start_us", *_COLD).select(*x.columns)
+
+
 # --- projections and filters ---------------------------------------------------------------------
 
 
@@ -227,10 +277,20 @@ def p1(s, d):
     return spans(s, d).select("trace_id", "span_id", "parent_id", "operation_name", "start_time", "duration", "service_name")
 
 
-@query("ref_p2_known_tags", "SELECT trace_id, span_id, arrival, tags['http.method'] AS method, tags['http.status_code'] AS code, tags['error'] AS error, CAST(coalesce(cardinality(tags), 0) AS BIGINT) AS n FROM spans")
+@query(
+    "ref_p2_known_tags",
+    "SELECT trace_id, span_id, start_time, duration, service_name, coalesce(tags['http.method'], 'GET') AS method, coalesce(tags['http.status_code'], CAST(duration AS VARCHAR)) AS code, tags['error'] AS error, coalesce(tags['env'], nullif(service_name, '')) AS env"
+    " FROM spans WHERE coalesce(trace_id, '') <> '' AND coalesce(span_id, '') <> '' AND start_time > 0 AND duration >= 0 AND service_name IS NOT NULL",
+)
 def p2(s, d):
+    """Tag columns of an export, dotted or with underscores, and identity columns; attributes win."""
+    raw = _raw(s, d).filter("service_name is not null")
+    ext = raw.select(
+        "trace_id", "span_id", F.col("start_time").alias("timestamp_micros"), F.col("duration").alias("duration_micros"), F.col("service_name").alias("local_endpoint_service_name"),
+        F.lit("GET").alias("http.method"), F.col("duration").alias("http_status_code"), F.col("service_name").alias("env"), F.col("tags").alias("attributes"),
+    )
     t = F.col("tags")
-    return _raw(s, d).select("trace_id", "span_id", "arrival", t["http.method"].alias("method"), t["http.status_code"].alias("code"), t["error"].alias("error"), F.coalesce(F.size("tags"), F.lit(0)).cast("bigint").alias("n"))
+    return events.from_export(ext).select("trace_id", "span_id", "start_time", "duration", "service_name", t["http.method"].alias("method"), t["http.status_code"].alias("code"), t["error"].alias("error"), t["env"].alias("env"))
 
 
 @query("ref_p3_tag_lookup", f"WITH {K} SELECT trace_id, span_id, {', '.join(f'{_lookup(k)} AS {x}' for x, k in TAG_KEYS.items())} FROM k")
@@ -238,14 +298,24 @@ def p3(s, d):
     return spans(s, d).select("trace_id", "span_id", *[lookup(F.col("tags"), k).alias(x) for x, k in TAG_KEYS.items()])
 
 
+@query("ref_p4_own_tag_keys", f"WITH {K} SELECT trace_id, span_id, {_lookup(['http.method', 'env'])} AS env, {DIMS_SQL['scope1']} AS scope1 FROM k")
+def p4(s, d):
+    """Grouping values by keys of one's own; a dimension with an empty list keeps the built-in ones."""
+    own = Config().with_tags(env=["http.method", "env"], scope1=[])
+    return spans(s, d).select("trace_id", "span_id", *[lookup(F.col("tags"), own.keys(x)).alias(x) for x in ("env", "scope1")])
+
+
 @query("ref_p5_status", f"WITH {K} SELECT trace_id, span_id, {STATUS} AS status FROM k")
 def p5(s, d):
     return spans(s, d).select("trace_id", "span_id", status(F.col("tags")).alias("status"))
 
 
-@query("ref_p6_service_filter", "SELECT service_id FROM service_groupings WHERE env = 'prod' AND scope2 = 'eu-lake'")
+@query("ref_p6_service_filter", f"WITH {R} SELECT service_id FROM service_groupings WHERE env = 'prod' AND scope2 = 'eu-lake' AND service_id IN (SELECT service_id FROM r)")
 def p6(s, d):
-    return table(s, d, "service_groupings").filter("env = 'prod' and scope2 = 'eu-lake'").select("service_id")
+    """The service list for an environment and a scope."""
+    from spanloom.plans.api import Engine
+
+    return Engine(s, d).services(env="prod", scope2="eu-lake").select("service_id")
 
 
 @query("ref_p7_search", f"WITH {R} SELECT service_id, count(*) AS n FROM r GROUP BY service_id HAVING contains(lower(service_id), 'ledger') AND count(*) FILTER (has_error) > 0")
@@ -275,18 +345,34 @@ def p10(s, d):
 _NINE = ["service_identity", "scope1", "scope2", "scope3", "env", "feature_group", "feature_name", "sub_service", "operation"]
 
 
-@query("ref_p11_split_service_id", "SELECT service_id, " + ", ".join(f"coalesce(string_split(service_id, ':')[{i + 1}], '') AS {c}" for i, c in enumerate(_NINE)) + ", greatest(len(string_split(service_id, ':')) - 9, 0) AS n_extra FROM service_groupings")
+@query("ref_p11_split_service_id", "SELECT service_id, " + ", ".join(f"coalesce(string_split(service_id, ':')[{i + 1}], '') AS {c}" for i, c in enumerate(_NINE)) + ", string_split(service_id || ':a:b', ':')[10:] AS extra FROM service_groupings")
 def p11(s, d):
+    """Parts of a service id, two more than it has; what is beyond the ninth is left over."""
     parts = F.split("service_id", ":")
     cols = [F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(_NINE)]
-    return table(s, d, "service_groupings").select("service_id", *cols, F.greatest(F.size(parts) - 9, F.lit(0)).cast("bigint").alias("n_extra"))
+    more = F.split(F.concat("service_id", F.lit(":a:b")), ":")
+    return table(s, d, "service_groupings").select("service_id", *cols, F.slice(more, 10, 1 << 20).alias("extra"))
+
+
+_NONE = " AND ".join(f"coalesce({c}, '') = ''" for c in _NINE)
+_SOME = "SELECT CASE WHEN ascii(right(service_id, 1)) % 2 = 0 THEN service_id ELSE service_id || ':x' END AS service_id, " + ", ".join(f"CASE WHEN ascii(right(service_id, 1)) % 2 = 0 THEN {c} END AS {c}" for c in _NINE) + " FROM service_groupings"
 
 
-@query("ref_p12_grouping_fallback", "SELECT service_id, " + ", ".join(f"coalesce({c}, string_split(service_id, ':')[{i + 1}], '') AS {c}" for i, c in enumerate(_NINE)) + " FROM service_groupings")
+@query("ref_p12_grouping_fallback", f"WITH g AS ({_SOME}) SELECT service_id, " + ", ".join(f"CASE WHEN {_NONE} THEN coalesce(string_split(service_id, ':')[{i + 1}], '') ELSE coalesce({c}, '') END AS {c}" for i, c in enumerate(_NINE)) + " FROM g")
 def p12(s, d):
-    """Stored parts of a service id; those absent from the split id."""
+    """Stored parts of a service id; where all nine are absent (here for half of the ids) they are split from the id."""
+    keep = F.pmod(F.ascii(F.substring("service_id", -1, 1)), F.lit(2)) == 0
+    g = table(s, d, "service_groupings")
+    g = g.select(F.when(keep, F.col("service_id")).otherwise(F.concat("service_id", F.lit(":x"))).alias("service_id"), *[F.when(keep, F.col(c)).alias(c) for c in _NINE])
+    return g.select("service_id", *grouping_parts())
+
+
+def grouping_parts():
+    """The nine parts of ``service_id``: the stored ones, or, where all are null or empty, those of the id."""
     parts = F.split("service_id", ":")
-    return table(s, d, "service_groupings").select("service_id", *[F.coalesce(F.col(c), F.get(parts, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(_NINE)])
+    stored = [F.coalesce(F.col(c), F.lit("")) for c in _NINE]
+    none = F.concat(*stored) == ""
+    return [F.when(none, F.coalesce(F.get(parts, F.lit(i)), F.lit(""))).otherwise(x).alias(c) for i, (c, x) in enumerate(zip(_NINE, stored))]
 
 
 @query("ref_p13_valid_for_view", "SELECT trace_id, span_id, arrival FROM spans WHERE span_id <> ''")
@@ -296,13 +382,18 @@ def p13(s, d):
 
 @query(
     "ref_p14_sanitize",
-    "SELECT span_id, arrival, trace_id, coalesce(nullif(service_name, ''), 'unknown-service') AS service_name, coalesce(nullif(operation_name, ''), 'unknown-operation') AS operation_name, greatest(coalesce(start_time, 0), 0) AS start_time, greatest(coalesce(duration, 0), 0) AS duration FROM spans WHERE span_id <> '' AND NOT starts_with(span_id, 'unknown-')",
+    "SELECT span_id, arrival, coalesce(trace_id, '') AS trace_id, coalesce(parent_id, '') AS parent_id, coalesce(nullif(service_name, ''), 'unknown-service') AS service_name, coalesce(nullif(operation_name, ''), 'unknown-operation') AS operation_name, greatest(coalesce(start_time, 0), 0) AS start_time, greatest(coalesce(duration, 0), 0) AS duration,"
+    f" CASE WHEN tags IS NULL THEN 'OK' ELSE {STATUS} END AS status, CAST(coalesce(cardinality(tags), 0) AS BIGINT) AS n_tags FROM spans WHERE span_id <> '' AND NOT starts_with(span_id, 'unknown-')",
 )
 def p14(s, d):
     named = lambda c, x: F.coalesce(F.nullif(c, F.lit("")), F.lit(x)).alias(c)
     pos = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).alias(c)
+    tags = F.coalesce("tags", F.expr("cast(map() as map<string,string>)"))
     ok = _raw(s, d).filter("span_id <> '' and not startswith(span_id, 'unknown-')")
-    return ok.select("span_id", "arrival", "trace_id", named("service_name", "unknown-service"), named("operation_name", "unknown-operation"), pos("start_time"), pos("duration"))
+    return ok.select(
+        "span_id", "arrival", named("trace_id", ""), named("parent_id", ""), named("service_name", "unknown-service"), named("operation_name", "unknown-operation"), pos("start_time"), pos("duration"),
+        status(tags).alias("status"), F.size(tags).cast("bigint").alias("n_tags"),
+    )
 
 
 # --- assembly ------------------------------------------------------------------------------------
@@ -365,25 +456,36 @@ w AS (SELECT trace_id, span_id, [svc || ':' || op] AS names, false AS rec, 0 AS
       UNION ALL SELECT c.trace_id, c.span_id, list_append(w.names, c.svc || ':' || c.op), list_contains(w.names, c.svc || ':' || c.op), w.depth + 1 FROM w JOIN k c ON c.trace_id = w.trace_id AND c.parent_id = w.span_id)"""
 
 
-@query("ref_f5_recursion", f"{_REC} SELECT trace_id, bool_or(rec) AS recursive FROM w GROUP BY trace_id")
+_LAST_ROOT = """lr AS (SELECT trace_id, arg_max(span_id, (st, span_id)) AS root FROM k WHERE parent_id = '' GROUP BY trace_id),
+wr AS (SELECT k.trace_id, k.span_id, [svc || ':' || op] AS names, false AS rec FROM k JOIN lr ON lr.trace_id = k.trace_id AND lr.root = k.span_id
+       UNION ALL SELECT c.trace_id, c.span_id, list_append(wr.names, c.svc || ':' || c.op), list_contains(wr.names, c.svc || ':' || c.op) FROM wr JOIN k c ON c.trace_id = wr.trace_id AND c.parent_id = wr.span_id)"""
+
+
+@query("ref_f5_recursion", f"WITH RECURSIVE {K}, {_LAST_ROOT} SELECT k.trace_id, coalesce(bool_or(rec), false) AS recursive FROM k LEFT JOIN wr USING (trace_id, span_id) GROUP BY k.trace_id")
 def f5(s, d):
-    """Whether a name repeats on a path from a root; the SQL leaves out traces without a root, which are false."""
+    """Whether a name repeats on a path from the last root of the trace; false without a root."""
     return tree.tree_view(spans(s, d)).groupBy("trace_id").agg(F.bool_or("recursive").alias("recursive"))
 
 
 _SETS = f"""WITH {K}, {EDGES}, {R}, b AS (SELECT trace_id, list_sort(list_distinct(list(branch_key))) AS keys FROM e GROUP BY trace_id),
-x AS (SELECT r.trace_id, r.service_id, coalesce(b.keys, []) AS keys, r.start_us FROM r LEFT JOIN b USING (trace_id)),
-c AS (SELECT service_id, first(keys ORDER BY start_us, trace_id) AS canon FROM x GROUP BY service_id)"""
+x AS (SELECT r.trace_id, r.service_id, r.fingerprint, coalesce(b.keys, []) AS keys, r.start_us FROM r LEFT JOIN b USING (trace_id)),
+n AS (SELECT service_id, fingerprint, count(*) AS n, first(keys ORDER BY start_us, trace_id) AS keys FROM x GROUP BY ALL),
+c AS (SELECT service_id, keys AS canon FROM n QUALIFY row_number() OVER (PARTITION BY service_id ORDER BY n DESC, fingerprint) = 1 AND n > 0.1 * sum(n) OVER (PARTITION BY service_id))"""
 
 
-@query("ref_f6_branch_diff", f"{_SETS} SELECT trace_id, list_sort(list_filter(keys, lambda q: NOT list_contains(canon, q))) AS added, list_sort(list_filter(canon, lambda q: NOT list_contains(keys, q))) AS removed FROM x JOIN c USING (service_id)")
+@query("ref_f6_branch_diff", f"{_SETS} SELECT trace_id, list_sort(list_filter(keys, lambda q: NOT list_contains(coalesce(canon, []), q))) AS added, list_sort(list_filter(coalesce(canon, []), lambda q: NOT list_contains(keys, q))) AS removed FROM x LEFT JOIN c USING (service_id)")
 def f6(s, d):
-    """Branches that a trace has beyond its service's first trace, and lacks."""
+    """Branches that a trace has beyond the first trace of its service's canonical path, and lacks."""
     keys = assembly.edges(spans(s, d)).groupBy("trace_id").agg(F.array_sort(F.collect_set("branch_key")).alias("keys"))
     none = F.expr("cast(array() as array<string>)")
-    x = written(traces(s, d).join(keys, "trace_id", "left").select("trace_id", "service_id", F.coalesce("keys", none).alias("keys"), "start_us"), "branch-sets")
-    c = x.groupBy("service_id").agg(F.min_by("keys", F.struct("start_us", "trace_id")).alias("canon"))
-    return x.join(c, "service_id").select("trace_id", F.array_sort(F.array_except("keys", "canon")).alias("added"), F.array_sort(F.array_except("canon", "keys")).alias("removed"))
+    x = written(traces(s, d).join(keys, "trace_id", "left").select("trace_id", "service_id", "fingerprint", F.coalesce("keys", none).alias("keys"), "start_us"), "branch-sets")
+    first = F.min(F.struct("start_us", "trace_id")).alias("first")
+    n = x.groupBy("service_id", "fingerprint").agg(F.count("*").alias("n"), first)
+    w = Window.partitionBy("service_id")
+    top = n.select("*", F.row_number().over(w.orderBy(F.desc("n"), "fingerprint")).alias("_q"), F.sum("n").over(w).alias("_all")).filter("_q = 1 and n > 0.1 * _all")
+    c = top.select("service_id", F.col("first.trace_id").alias("trace_id")).join(x.select("trace_id", F.col("keys").alias("canon")), "trace_id").drop("trace_id")
+    canon = F.coalesce("canon", none)
+    return x.join(c, "service_id", "left").select("trace_id", F.array_sort(F.array_except("keys", canon)).alias("added"), F.array_sort(F.array_except(canon, "keys")).alias("removed"))
 
 
 @query("ref_f7_call_nodes", f"WITH {K} SELECT trace_id, svc || ':' || op AS node, count(*) AS n, CAST(sum(dur) AS BIGINT) AS duration_sum, CASE WHEN bool_or({STATUS} = 'OK') THEN 'OK' ELSE 'ERROR' END AS status, first(parent_id = '' ORDER BY st, span_id) AS is_root FROM k WHERE svc <> '' AND op <> '' GROUP BY ALL")
@@ -402,10 +504,21 @@ def f8(s, d):
 
 @query("ref_f9_topology_cardinality")
 def f9(s, d):
+    """Shapes, mixes and sizes of each root; traces without exactly one root under a null root."""
     x = written(spans(s, d), "valid-spans")
     return graph.topology_cardinality(x, fingerprint.fingerprints(x))
 
 
+@query(
+    "ref_f9_mixes",
+    f"WITH {K}, n AS (SELECT trace_id, svc || '|' || op AS name, count(*) AS n, count(*) FILTER (parent_id = '') AS roots FROM k GROUP BY ALL), p AS (SELECT trace_id, sum(roots) AS roots, max(name) FILTER (roots > 0) AS root, sum(n) AS size, md5(string_agg(name || ' ' || n, chr(10) ORDER BY name || ' ' || n)) AS mix FROM n GROUP BY trace_id)"
+    " SELECT CASE WHEN roots = 1 THEN root END AS root, count(*) AS traces, count(DISTINCT CASE WHEN roots = 1 THEN mix END) AS mixes, count(DISTINCT CASE WHEN roots = 1 THEN size END) AS sizes FROM p GROUP BY 1",
+)
+def f9b(s, d):
+    """The same without shapes."""
+    return graph.topology_cardinality(spans(s, d))
+
+
 @query("ref_f10_children", f"WITH {K} SELECT trace_id, parent_id, count(*) AS n, CAST(sum(dur) AS BIGINT) AS duration FROM k WHERE parent_id <> '' GROUP BY ALL")
 def f10(s, d):
     return spans(s, d).filter("parent_id <> ''").groupBy("trace_id", "parent_id").agg(F.count("*").alias("n"), F.sum("duration").alias("duration"))
@@ -414,18 +527,27 @@ def f10(s, d):
 # --- views of one trace, for all traces ----------------------------------------------------------
 
 
-@query("ref_w1_depth", f"{_REC} SELECT trace_id, span_id, least(depth, 100) AS depth FROM w")
+#: Spans on or below a circle: how many different spans the way up from each meets.
+_ROUND = """lo AS (SELECT k.trace_id, k.span_id, k.parent_id FROM k ANTI JOIN w USING (trace_id, span_id)),
+ro AS (SELECT trace_id, span_id, parent_id AS x, [span_id] AS seen FROM lo UNION ALL SELECT ro.trace_id, ro.span_id, lo.parent_id, list_append(ro.seen, lo.span_id) FROM ro JOIN lo ON lo.trace_id = ro.trace_id AND lo.span_id = ro.x WHERE NOT list_contains(ro.seen, ro.x)),
+dp AS (SELECT trace_id, span_id, least(depth, 100) AS depth, false AS circular, rec FROM w UNION ALL SELECT trace_id, span_id, CAST(least(max(len(seen)), 100) AS INT), true, false FROM ro GROUP BY trace_id, span_id)"""
+
+
+@query("ref_w1_depth", f"{_REC}, {_ROUND} SELECT trace_id, span_id, depth FROM dp")
 def w1(s, d):
-    """Depth of all spans; the SQL leaves out those on a circle or below one."""
+    """Depth of all spans; on or below a circle the number of spans that the way up meets."""
     return tree.tree_view(spans(s, d)).select("trace_id", "span_id", "depth")
 
 
-@query(
-    "ref_w2_critical_sum",
-    f"""WITH RECURSIVE {K}, w AS (SELECT trace_id, span_id, dur AS total, 0 AS depth FROM k c WHERE NOT EXISTS (SELECT 1 FROM k p WHERE p.trace_id = c.trace_id AND p.span_id = c.parent_id)
-    UNION ALL SELECT c.trace_id, c.span_id, w.total + c.dur, w.depth + 1 FROM w JOIN k c ON c.trace_id = w.trace_id AND c.parent_id = w.span_id WHERE w.depth < 100)
-    SELECT trace_id, max(total) AS critical_us FROM w GROUP BY trace_id""",
-)
+#: All ways down from the roots (from every span where there is none); a way ends where it would meet itself or gets too deep, which counts nothing.
+_WAYS = """sp AS (SELECT trace_id, span_id FROM w WHERE depth = 0 UNION ALL SELECT trace_id, span_id FROM k WHERE trace_id NOT IN (SELECT trace_id FROM w)),
+wy AS (SELECT k.trace_id, k.span_id, k.dur AS total, [k.span_id] AS path, [(k.st, k.span_id)] AS ord, 0 AS depth, false AS done FROM k JOIN sp USING (trace_id, span_id)
+       UNION ALL SELECT c.trace_id, c.span_id, CASE WHEN list_contains(path, c.span_id) OR depth >= 100 THEN total ELSE total + c.dur END, CASE WHEN list_contains(path, c.span_id) OR depth >= 100 THEN path ELSE list_append(path, c.span_id) END,
+              list_append(ord, (c.st, c.span_id)), depth + 1, list_contains(path, c.span_id) OR depth >= 100 FROM wy JOIN k c ON c.trace_id = wy.trace_id AND c.parent_id = wy.span_id WHERE NOT done),
+be AS (SELECT trace_id, total, path FROM wy WHERE done OR NOT EXISTS (SELECT 1 FROM k WHERE k.trace_id = wy.trace_id AND k.parent_id = wy.span_id) QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY total DESC, ord) = 1)"""
+
+
+@query("ref_w2_critical_sum", f"{_REC}, {_WAYS} SELECT trace_id, total AS critical_us FROM be")
 def w2(s, d):
     """Length of every trace's critical path, from the flagged spans."""
     x = written(spans(s, d), "valid-spans")
@@ -433,9 +555,9 @@ def w2(s, d):
     return x.join(flags, ["trace_id", "span_id"]).groupBy("trace_id").agg(F.sum("duration").alias("critical_us"))
 
 
-@query("ref_w2_critical_path")
+@query("ref_w2_critical_path", f"{_REC}, {_WAYS} SELECT trace_id, unnest(path) AS span_id FROM be")
 def w2b(s, d):
-    return tree.tree_view(spans(s, d)).filter("critical").select("trace_id", "span_id", "depth")
+    return tree.tree_view(spans(s, d)).filter("critical").select("trace_id", "span_id")
 
 
 _T = "x AS (SELECT trace_id, span_id, st, dur, min(st) OVER w AS lo, max(st + dur) OVER w - min(st) OVER w AS total, count(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY trace_id))"
@@ -457,9 +579,9 @@ def w5(s, d):
     return tree.tree_view(spans(s, d)).filter("circular").select("trace_id", "span_id")
 
 
-@query("ref_w6_span_tree", f"WITH {K} SELECT c.trace_id, c.span_id, coalesce(p.span_id, '') AS shown_below FROM k c LEFT JOIN k p ON p.trace_id = c.trace_id AND p.span_id = c.parent_id")
+@query("ref_w6_span_tree", f"{_REC} SELECT k.trace_id, k.span_id, CASE WHEN w.depth BETWEEN 1 AND 99 THEN k.parent_id ELSE '' END AS shown_below FROM k LEFT JOIN w USING (trace_id, span_id)")
 def w6(s, d):
-    """Span below which each span is shown; orphans, spans on or below a circle and those too deep are roots. The SQL knows orphans only."""
+    """Span below which each span is shown; orphans, spans on or below a circle and those too deep are roots."""
     x = written(spans(s, d), "valid-spans")
     # only a span with a parent in its trace has a depth
     linked = tree.tree_view(x).filter(~F.col("circular") & F.col("depth").between(1, tree.MAX_DEPTH - 1)).select("trace_id", "span_id", F.lit(True).alias("_linked"))
@@ -467,18 +589,32 @@ def w6(s, d):
     return x.join(linked, ["trace_id", "span_id"], "left").select("trace_id", "span_id", below.alias("shown_below"))
 
 
-@query("ref_w7_waterfall")
+_OFFSET = "CASE WHEN total > 0 THEN round(greatest(0, least(100, (st - lo) * 100.0::DOUBLE / total)), 6) ELSE 0 END AS offset_pct, CASE WHEN total > 0 THEN round(greatest(0.5, least(100, dur * 100.0::DOUBLE / total)), 6) ELSE round(100.0::DOUBLE / n, 6) END AS width_pct"
+
+
+@query(
+    "ref_w7_waterfall",
+    f"{_REC}, {_ROUND}, {_WAYS}, {_LAST_ROOT}, {_T}, cp AS (SELECT trace_id, unnest(path) AS span_id, true AS critical FROM be), bs AS (SELECT *, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY st, span_id) AS INT) AS row FROM k)"
+    f" SELECT bs.trace_id, bs.span_id, bs.row, bs.svc AS service_name, bs.op AS operation_name, bs.dur AS duration, {_STATUS.format(t='bs.tags')} AS status, dp.depth, dp.circular, coalesce(cp.critical, false) AS critical, coalesce(wr.rec, false) AS recursive, {_OFFSET.replace('st -', 'x.st -').replace('dur *', 'x.dur *')}"
+    " FROM bs JOIN dp USING (trace_id, span_id) JOIN x USING (trace_id, span_id) LEFT JOIN cp USING (trace_id, span_id) LEFT JOIN wr USING (trace_id, span_id)",
+)
 def w7(s, d):
     """Rows of the waterfall: order, depth, bar and flags of every span."""
     x = written(spans(s, d), "valid-spans")
     row = F.row_number().over(Window.partitionBy("trace_id").orderBy("start_time", "span_id")).alias("row")
     base = x.select("trace_id", "span_id", row, "service_name", "operation_name", "duration", status(F.col("tags")).alias("status"))
-    return base.join(tree.tree_view(x), ["trace_id", "span_id"]).join(tree.timing(x), ["trace_id", "span_id"])
+    bars = tree.timing(x).select("trace_id", "span_id", *[F.round(c, 6).alias(c) for c in ("offset_pct", "width_pct")])
+    return base.join(tree.tree_view(x), ["trace_id", "span_id"]).join(bars, ["trace_id", "span_id"])
 
 
-@query("ref_w8_format", f"WITH {K} SELECT trace_id, span_id, CASE WHEN dur <= 0 THEN '0.00ms' WHEN dur < 1000000 THEN printf('%.2fms', dur / 1000.0::DOUBLE) WHEN dur < 60000000 THEN printf('%.2fs', dur / 1000000.0::DOUBLE) ELSE printf('%.2fm', dur / 60000000.0::DOUBLE) END AS shown FROM k WHERE dur % 10 <> 5")
+def _shown(hundredth: int, unit: str) -> str:
+    h = f"((dur + {hundredth // 2}) // {hundredth})"
+    return f"CAST({h} // 100 AS VARCHAR) || '.' || lpad(CAST({h} % 100 AS VARCHAR), 2, '0') || '{unit}'"
+
+
+@query("ref_w8_format", f"WITH {K} SELECT trace_id, span_id, CASE WHEN dur <= 0 THEN '0.00ms' WHEN dur < 1000000 THEN {_shown(10, 'ms')} WHEN dur < 60000000 THEN {_shown(10_000, 's')} ELSE {_shown(600_000, 'm')} END AS shown FROM k")
 def w8(s, d):
-    """Durations as text, of all spans. The SQL leaves out those ending in 5, since engines round halves differently."""
+    """Durations as text, of all spans, by whole-number arithmetic."""
     return spans(s, d).select("trace_id", "span_id", format_us(F.col("duration")).alias("shown"))
 
 
@@ -506,8 +642,7 @@ _PCT = "list_sort(list({x}))[CAST(floor((count(*) - 1) * {p}) AS INT) + 1]"
 
 def _ring_of(df: DataFrame, key: list[str], value: str, limit: int) -> DataFrame:
     """``key, samples``: the ring of each key, sorted. Only the kept rows are gathered, so an array has at most ``limit`` values."""
-    w = Window.partitionBy(*key)
-    x = df.withColumn("seq", F.row_number().over(w.orderBy("start_us", "trace_id"))).withColumn("n_all", F.count("*").over(w))
+    x = rollup.numbered(df, key, ["start_us", "trace_id"], "start_us")
     return x.filter(in_ring("n_all", "seq", limit)).groupBy(*key).agg(F.sort_array(F.collect_list(value)).alias("samples"))
 
 
@@ -559,7 +694,7 @@ _BR = f"{K}, {EDGES}, {R}, b AS (SELECT r.service_id, e.branch_key, e.duration_u
 @query(
     "ref_a4_branch_report",
     f"WITH {_BR}, {_RANKED.format(k='service_id, branch_key', t='b')}, s AS (SELECT service_id, branch_key, {', '.join(_PCT.format(x='duration_us', p=p) + f' AS p{int(p * 100)}' for p in (0.5, 0.9, 0.99))} FROM x WHERE {_in_ring_sql(100)} GROUP BY ALL)"
-    " SELECT m.*, p50, p90, p99 FROM (SELECT service_id, branch_key, count(*) AS n, min(duration_us) AS duration_min, max(duration_us) AS duration_max FROM b GROUP BY ALL) m JOIN s USING (service_id, branch_key)",
+    " SELECT m.*, p50, p90, p99 FROM (SELECT service_id, branch_key, count(*) AS n, round(sum(duration_us) / count(*)::DOUBLE, 6) AS mean, min(duration_us) AS duration_min, max(duration_us) AS duration_max FROM b GROUP BY ALL) m JOIN s USING (service_id, branch_key)",
 )
 def a4b(s, d):
     """Branches of each service with percentiles of their rings."""
@@ -567,7 +702,7 @@ def a4b(s, d):
     b = assembly.edges(spans(s, d)).join(t, "trace_id").select("service_id", "branch_key", "duration_us", "start_us", F.concat("trace_id", "span_id").alias("trace_id"))
     b = written(b, "branches")
     key = ["service_id", "branch_key"]
-    m = b.groupBy(*key).agg(F.count("*").alias("n"), F.min("duration_us").alias("duration_min"), F.max("duration_us").alias("duration_max"))
+    m = b.groupBy(*key).agg(F.count("*").alias("n"), F.round(F.sum("duration_us") / F.count("*"), 6).alias("mean"), F.min("duration_us").alias("duration_min"), F.max("duration_us").alias("duration_max"))
     r = _ring_of(b, key, "duration_us", 100)
     return m.join(r, key).select(*m.columns, *[nearest_low_sorted(F.col("samples"), p).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.99)])
 
@@ -593,7 +728,9 @@ def a6(s, d):
     """Durations weighted by the number of spans: running weights in a window, no gathering."""
     t = traces(s, d).filter("span_count is not null").select("service_id", "trace_id", "duration_us", F.col("span_count").cast("double").alias("w"))
     by = Window.partitionBy("service_id")
-    x = t.select("service_id", "duration_us", F.sum("w").over(by.orderBy("duration_us", "w", "trace_id").rowsBetween(Window.unboundedPreceding, 0)).alias("cum"), F.sum("w").over(by).alias("total"))
+    # equal durations are added up before the window
+    x = t.groupBy("service_id", "duration_us").agg(F.sum("w").alias("w"))
+    x = x.select("service_id", "duration_us", F.sum("w").over(by.orderBy("duration_us").rowsBetween(Window.unboundedPreceding, 0)).alias("cum"), F.sum("w").over(by).alias("total"))
     return x.groupBy("service_id").agg(F.coalesce(F.min(F.when(F.col("cum") > (F.col("total") - 1) * F.lit(0.75), F.col("duration_us"))), F.max("duration_us")).alias("p75"))
 
 
@@ -602,6 +739,9 @@ ro AS (SELECT window_start, service_id, fingerprint, count(*) AS trace_count, CA
        {_PCT.format(x='duration_us', p=0.5)} AS p50, {_PCT.format(x='duration_us', p=0.99)} AS p99, list(trace_id ORDER BY start_us, trace_id)[:10] AS sample_trace_ids FROM w GROUP BY ALL)"""
 
 
+ORACLE["ref_s16_cold_rollups"] = f"WITH {_ROLL} SELECT * FROM ro WHERE window_start >= {_COLD[0]} AND window_start < {_COLD[1]}"
+
+
 @query("ref_a7_rollup", f"WITH {_ROLL} SELECT * FROM ro")
 def a7(s, d):
     return rollup.rollups(written(traces(s, d), "traces"))
@@ -612,17 +752,39 @@ def a8(s, d):
     return rollup.branch_stats(spans(s, d), traces(s, d))
 
 
-@query("ref_a8_branch_maps")
+_BRANCHES = f"bs AS (SELECT start_us - start_us % 900000000 AS window_start, service_id, fingerprint, svc || ':' || op AS branch, count(*) AS n, CAST(sum(dur) AS BIGINT) AS duration_sum, min(dur) AS duration_min, max(dur) AS duration_max, count(*) FILTER ({STATUS} = 'ERROR') AS error_count FROM k JOIN r USING (trace_id) GROUP BY ALL)"
+
+
+@query("ref_a8_branch_maps", f"WITH {K}, {R}, {_BRANCHES} SELECT window_start, service_id, fingerprint, list_sort(list(concat_ws('|', branch, n, duration_sum, duration_min, duration_max, error_count))) AS branches FROM bs GROUP BY ALL")
 def a8b(s, d):
-    return rollup.as_map(a8(s, d))
+    """Branch statistics as one map per rollup, its entries written out."""
+    m = F.map_entries("branch_stats")
+    text = F.transform(m, lambda e: F.concat_ws("|", e["key"], *[e["value"][c].cast("string") for c in ("n", "duration_sum", "duration_min", "duration_max", "error_count")]))
+    return rollup.as_map(a8(s, d)).select("window_start", "service_id", "fingerprint", F.array_sort(text).alias("branches"))
+
+
+@query("ref_a9_branch_merge", f"WITH {K}, {R}, {_BRANCHES} SELECT * FROM bs")
+def a9_branches(s, d):
+    """Branch statistics of five minutes each, merged into those of their windows."""
+    parts = rollup.branch_stats(spans(s, d), traces(s, d), 300_000_000)
+    return rollup.merge_branches(parts.withColumn("window_start", F.col("window_start") - F.pmod("window_start", F.lit(rollup.WINDOW_US))))
+
+
+_PARTS = f"""{R}, pt AS (SELECT start_us - start_us % 300000000 AS part, service_id, fingerprint, count(*) AS n, sum(span_count) AS spans, count(*) FILTER (has_error) AS errors, sum(duration_us) AS total, min(duration_us) AS low, max(duration_us) AS high,
+       {_PCT.format(x='duration_us', p=0.5)} AS p50, {_PCT.format(x='duration_us', p=0.99)} AS p99, list(trace_id ORDER BY start_us, trace_id)[:10] AS ids FROM r GROUP BY ALL),
+gr AS (SELECT part - part % 900000000 AS window_start, service_id, fingerprint, sum(n) AS trace_count, sum(spans) AS span_count, sum(errors) AS error_count, sum(total) AS duration_sum, min(low) AS duration_min, max(high) AS duration_max,
+       list({{'n': n, 'p50': p50, 'p99': p99}} ORDER BY part) AS seq, flatten(list(ids ORDER BY part))[:10] AS sample_trace_ids FROM pt GROUP BY ALL),
+fo AS (SELECT *, list_reduce(seq, lambda a, b: {{'n': a.n + b.n, 'p50': (a.p50 * a.n + b.p50 * b.n) // (a.n + b.n), 'p99': (a.p99 * a.n + b.p99 * b.n) // (a.n + b.n)}}) AS m FROM gr)"""
 
 
-@query("ref_a9_rollup_merge", f"WITH {_ROLL} SELECT 0 AS window_start, service_id, fingerprint, CAST(sum(trace_count) AS BIGINT) AS trace_count, CAST(sum(span_count) AS BIGINT) AS span_count, CAST(sum(error_count) AS BIGINT) AS error_count, CAST(sum(duration_sum) AS BIGINT) AS duration_sum, min(duration_min) AS duration_min, max(duration_max) AS duration_max, list_distinct(flatten(list(sample_trace_ids ORDER BY window_start)))[1] IS NOT NULL AS has_sample FROM ro GROUP BY ALL")
+@query(
+    "ref_a9_rollup_merge",
+    f"WITH {_PARTS} SELECT window_start, service_id, fingerprint, CAST(trace_count AS BIGINT) AS trace_count, CAST(span_count AS BIGINT) AS span_count, CAST(error_count AS BIGINT) AS error_count, CAST(duration_sum AS BIGINT) AS duration_sum, duration_min, duration_max, m.p50 AS p50, m.p99 AS p99, sample_trace_ids FROM fo",
+)
 def a9(s, d):
-    """Rollups of all windows merged into one per service and path; the SQL has no percentiles and sample ids."""
-    parts = rollup.rollups(written(traces(s, d), "traces")).withColumn("at", F.col("window_start")).withColumn("window_start", F.lit(0))
-    m = rollup.merge(parts, "at")
-    return m.withColumn("has_sample", F.size("sample_trace_ids") > 0)
+    """Rollups of five minutes each, merged in their order into those of their windows."""
+    parts = rollup.rollups(written(traces(s, d), "traces"), 300_000_000).withColumn("at", F.col("window_start"))
+    return rollup.merge(parts.withColumn("window_start", F.col("at") - F.pmod("at", F.lit(rollup.WINDOW_US))), "at")
 
 
 @query("ref_a10_issue_counts", f"WITH {FI} SELECT service_id, count(*) FILTER (kind = 'deviation') AS deviation_count, count(*) FILTER (kind = 'anomaly') AS anomaly_count FROM f GROUP BY service_id")
@@ -656,9 +818,13 @@ def a13(s, d):
 _HOUR = f"{R}, h AS (SELECT strftime(make_timestamp(start_us), '%Y-%m-%d-%H') AS hour, service_id, fingerprint, count(*) AS n, CAST(sum(duration_us) AS BIGINT) AS duration_sum, min(duration_us) AS duration_min, max(duration_us) AS duration_max FROM r GROUP BY ALL)"
 
 
-@query("ref_a14_hourly", f"WITH {_HOUR} SELECT * FROM h")
+@query(
+    "ref_a14_hourly",
+    f"WITH {_HOUR}, q AS (SELECT strftime(make_timestamp(start_us), '%Y-%m-%d-%H') AS hour, service_id, fingerprint, duration_us FROM r QUALIFY row_number() OVER (PARTITION BY 1, service_id, fingerprint, start_us // 3600000000 ORDER BY md5(trace_id)) <= 200),"
+    " sm AS (SELECT hour, service_id, fingerprint, list(duration_us ORDER BY duration_us) AS samples FROM q GROUP BY ALL) SELECT h.*, samples FROM h JOIN sm USING (hour, service_id, fingerprint)",
+)
 def a14(s, d):
-    """Hourly buckets with their samples; the SQL has no samples."""
+    """Hourly buckets with their samples."""
     return rollup.hourly(written(traces(s, d), "traces"))
 
 
@@ -718,12 +884,17 @@ def x5(s, d):
     return table(s, d, "pending_traces").select("trace_id").distinct()
 
 
-@query("ref_u1_union_latest", "WITH x AS (SELECT trace_id, version, 1 AS src, last_seen FROM pending_traces UNION ALL SELECT trace_id, 0, 0, max(created_at) FROM traces GROUP BY trace_id) SELECT trace_id, max(version) AS version, max(src) AS src FROM x GROUP BY trace_id")
+@query(
+    "ref_u1_memory_wins",
+    f"WITH {SPANS_SQL}, m AS (SELECT *, CASE WHEN batch_id % 4 = 0 THEN 1 ELSE 0 END AS here FROM (SELECT {_id('trace_id', 32)} AS t, {_id('span_id', 16)} AS s, arrival, duration, batch_id FROM spans WHERE trim(coalesce(trace_id, '')) <> '' AND trim(coalesce(span_id, '')) <> ''))"
+    " SELECT t AS trace_id, s AS span_id, duration, here = 1 AS in_memory FROM m QUALIFY row_number() OVER (PARTITION BY t, s ORDER BY here DESC, arrival DESC, duration) = 1",
+)
 def u1(s, d):
-    """Traces in memory and on disk; what is in memory wins."""
-    a = table(s, d, "pending_traces").select("trace_id", "version", F.lit(1).alias("src"))
-    b = table(s, d, "traces").select("trace_id", F.lit(0).cast("bigint").alias("version"), F.lit(0).alias("src")).distinct()
-    return a.unionByName(b).groupBy("trace_id").agg(F.max("version").alias("version"), F.max("src").alias("src"))
+    """Spans of a trace on disk and in memory (here every fourth delivery batch): what is in memory wins, else the latest copy."""
+    raw = _raw(s, d)
+    memory = F.coalesce(F.pmod("batch_id", F.lit(4)) == 0, F.lit(False))
+    x = assembly.latest_copies(assembly.with_memory(raw.filter(~memory), raw.filter(memory)))
+    return x.select("trace_id", "span_id", "duration", (F.col("arrival") >= F.lit(1 << 62)).alias("in_memory"))
 
 
 @query("ref_u2_pending_not_stored", "SELECT trace_id FROM pending_traces EXCEPT SELECT trace_id FROM traces")

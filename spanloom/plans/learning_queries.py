@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from spanloom.operators import assembly, baseline, fingerprint, rollup, tree
 from spanloom.operators.config import Config, combinations
 from spanloom.plans.engine_queries import FI, R, _in_ring_sql, findings as stored_findings, spans, traces
-from spanloom.workdir import written
+from spanloom.sources import cold
+from spanloom.workdir import new_path, written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -31,13 +32,12 @@ _PRE = f"""{R}, pre AS (SELECT *, row_number() OVER (PARTITION BY service_id {_O
 
 
 def before(t: DataFrame) -> DataFrame:
-    """Each trace with what was known before it: ``n_service, n_path, first_seen``."""
-    svc = Window.partitionBy("service_id").orderBy("start_us", "trace_id")
-    path = Window.partitionBy("service_id", "fingerprint").orderBy("start_us", "trace_id")
-    one = F.lit(1).cast("bigint")
-    return t.withColumns(
-        {"n_service": F.row_number().over(svc) - one, "n_path": F.row_number().over(path) - one, "first_seen": F.min("start_us").over(path.rowsBetween(Window.unboundedPreceding, -1))}
-    )
+    """Each trace with what was known before it: ``n_service, n_path, first_seen`` (B2, B3, J3). No task holds a whole service or path."""
+    order, one = ["start_us", "trace_id"], F.lit(1).cast("bigint")
+    x = rollup.numbered(t, ["service_id"], order, "start_us").withColumn("n_service", F.col("seq") - one).drop("seq", "n_all")
+    x = rollup.numbered(x, ["service_id", "fingerprint"], order, "start_us").withColumn("n_path", F.col("seq") - one).drop("seq", "n_all")
+    first = t.groupBy("service_id", "fingerprint").agg(F.min("start_us").alias("_first"))
+    return x.join(first, ["service_id", "fingerprint"]).withColumn("first_seen", F.when(F.col("n_path") > 0, F.col("_first"))).drop("_first")
 
 
 @query("ref_b1_clock", f"WITH {R} SELECT trace_id, max(start_us) OVER (PARTITION BY service_id {_ORD} ROWS UNBOUNDED PRECEDING) AS stamp FROM r")
@@ -88,8 +88,7 @@ def b7(s, d):
     """What the ring of 1000 holds after all traces of a path, in closed form."""
     from spanloom.plans.engine_queries import in_ring
 
-    w = Window.partitionBy("service_id", "fingerprint")
-    x = traces(s, d).withColumns({"seq": F.row_number().over(w.orderBy("start_us", "trace_id")), "n_all": F.count("*").over(w)})
+    x = rollup.numbered(traces(s, d), ["service_id", "fingerprint"], ["start_us", "trace_id"], "start_us")
     return x.filter(in_ring("n_all", "seq", 1000)).groupBy("service_id", "fingerprint").agg(F.count("*").alias("n_kept"), F.sum("duration_us").alias("kept_sum"))
 
 
@@ -240,6 +239,16 @@ def z9(s, d):
     return rollup.tiers(traces(s, d), stored_findings(s, d).select("trace_id"), _NOW).select("trace_id")
 
 
+@query("ref_z9_rollup_tiers", f"WITH {R}, w AS (SELECT start_us - start_us % 900000000 AS window_start, service_id, fingerprint, count(*) AS trace_count FROM r GROUP BY ALL) SELECT *, CASE WHEN window_start + 900000000 < {_NOW} - 3600000000 THEN 'cold' ELSE 'warm' END AS tier FROM w")
+def z9_rollups(s, d):
+    """Rollups of all windows by tier: those of the last hour stay warm, the others are moved to cold storage and read back from there."""
+    x = written(rollup.tier_of(rollup.rollups(written(traces(s, d), "traces")), _NOW), "tiers")
+    moved, path = x.filter("tier = 'cold'"), new_path(s, "cold-tier")
+    cold.write_hours(moved, "window_start", path)
+    back = cold.read_hours(s, path, x.schema, "window_start", 0, _NOW)
+    return back.select(*x.columns).unionByName(x.filter("tier = 'warm'")).select("window_start", "service_id", "fingerprint", "trace_count", "tier")
+
+
 @query("ref_z8_retained_hours", f"WITH {R}, h AS (SELECT DISTINCT strftime(make_timestamp(start_us), '%Y-%m-%d-%H') AS hour FROM r), n AS (SELECT unnest(range(97)) AS i), b AS (SELECT ({_NOW} - {_NOW} % 3600000000) + i * 3600000000 - 86400000000 AS y FROM n), c AS (SELECT y - 86400000000 * (CASE dayofweek(make_timestamp(y)) WHEN 6 THEN 1 WHEN 0 THEN 2 ELSE 0 END) AS base FROM b) SELECT hour FROM h WHERE hour IN (SELECT strftime(make_timestamp(base + o * 3600000000), '%Y-%m-%d-%H') FROM c, (SELECT unnest([-2, -1, 0, 1, 2]) AS o))")
 def z8(s, d):
     """Hours that a comparison within the next four days can still reach."""

@@ -9,32 +9,33 @@ SPAN = "TraceID string, SpanID string, ParentID string, OperationName string, St
 # Columns of an export that become tags, and those that name the grouping.
 TAG_COLUMNS = ["http.method", "http.url", "http.status_code", "http.route", "db.system", "db.statement", "rpc.system", "rpc.method", "error", "otel.status_code", "otel.status_description"]
 IDENTITY_COLUMNS = ["service_identity", "scope1", "scope2", "scope3", "env", "feature_group", "feature_name", "sub_service"]
-BATCH_LIMIT = 1000
+# Spans of a request, and bytes of one with many spans and of one with a single span.
+BATCH_LIMIT, BODY_LIMIT, SPAN_BODY_LIMIT = 1000, 10 << 20, 1 << 20
 
 
-def sse_events(text: DataFrame, column: str = "value") -> DataFrame:
+def sse_events(text: DataFrame, column: str = "value", *keep: str) -> DataFrame:
     """Events of an event stream: ``event, data``. One row of ``text`` holds whole events, separated by empty lines.
 
     Several ``data:`` lines of one event are put together without a separator; an event without data is none. The last ``event:`` line counts."""
     event = F.explode(F.split(F.regexp_replace(F.col(column), "\r\n", "\n"), "\n\n+")).alias("_e")
     lines = F.split("_e", "\n")
     trimmed = lambda prefix: F.transform(F.filter(lines, lambda x: x.startswith(prefix)), lambda x: F.trim(F.substring(x, len(prefix) + 1, 1 << 30)))
-    return text.select(event).select(F.coalesce(F.try_element_at(trimmed("event:"), F.lit(-1)), F.lit("")).alias("event"), F.array_join(trimmed("data:"), "").alias("data")).filter("data <> ''")
+    return text.select(*keep, event).select(*keep, F.coalesce(F.try_element_at(trimmed("event:"), F.lit(-1)), F.lit("")).alias("event"), F.array_join(trimmed("data:"), "").alias("data")).filter("data <> ''")
 
 
-def span_batches(events: DataFrame) -> DataFrame:
+def span_batches(events: DataFrame, *keep: str) -> DataFrame:
     """Spans of the events that carry them (``trace_batch`` or no type); other types are skipped."""
-    return parse_batches(events.filter(F.col("event").isin("trace_batch", "")).select("data"), "data")
+    return parse_batches(events.filter(F.col("event").isin("trace_batch", "")), "data", *keep)
 
 
-def parse_batches(df: DataFrame, column: str) -> DataFrame:
+def parse_batches(df: DataFrame, column: str, *keep: str) -> DataFrame:
     """Each text as a JSON array of spans, else as one span: the spans' columns and ``bad``. A text that is neither gives one row with ``bad`` set."""
     as_many = F.from_json(F.col(column), f"array<struct<{SPAN.replace(' string', ':string').replace(' bigint', ':bigint').replace(' map<', ':map<')}>>")
     as_one = F.from_json(F.col(column), SPAN)
     is_array = F.ltrim(F.col(column)).startswith("[")
     one = F.when(F.ltrim(F.col(column)).startswith("{") & F.get_json_object(column, "$").isNotNull(), F.array(as_one))
-    rows = df.select(F.explode_outer(F.when(is_array, as_many).otherwise(one)).alias("s"))
-    return rows.select("s.*", F.col("s").isNull().alias("bad"))
+    rows = df.select(*keep, F.explode_outer(F.when(is_array, as_many).otherwise(one)).alias("s"))
+    return rows.select(*keep, "s.*", F.col("s").isNull().alias("bad"))
 
 
 def accepted(df: DataFrame, trace: str = "TraceID", span: str = "SpanID") -> Column:
@@ -48,6 +49,26 @@ def batch_report(df: DataFrame, batch: str, trace: str, span: str) -> DataFrame:
     return df.groupBy(batch).agg(F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"))
 
 
+def ingest(requests: DataFrame, request: str, body: str) -> tuple[DataFrame, DataFrame]:
+    """Requests whose ``body`` is JSON, one span or an array: the spans that come in, and per request ``accepted, rejected, error``.
+
+    Spans without an id are rejected one by one. A body that is no JSON of spans, or holds more than ``BATCH_LIMIT`` spans or ``BODY_LIMIT`` bytes, is
+    refused whole. An empty array is accepted."""
+    is_array = F.ltrim(F.col(body)).startswith("[")
+    n = F.when(is_array, F.coalesce(F.json_array_length(body), F.lit(-1))).otherwise(F.when(F.ltrim(F.col(body)).startswith("{") & F.get_json_object(body, "$").isNotNull(), 1).otherwise(-1))
+    error = (
+        F.when(F.octet_length(body) > F.when(is_array, BODY_LIMIT).otherwise(SPAN_BODY_LIMIT), "request body too large")
+        .when(F.coalesce(n, F.lit(-1)) < 0, "invalid body")
+        .when(n > BATCH_LIMIT, f"batch size exceeds maximum of {BATCH_LIMIT} spans")
+    )
+    judged = requests.select(F.col(request), F.col(body), error.alias("error"))
+    spans = parse_batches(judged.filter("error is null"), body, request)
+    ok = accepted(spans)
+    counted = spans.groupBy(request).agg(F.count_if(ok).alias("accepted"), F.count_if(~ok & ~F.col("bad")).alias("rejected"))
+    report = judged.select(request, "error").join(counted, request, "left").select(request, F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("rejected", F.lit(0)).alias("rejected"), "error")
+    return spans.filter(ok).drop("bad"), report
+
+
 def from_export(df: DataFrame) -> DataFrame:
     """Rows of a Parquet export (``trace_id, span_id, parent_id, name, timestamp_micros, duration_micros, local_endpoint_service_name``,
     optional tag columns with dots or underscores, identity columns, ``attributes`` map) as spans.
@@ -81,19 +102,24 @@ _OTLP = (
 )
 
 
-def from_otlp(df: DataFrame, column: str = "value") -> DataFrame:
+def from_otlp(df: DataFrame, column: str = "value", order: str | None = None) -> DataFrame:
     """Spans of trace-export JSON (resource spans, scope spans): nanoseconds become microseconds by whole division, status code 2 sets the tag
-    ``error=true``; of repeated (trace, span) one stays."""
+    ``error=true``. Of repeated (trace, span) the last one counts: the greatest ``order`` of the texts, if given, then the last place within a text."""
     j = F.from_json(F.col(column), _OTLP)
-    r = df.select(F.explode(j["resourceSpans"]).alias("r")).select("r.resource", F.explode("r.scopeSpans").alias("c")).select("resource", F.explode("c.spans").alias("s"))
+    rank = F.col(order) if order else F.lit(0)
+    r = df.select(rank.alias("_o"), F.posexplode(j["resourceSpans"]).alias("_i", "r")).select("_o", "_i", "r.resource", F.posexplode("r.scopeSpans").alias("_j", "c"))
+    r = r.select("_o", "_i", "_j", "resource", F.posexplode("c.spans").alias("_k", "s"))
     name = F.try_element_at(F.map_from_entries(F.transform("resource.attributes", lambda a: F.struct(a["key"].alias("key"), a["value"]["stringValue"].alias("value")))), F.lit("service.name"))
     none = F.expr("cast(array() as array<struct<key:string,value:string>>)")
     tags = F.coalesce(F.transform("s.attributes", lambda a: F.struct(a["key"].alias("key"), F.coalesce(a["value"]["stringValue"], F.lit("")).alias("value"))), none)
-    bad = F.col("s.status.code").isin("2", "STATUS_CODE_ERROR")
+    bad = F.coalesce(F.col("s.status.code").isin("2", "STATUS_CODE_ERROR"), F.lit(False))
     tags = F.map_from_entries(F.when(bad, F.concat(F.filter(tags, lambda e: e["key"] != "error"), F.array(F.struct(F.lit("error").alias("key"), F.lit("true").alias("value"))))).otherwise(tags))
     us = lambda c: F.expr(f"try_cast({c} as decimal(20,0)) div 1000")
     out = r.select(
         F.col("s.traceId").alias("trace_id"), F.col("s.spanId").alias("span_id"), F.coalesce("s.parentSpanId", F.lit("")).alias("parent_id"), F.coalesce("s.name", F.lit("")).alias("operation_name"),
         us("s.startTimeUnixNano").alias("start_time"), F.expr("(try_cast(s.endTimeUnixNano as decimal(20,0)) - try_cast(s.startTimeUnixNano as decimal(20,0))) div 1000").alias("duration"), tags.alias("tags"), F.coalesce(name, F.lit("")).alias("service_name"),
+        F.struct("_o", "_i", "_j", "_k").alias("_at"),
     )
-    return out.dropDuplicates(["trace_id", "span_id"])
+    cols = [c for c in out.columns if c not in ("trace_id", "span_id", "_at")]
+    last = out.groupBy("trace_id", "span_id").agg(F.max_by(F.struct(*cols), "_at").alias("r"))
+    return last.select("trace_id", "span_id", "r.*")

@@ -48,10 +48,10 @@ def test_shape_and_hash_agree():
 
 def test_walk():
     # a 100 -> b 50, c 80; d is an orphan's tree; e <-> f with g below
-    w = tree.walk([-1, 0, 0, -1, 5, 4, 5], [100, 50, 80, 10, 1, 1, 1], list("aabdefg"))
+    w = tree.walk([-1, 0, 0, -1, 5, 4, 5], [100, 50, 80, 10, 1, 1, 1], list("aabdefg"), [True] + 6 * [False])
     assert w["depth"] == [0, 1, 1, 0, 2, 2, 3] and w["circular"] == [False] * 4 + [True] * 3
     assert w["critical"] == [True, False, True, False, False, False, False] and w["recursive"][:4] == [False, True, False, False]
-    deep = tree.walk([i - 1 for i in range(150)], [1] * 150, [str(i) for i in range(150)])
+    deep = tree.walk([i - 1 for i in range(150)], [1] * 150, [str(i) for i in range(150)], [True] + 149 * [False])
     assert max(deep["depth"]) == 100 and sum(deep["critical"]) == 101
 
 
