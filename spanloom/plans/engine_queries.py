@@ -17,7 +17,7 @@ from spanloom.operators import assembly, fingerprint, graph, rollup, tree
 from spanloom.operators.config import DIMENSIONS, OPERATION_KEYS, TAG_KEYS, Config
 from spanloom.operators.traces import counting_rows
 from spanloom.plans.pipeline_queries import _LAST, SPANS_SQL, _id
-from spanloom.sources import cold, events
+from spanloom.sources import cold, events, snapshots
 from spanloom.sources.tables import table
 from spanloom.workdir import new_path, written
 
@@ -860,13 +860,18 @@ def j5(s, d):
     return t.join(findings(s, d).select("trace_id"), "trace_id", "left_anti")
 
 
-@query("ref_j6_fallback", f"WITH {FI} SELECT service_id, variant FROM (SELECT service_id, variant, row_number() OVER (PARTITION BY service_id ORDER BY CASE WHEN variant = 'cumulative:500' THEN 0 WHEN starts_with(variant, 'cumulative:') THEN 1 ELSE 2 END, TRY_CAST(string_split(variant, ':')[2] AS BIGINT) NULLS LAST, variant) AS q FROM (SELECT DISTINCT service_id, variant FROM f)) WHERE q = 1")
+_SAVED = "SELECT DISTINCT service_id, CASE WHEN variant = '' THEN '' ELSE variant END AS combination FROM f WHERE id % 2 = 0"
+
+
+@query(
+    "ref_j6_fallback",
+    f"WITH {FI}, sv AS ({_SAVED}) SELECT service_id, combination FROM (SELECT *, CASE WHEN combination = 'cumulative:500' THEN 0 WHEN starts_with(combination, 'cumulative:') THEN 1 WHEN coalesce(combination, '') = '' THEN 2 END AS q,"
+    " row_number() OVER (PARTITION BY service_id ORDER BY CASE WHEN combination = 'cumulative:500' THEN 0 WHEN starts_with(combination, 'cumulative:') THEN 1 WHEN coalesce(combination, '') = '' THEN 2 END NULLS LAST, TRY_CAST(string_split(combination, ':')[2] AS BIGINT)) AS k FROM sv) WHERE k = 1 AND q IS NOT NULL",
+)
 def j6(s, d):
-    """For each service the snapshot to load: its own combination, else the lowest threshold of that variant, else another."""
-    x = findings(s, d).select("service_id", "variant").distinct()
-    own = F.when(F.col("variant") == "cumulative:500", 0).when(F.col("variant").startswith("cumulative:"), 1).otherwise(2)
-    w = Window.partitionBy("service_id").orderBy(own, F.asc_nulls_last(F.expr("try_cast(try_element_at(split(variant, ':'), 2) as bigint)")), "variant")
-    return x.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("service_id", "variant")
+    """The snapshot that a combination starts from, where each service has saved some (here those that it has findings of)."""
+    saved = findings(s, d).filter("id % 2 = 0").select("service_id", F.col("variant").alias("combination")).distinct()
+    return snapshots.fallback(saved, "cumulative:500")
 
 
 @query("ref_x1_recent_traces", f"WITH {R} SELECT trace_id, start_us FROM r ORDER BY start_us DESC, trace_id LIMIT 50")
@@ -879,6 +884,15 @@ def x1b(s, d):
     return findings(s, d).orderBy(F.desc("created_at"), "kind", "id").limit(100).select("kind", "id")
 
 
+@query("ref_x2_one_trace", f"WITH {K} SELECT trace_id, span_id, dur AS duration_us, {STATUS} AS status FROM k WHERE trace_id = (SELECT max(trace_id) FROM k)")
+def x2(s, d):
+    """Spans of one trace (the one with the greatest id) by a point read of the laid out spans."""
+    from spanloom.plans.api import Engine
+
+    top = spans(s, d).agg(F.max("trace_id")).collect()[0][0]
+    return Engine(s, d).trace(top).select("trace_id", "span_id", "duration_us", "status")
+
+
 @query("ref_x5_pending_ids", "SELECT DISTINCT trace_id FROM pending_traces")
 def x5(s, d):
     return table(s, d, "pending_traces").select("trace_id").distinct()

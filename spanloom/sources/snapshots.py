@@ -19,6 +19,16 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return x.groupBy("service_id").agg(F.max_by("state", "generation").alias("state"))
 
 
+def fallback(saved: DataFrame, combination: str) -> DataFrame:
+    """``service_id, combination``: the saved state that ``combination`` starts from in each service: its own, else that of the lowest threshold of its variant,
+    else one of before combinations (an empty or null name). A service with none of these has no row."""
+    variant = combination.split(":")[0]
+    name = F.coalesce("combination", F.lit(""))
+    t = F.expr("try_cast(try_element_at(split(coalesce(combination, ''), ':'), 2) as bigint)")
+    rank = F.when(name == combination, F.struct(F.lit(0).alias("a"), F.lit(0).cast("bigint").alias("b"))).when(name.startswith(variant + ":"), F.struct(F.lit(1).alias("a"), t.alias("b"))).when(name == "", F.struct(F.lit(2).alias("a"), F.lit(0).cast("bigint").alias("b")))
+    return saved.withColumn("_r", rank).filter("_r is not null").groupBy("service_id").agg(F.min_by(name, "_r").alias("combination"))
+
+
 def save_hours(hours: DataFrame, path: str) -> None:
     """Writes hourly buckets (``hour`` and others) by hour. Hours that come are replaced whole, others stay."""
     hours.repartition("hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour").parquet(path)

@@ -1,8 +1,9 @@
 """Spans to traces on a stream.
 
-A trace is emitted once, a fixed time after its first span came in (processing time) or after the watermark passes its first event by that
-time (event time). Spans that come later open the trace again, and it is emitted again under the same id; a sink that keeps the last row per id then
-replaces it. State lies in RocksDB: bounded memory, and a restart goes on where it stopped.
+The spans of a trace leave together, once, a fixed time after the first of them came in (processing time) or after the watermark passes its first event by that
+time (event time). Spans that come later open the trace again, and it leaves again under the same id; a sink that keeps the last row per id then
+replaces it. State lies in RocksDB: bounded memory, and a restart goes on where it stopped. What leaves is assembled by the batch operators, so that a
+trace of the stream is the trace of the batch: ``assembled`` of each micro-batch gives identity, fingerprint, branches and recursion, which learning takes.
 """
 
 from __future__ import annotations
@@ -10,33 +11,35 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-WINDOW_MS = 180_000
-FIELDS = ["span_id", "parent_id", "operation_name", "service_name", "start_time", "duration", "status", "arrival"]
-STATE = "span_id string, parent_id string, operation_name string, service_name string, start_time long, duration long, status string, arrival long"
-OUT = "trace_id string, root_span_id string, span_count long, start_us long, end_us long, duration_us long, has_error boolean, first_arrival long"
+from spanloom.operators import assembly, fingerprint, rollup, tree
+from spanloom.operators.config import Config
+from spanloom.workdir import written
 
+WINDOW_MS, GRACE_MS = 180_000, 300_000
+FIELDS = ["span_id", "parent_id", "operation_name", "service_name", "start_time", "duration", "tags", "arrival"]
+#: Tags travel as JSON text.
+STATE = "span_id string, parent_id string, operation_name string, service_name string, start_time long, duration long, tags string, arrival long"
+OUT = "trace_id string, " + STATE
 
-def one_trace(trace_id: str, spans: pd.DataFrame) -> dict:
-    """A trace from its spans: the last arrival of a span counts; root, bounds and error as in the batch assembly."""
-    s = spans.sort_values(["span_id", "arrival"], kind="stable").drop_duplicates("span_id", keep="last")
-    first = s.assign(child=s.parent_id != "").sort_values(["child", "start_time", "span_id"]).iloc[0]
-    start, end = int(s.start_time.min()), max(int((s.start_time + s.duration).max()), 0)
-    return {"trace_id": trace_id, "root_span_id": first.span_id, "span_count": len(s), "start_us": start, "end_us": end, "duration_us": end - start, "has_error": bool((s.status == "ERROR").any()), "first_arrival": int(spans.arrival.min())}
+
+def last_copies(spans: pd.DataFrame) -> pd.DataFrame:
+    """One row per span: the last arrival, of equal ones the last that came in."""
+    return spans.sort_values("arrival", kind="stable", na_position="first").drop_duplicates("span_id", keep="last")
 
 
 class Assembler(StatefulProcessor):
-    """Gathers the spans of a trace until its timer fires."""
+    """Gathers the spans of a trace until its timer fires. In processing time, spans whose timer never fired are given up ``GRACE_MS`` after it."""
 
     def __init__(self, window_ms: int = WINDOW_MS, event_time: bool = False):
         self.window_ms, self.event_time = window_ms, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.spans = handle.getListState("spans", STATE)
+        self.spans = handle.getListState("spans", STATE) if self.event_time else handle.getListState("spans", STATE, self.window_ms + GRACE_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         got = pd.concat(list(rows))
@@ -50,16 +53,21 @@ class Assembler(StatefulProcessor):
         rows = pd.DataFrame(list(self.spans.get()), columns=FIELDS)
         self.spans.clear()
         if len(rows):
-            yield pd.DataFrame([one_trace(key[0], rows)])
-        else:
-            yield pd.DataFrame()
+            rows = last_copies(rows)
+            rows.insert(0, "trace_id", key[0])
+        yield rows if len(rows) else pd.DataFrame()
 
     def close(self) -> None:
         pass
 
 
-def assembled_stream(spans: DataFrame, window_ms: int = WINDOW_MS, event_time: bool = False) -> DataFrame:
-    """Traces of a stream of spans (the columns of ``FIELDS`` and ``trace_id``; with ``event_time`` a watermark on ``ts``).
+def as_stored(spans: DataFrame) -> DataFrame:
+    """The columns that the assembler takes, from spans with a map of tags; other columns (a time for a watermark) stay."""
+    return spans.withColumn("tags", F.to_json("tags"))
+
+
+def completed_spans(spans: DataFrame, window_ms: int = WINDOW_MS, event_time: bool = False) -> DataFrame:
+    """The spans of finished traces, from a stream of spans (``trace_id`` and the columns of ``FIELDS``; with ``event_time`` a watermark on a time column).
 
     Needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider."""
     return spans.groupBy("trace_id").transformWithStateInPandas(
@@ -67,11 +75,45 @@ def assembled_stream(spans: DataFrame, window_ms: int = WINDOW_MS, event_time: b
     )
 
 
+def pending_spans(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Spans that a stopped query still held, read from its checkpoint: what is left to flush when it is not started again."""
+    x = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "spans").load()
+    held = x.select(F.col("key").getField(x.schema["key"].dataType.fieldNames()[0]).alias("trace_id"), "list_element")
+    element = x.schema["list_element"].dataType
+    value = "list_element.value" if "value" in element.fieldNames() else "list_element"
+    return held.select("trace_id", f"{value}.*")
+
+
+def assembled(spans: DataFrame, config: Config = Config()) -> DataFrame:
+    """Traces of finished spans: the columns of the batch assembly, ``fingerprint``, ``branches`` and ``recursive``."""
+    x = spans.withColumn("tags", F.coalesce(F.from_json("tags", "map<string,string>"), F.expr(assembly.NO_TAGS)))
+    x = written(x.filter("start_time is not null and duration >= 0"), "finished-spans")
+    e = assembly.edges(x).groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("branch_key", "duration_us"))).alias("branches"))
+    rec = tree.tree_view(x).groupBy("trace_id").agg(F.bool_or("recursive").alias("recursive"))
+    t = written(assembly.assemble(x, config), "assembled").join(fingerprint.fingerprints(x).select("trace_id", "fingerprint"), "trace_id")
+    return t.join(e, "trace_id", "left").join(rec, "trace_id")
+
+
+def rollups_into(path: str):
+    """A batch writer of partial rollups: each micro-batch of assembled traces adds one generation; a replayed batch replaces its own."""
+
+    def write(traces: DataFrame, batch_id: int) -> None:
+        rollup.rollups(written(traces, "batch-traces")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def merged_rollups(spark: SparkSession, path: str) -> DataFrame:
+    """The rollups of all generations, late partials merged into their windows in the order of the batches."""
+    return rollup.merge(spark.read.parquet(path), "batch")
+
+
 def rollup_stream(traces: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Counts and sums per 15-minute window, service and path on a stream with ``ts``; closed windows come out once, later ones are dropped beyond the watermark."""
+    """Counts, sums, errors and extremes per 15-minute window, service and path on a stream with ``ts``; closed windows come out once, later ones are dropped
+    beyond the watermark. Percentiles and sample ids need the traces: see ``rollups_into``."""
     return (
         traces.withWatermark("ts", watermark)
         .groupBy(F.window("ts", "15 minutes"), "service_id", "fingerprint")
-        .agg(F.count("*").alias("trace_count"), F.sum("duration_us").alias("duration_sum"), F.min("duration_us").alias("duration_min"), F.max("duration_us").alias("duration_max"))
-        .select(F.unix_micros("window.start").alias("window_start"), "service_id", "fingerprint", "trace_count", "duration_sum", "duration_min", "duration_max")
+        .agg(F.count("*").alias("trace_count"), F.sum("span_count").alias("span_count"), F.count_if("has_error").alias("error_count"), F.sum("duration_us").alias("duration_sum"), F.min("duration_us").alias("duration_min"), F.max("duration_us").alias("duration_max"))
+        .select(F.unix_micros("window.start").alias("window_start"), "service_id", "fingerprint", "trace_count", "span_count", "error_count", "duration_sum", "duration_min", "duration_max")
     )

@@ -50,6 +50,11 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def drop_table(df: DataFrame) -> None:
     """Removes the files of a table that ``written`` returned, once no later step reads it."""
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

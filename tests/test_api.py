@@ -1,5 +1,6 @@
 """The read interface over the smallest data folder."""
 
+import json
 from pathlib import Path
 
 import pytest
@@ -35,3 +36,35 @@ def test_choices(spark):
     for bad in (lambda: e.set_active("ewma:7"), lambda: e.facets("color"), lambda: e.services(color="x")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_point_reads_prune(spark):
+    e = Engine(spark, FOLDER)
+    t = e.recent_traces(1).collect()[0].trace_id
+    df = e.trace(t)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(trace_id," in plan
+    assert e.trace("no id").count() == 0 and e.topology_example("none", "none").count() == 0
+    with pytest.raises(LookupError):
+        e.service("none")
+
+
+def test_ingest_then_read(spark):
+    e = Engine(spark, FOLDER)
+    t = "ab" * 16
+    span = {"TraceID": t, "SpanID": "00000000000000a1", "ParentID": "", "OperationName": "op", "StartTime": 1_718_000_000_000_000, "Duration": 5, "Tags": {}, "ServiceName": "new"}
+    got = e.ingest([json.dumps([span, span | {"SpanID": ""}]), "{"], 1_718_000_000_000_009).collect()
+    assert [(r.accepted, r.rejected, r.error) for r in got] == [(1, 1, None), (0, 0, "invalid body")]
+    assert [(r.service_name, r.duration_us) for r in e.trace(t).collect()] == [("new", 5)]
+    e.ingest([json.dumps(span | {"Duration": 7})], 1_718_000_000_000_010)
+    assert [r.duration_us for r in e.trace(t).collect()] == [7] and e.health() == {"status": "ok"}
+
+
+def test_settings_are_kept(spark, tmp_path):
+    kept = str(tmp_path / "settings")
+    Engine(spark, FOLDER, settings=kept).set_active("sliding_window:500")
+    assert Engine(spark, FOLDER, settings=kept).active == "sliding_window:500"
+    e = Engine(spark, FOLDER)
+    assert e.variant("cumulative:500").count() <= 1
+    with pytest.raises(ValueError):
+        e.variant("cumulative:7")

@@ -21,6 +21,7 @@ def _tree(spans):
 
 
 def test_golden_hashes():
+    # These hashes and the spans that give them are those of the rules.
     assert fingerprint.wl_hash([], []) == "empty"
     two = [("s1", "", "api", "GET /users"), ("s2", "s1", "db", "query")]
     assert fingerprint.wl_hash(*_tree(two)) == "fee1c9f424665252"
@@ -116,7 +117,8 @@ def test_anomaly_score_and_variants():
     got = {f[0]: f for f in s.feed("slow", "A", BASE + 120 * M, 1000, (), False) if f[1] == "anomaly"}
     assert {"cumulative:50", "cumulative:100", "ewma:50", "exponential_decay:50"} <= set(got) and not any(k.startswith("sliding") for k in got)
     assert abs(got["cumulative:50"][3] - 0.6745 * (1000 - 107) / ((107 - 102) / 1.35)) < 1e-9
-    assert s.variants["cumulative"].paths["A"].n == 121 and s.variants["sliding_window"].counts["A"] == 242
+    kinds = {v.kind: v for v in s.variants}
+    assert kinds["cumulative"].paths["A"].n == 121 and kinds["sliding_window"].counts["A"] == 242
     assert baseline.z_score(5, 5, 5, 1, 9) == 0 and baseline.z_score(9, 5, 5, 1, 9) == 2 and baseline.z_score(1, 5, 5, 1, 9) == -2 and baseline.z_score(9, 5, 5, 3, 3) == 0
 
 
@@ -129,12 +131,12 @@ def test_frequency_drop_and_spike():
         items.append(("A" if i % 40 else "B", t := t + 4_000_000, 100))
     kinds = {f[2] for f in _feed(s, items)}
     assert "frequency_drop" in kinds
-    v = baseline.Variant("cumulative", [50])
+    v = baseline.Variant("cumulative", {"cumulative": [50]})
     v.n, v.counts, v.first = 30_000, {"R": 60, "A": 29_940}, {"R": 0, "A": 0}
-    v.recent, v.previous = {"R": 10, "A": 30}, {"R": 0.001, "A": 0.999}
-    assert v.deviation("R", BASE, 50, baseline.Hours(), 0.3, (), False)[0] == "frequency_spike"
-    v.recent, v.n, v.previous = {"R": 1, "A": 3}, 90_000, {}
-    kind, score, text = v.deviation("R", BASE, 50, baseline.Hours(), 0.3, (("x->y", 1),), True)
+    v.recent, v.recent_n, v.previous = {"R": 10, "A": 30}, 40, {"R": 0.001, "A": 0.999}
+    assert v.deviation("R", BASE, 50, None, 0.3, (), False)[0] == "frequency_spike"
+    v.recent, v.recent_n, v.n, v.previous = {"R": 1, "A": 3}, 4, 90_000, {}
+    kind, score, text = v.deviation("R", BASE, 50, None, 0.3, (("x->y", 1),), True)
     assert kind == "rare_path" and abs(score - (1 - 60 / 90_000 * 100)) < 1e-12 and text == "Added: [x->y]. [Contains recursive calls]"
 
 
@@ -180,19 +182,83 @@ def test_combinations():
 
 def test_rollup_merge(spark):
     cols = "window_start long, service_id string, fingerprint string, at int, trace_count long, span_count long, error_count long, duration_sum long, duration_min long, duration_max long, p50 long, p99 long, sample_trace_ids array<string>"
-    df = spark.createDataFrame([(0, "s", "f", 1, 30, 60, 1, 3000, 50, 190, 100, 190, ["t1", "t2"]), (0, "s", "f", 2, 10, 20, 2, 2000, 20, 400, 200, 390, ["t2", "t3"])], cols)
-    r = rollup.merge(df, "at").collect()[0]
-    assert (r.trace_count, r.span_count, r.error_count, r.duration_min, r.duration_max, r.p50, r.p99, r.sample_trace_ids) == (40, 80, 3, 20, 400, 125, 240, ["t1", "t2", "t3"])
+    parts = [
+        (900, "kiosk", "fp", 3, 4, 9, 0, 77, 3, 41, 17, 40, ["m", "k", "n"]),
+        (900, "kiosk", "fp", 1, 5, 12, 2, 61, 2, 30, 11, 29, [f"a{i}" for i in range(9)]),
+        (900, "kiosk", "fp", 2, 2, 2, 1, 10, 4, 6, 4, 6, ["k", "a0"]),
+        (1800, "kiosk", "fp", 1, 1, 1, 0, 8, 8, 8, 8, 8, []),
+    ]
+    got = {r.window_start: r for r in rollup.merge(spark.createDataFrame(parts, cols), "at").collect()}
+    # by hand, in the order of arrival: p50 (11 * 5 + 4 * 2) // 7 = 9, then (9 * 7 + 17 * 4) // 11 = 11; p99 (145 + 12) // 7 = 22, then (154 + 160) // 11 = 28
+    r = got[900]
+    assert (r.trace_count, r.span_count, r.error_count, r.duration_sum, r.duration_min, r.duration_max, r.p50, r.p99) == (11, 23, 3, 148, 2, 41, 11, 28)
+    assert r.sample_trace_ids == [*[f"a{i}" for i in range(9)], "k"] and (got[1800].p50, got[1800].sample_trace_ids) == (8, [])
 
 
 def test_event_stream_and_batches(spark):
-    a = {"TraceID": "t", "SpanID": "a", "ParentID": "", "OperationName": "POST /checkout", "StartTime": 1, "Duration": 50_000, "Tags": {"http.status_code": "200"}, "ServiceName": "api"}
-    b = a | {"SpanID": "b", "ParentID": "a", "Duration": 8000}
+    a = {"TraceID": "t", "SpanID": "a", "ParentID": "", "OperationName": "lend book", "StartTime": 1, "Duration": 731, "Tags": {"shelf": "7"}, "ServiceName": "library"}
+    b = a | {"SpanID": "b", "ParentID": "a", "Duration": 12}
     text = f"event: ping\ndata: {{}}\n\nevent: trace_batch\ndata: {json.dumps([a, b])}\n\ndata: {json.dumps(a)}\n\ndata: nonsense\n\nevent: end\ndata: x\n\nevent: trace_batch\n\n"
-    spans = events.span_batches(events.sse_events(spark.createDataFrame([(text,)], "value string")))
+    spans = events.span_batches(events.sse_events(spark.createDataFrame([(text, 4)], "value string, file int"), "value", "file"), "file")
     rows = spans.collect()
-    assert sorted((r.SpanID or "-", r.bad) for r in rows) == [("-", True), ("a", False), ("a", False), ("b", False)]
-    assert {r.Tags["http.status_code"] for r in rows if not r.bad} == {"200"}
+    assert sorted((r.SpanID or "-", r.bad) for r in rows) == [("-", True), ("a", False), ("a", False), ("b", False)] and {r.file for r in rows} == {4}
+    assert {r.Tags["shelf"] for r in rows if not r.bad} == {"7"}
+
+
+def test_requests_and_their_limits(spark):
+    one = {"TraceID": "t", "SpanID": "s"}
+    bodies = [json.dumps(one), json.dumps([one, {"TraceID": "", "SpanID": "x"}, one]), "[]", "no json", json.dumps([one] * 1001), json.dumps([one] * 1000), None, '{"TraceID": "' + "x" * (1 << 20) + '"}']
+    spans, report = events.ingest(spark.createDataFrame(list(enumerate(bodies)), "i int, body string"), "i", "body")
+    got = {r.i: (r.accepted, r.rejected, r.error) for r in report.collect()}
+    assert got[0] == (1, 0, None) and got[1] == (2, 1, None) and got[2] == (0, 0, None) and got[5] == (1000, 0, None)
+    assert got[3][2] == got[6][2] == "invalid body" and got[4][:2] == (0, 0) and "1000" in got[4][2] and "too large" in got[7][2]
+    assert spans.count() == 1003
+
+
+def test_numbered_across_ranges(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "b", None]), rng.randint(-50, 50), i) for i in range(500)]
+    got = rollup.numbered(spark.createDataFrame(rows, "k string, at long, i long"), ["k"], ["at", "i"], "at", 7).collect()
+    for k in {r[0] for r in rows}:
+        want = sorted((at, i) for q, at, i in rows if q == k)
+        assert sorted((r.seq, r.at, r.i) for r in got if r.k == k) == [(n + 1, *x) for n, x in enumerate(want)] and {r.n_all for r in got if r.k == k} == {len(want)}
+
+
+def test_path_of_a_trace_without_a_root():
+    # 0 -> 1 -> 2 -> 0, with 3 -> 4 below 1
+    w = tree.walk([2, 0, 1, 1, 3], [5, 1, 9, 4, 7], list("abcde"), [False] * 5)
+    # from 2: 9 + 5 + 1 + (4 + 7)
+    assert w["critical"] == [True] * 5 and not any(w["recursive"])
+    w = tree.walk([1, 0], [3, 3], ["x", "x"], [False, False])
+    assert w["critical"] == [True, True] and w["circular"] == [True, True]
+    ring = [(i - 1) % 130 for i in range(130)]
+    assert sum(tree.walk(ring, [1] * 130, ["x"] * 130, [False] * 130)["critical"]) == 101
+
+
+def test_recursion_below_the_last_root_only():
+    # first root repeats a name, the last one does not
+    w = tree.walk([-1, 0, -1, 2], [1] * 4, ["a", "a", "b", "c"], [True, False, True, False])
+    assert not any(w["recursive"])
+    w = tree.walk([-1, 0, -1, 2], [1] * 4, ["a", "b", "c", "c"], [True, False, True, False])
+    assert w["recursive"] == [False, False, False, True]
+
+
+def test_states_are_saved_and_taken_up_again():
+    rng = random.Random(9)
+    items, t = [], BASE
+    for i in range(3000):
+        t += rng.choice([0, 1, 2, 40]) * 1_000_000 if i % 900 else 30 * 3600 * 1_000_000
+        branches = tuple((f"b{k}", rng.randint(1, 900)) for k in range(rng.randint(0, 3)))
+        items.append((f"{i:06d}", f"p{min(int(rng.expovariate(0.4)), 20)}", t, rng.randint(90, 110) if rng.random() < 0.95 else 900, branches, False))
+    whole = baseline.Service(config.combinations(), config.Config())
+    want = [whole.feed(*x) for x in items]
+    for cut in (1, 1234, 2999):
+        one = baseline.Service(config.combinations(), config.Config())
+        got = [one.feed(*x) for x in items[:cut]]
+        two = baseline.Service(config.combinations(), config.Config())
+        two.load(one.dump())
+        assert got + [two.feed(*x) for x in items[cut:]] == want
+    assert sum(map(len, want)) > 100
 
 
 def test_export_rows(spark):
@@ -205,7 +271,9 @@ def test_export_rows(spark):
 
 def test_otlp(spark):
     doc = {"resourceSpans": [{"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": "api"}}]}, "scopeSpans": [{"spans": [{"traceId": "t", "spanId": "s", "name": "n", "startTimeUnixNano": "1718117510418448999", "endTimeUnixNano": "1718117510418450999", "status": {"code": "2"}, "attributes": []}] * 2}]}]}
+    doc["resourceSpans"][0]["scopeSpans"][0]["spans"].insert(0, doc["resourceSpans"][0]["scopeSpans"][0]["spans"][0] | {"name": "earlier", "status": {}})
     r = events.from_otlp(spark.createDataFrame([(json.dumps(doc),)], "value string")).collect()
+    assert r[0].operation_name == "n"
     assert len(r) == 1 and (r[0].service_name, r[0].start_time, r[0].duration, r[0].tags, r[0].parent_id) == ("api", 1718117510418448, 2, {"error": "true"}, "")
 
 
@@ -231,6 +299,6 @@ def test_traces_ahead_of_the_wall_clock():
     s = baseline.Service(["cumulative:50"], config.Config(wall_us=BASE))
     s.feed("a", "A", BASE, 1, (), False)
     s.feed("b", "B", BASE + 10 * M, 1, (), False)
-    assert s.clock == BASE and s.variants["cumulative"].first["B"] == BASE and len(s.hours.buckets) == 1
+    assert s.clock == BASE and s.variants[0].first["B"] == BASE and len(s.hours.buckets) == 1
     s.feed("c", "C", BASE + 5 * M, 1, (), False)
     assert s.clock == BASE + 5 * M
