@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.config import HOUR_US, MINUTE_US, VARIANTS, Config, parse_combination
+from spanloom.session import ship
 from spanloom.workdir import partitions_for
 
 PATH_RING, BRANCH_RING, HOUR_SAMPLES = 1000, 100, 200
@@ -465,6 +466,7 @@ def _streamed(traces: DataFrame, combos: list[str], config: Config, each, schema
             out += each(service, key, None)
         yield batch()
 
+    ship(traces.sparkSession)
     rows = traces.select(*cols).filter("service_id is not null and fingerprint is not null and start_us is not null and duration_us is not null").withColumn("state", F.lit(None).cast("string"))
     if saved is not None:
         # the state of a service comes before all its traces

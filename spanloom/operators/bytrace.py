@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from spanloom.session import ship
 from spanloom.workdir import partitions_for
 
 
@@ -27,19 +28,22 @@ def over_sorted_groups(df: DataFrame, keys: list[str], order: list[str], fn: Cal
                 yield from r.combine_chunks().to_batches(max_chunksize=20_000)
 
         for b in batches:
-            held.append(b)
-            rows += b.num_rows
-            if rows < chunk_rows:
+            if not b.num_rows:
                 continue
-            t = pa.Table.from_batches(held)
-            new = group_starts(t, keys)
-            cut = int(new[-1])
-            if cut:
-                yield from out(t.slice(0, cut))
-                held, rows = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
+            # only the new batch is looked at: what is held is not gone through again for a group that fills many batches
+            both = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), b] if held else [b])
+            new = group_starts(both, keys)
+            cut = int(new[-1]) - (1 if held else 0)
+            if rows + b.num_rows >= chunk_rows and cut >= 0 and (rows + cut):
+                yield from out(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held, rows = [b.slice(cut)], b.num_rows - cut
+            else:
+                held.append(b)
+                rows += b.num_rows
         if rows:
             yield from out(pa.Table.from_batches(held))
 
+    ship(df.sparkSession)
     return df.repartition(partitions_for(df), *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.ids import span_hex, trace_hex
+from spanloom.session import ship
 from spanloom.workdir import partitions_for, plan_bytes
 
 _U = np.uint64
@@ -271,6 +272,7 @@ def one_copy_each(rows: DataFrame) -> DataFrame:
     Rows with a null in ``th``, ``tl`` or ``s`` have no identifier and are left out. A null arrival counts as the earliest and stays null.
     Copies tied at the last arrival are taken as identical and one of them is kept. An extra column ``copies`` or ``shard`` is replaced.
     Empty input gives no rows."""
+    ship(rows.sparkSession)
     rows = rows.drop("copies", "shard").filter("th is not null and tl is not null and s is not null")
     parts = partitions_for(rows)
     # a shard is a power of two of all identifiers and small enough for a task's memory; a partition holds one shard or several

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.ids import span_hex, trace_hex
+from spanloom.session import ship
 from spanloom.workdir import drop_table, partitions_for, written
 
 #: Rows of one trace that a task takes at most; above, the trace is doubled by joins.
@@ -173,6 +174,7 @@ def hierarchy(usable: DataFrame, with_path: bool = False, task_rows: int = TASK_
     ``root`` is the farthest existing ancestor and ``orphan`` says that this one names a parent that does not exist.
     Spans on a cycle or below one have ``cycle`` (its smallest id) and null ``root``, ``depth``, ``n_below`` and ``path``.
     Empty input gives no rows."""
+    ship(usable.sparkSession)
     rows = usable.select("th", "tl", "s", "p", "arrival")
     sizes = rows.groupBy("th", "tl").count().filter(F.col("count") > task_rows).select("th", "tl")
     large = written(sizes, "large-traces")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -37,7 +39,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_spanloom_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="spanloom-code-")) / "spanloom_code.zip"
+    folder = tempfile.mkdtemp(prefix="spanloom-code-")  # code on its way to the workers, no data
+    atexit.register(shutil.rmtree, folder, True)
+    path = Path(folder) / "spanloom_code.zip"
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from spanloom.operators import assembly, fingerprint, rollup, tree
 from spanloom.operators.config import Config
+from spanloom.session import ship
 from spanloom.workdir import written
 
 WINDOW_MS, GRACE_MS = 180_000, 300_000
@@ -70,6 +71,7 @@ def completed_spans(spans: DataFrame, window_ms: int = WINDOW_MS, event_time: bo
     """The spans of finished traces, from a stream of spans (``trace_id`` and the columns of ``FIELDS``; with ``event_time`` a watermark on a time column).
 
     Needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider."""
+    ship(spans.sparkSession)
     return spans.groupBy("trace_id").transformWithStateInPandas(
         statefulProcessor=Assembler(window_ms, event_time), outputStructType=OUT, outputMode="Update" if not event_time else "Append", timeMode="EventTime" if event_time else "ProcessingTime"
     )

@@ -36,6 +36,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+class scratch:
+    """Within it, what is written is removed at its end: ``with scratch(spark): ...`` around work whose results have left."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        self.at = len(_written)
+
+    def __exit__(self, *exc) -> None:
+        for _, path in _written[self.at :]:
+            drop(self.spark, path)
+        del _written[self.at :]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and returns the reading of it (lineage is cut)."""
     path = new_path(df.sparkSession, name)
