@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.session import ship
 from spanloom.workdir import partitions_for, written
 
 # Encodings that text is read in by mistake, and those that it was written in.
@@ -580,6 +581,7 @@ def repair(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     Null, empty, blank and ASCII texts are not garbled; a text that is not garbled is returned as it is. Other columns play no part; repeated rows
     come out as often as they are given. Runs jobs: the distinct texts and what was found for their words are written."""
+    ship(docs.sparkSession)
     texts = written(distinct_texts(docs), "texts")
     model = model or fit(texts)
     found = written(search_words(texts, model), "found-words")

@@ -25,6 +25,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.session import ship
 from spanloom.workdir import new_path, partitions_for, written
 
 ROWS_PER_ROW_GROUP = 4096
@@ -94,6 +95,7 @@ def clustered(items: DataFrame, folder: str, files: int | None = None) -> DataFr
         if rows:
             yield close()
 
+    ship(items.sparkSession)
     rows = usable(items)
     ranged = rows.repartitionByRange(files or partitions_for(rows), "g", "id").sortWithinPartitions("g", "id")
     return written(ranged.mapInArrow(write, "file string, n_rows bigint"), "clustered")

@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.session import ship
+
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters of a leaf: nine in ten texts of a few sentences have several.
 LEAF = 64
@@ -118,6 +120,7 @@ def encode_texts(docs: DataFrame, vocab: str = VOCAB, leaf: int = LEAF) -> DataF
 
     Null and empty texts give an empty list; blank ones are tokenized as they are. Other columns play no part."""
 
+    ship(docs.sparkSession)
     # the rank file has one line per token of the vocabulary, under a megabyte; workers need no copy of it
     sent = docs.sparkSession.sparkContext.broadcast(Path(vocab).read_bytes())
 
