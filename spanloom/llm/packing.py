@@ -45,15 +45,20 @@ class Index:
         norm = K1 * (1 - B + B * sizes[self.item] / max(mean_len, 1e-9))
         self.weight = idf * tf * (K1 + 1) / (tf + norm)
         self.start = np.searchsorted(token, np.arange(vocab + 1))
-        self.docs = docs
+        self.n = len(docs)
 
-    def scores(self, seed: int) -> np.ndarray:
-        """Score of every item of the shard for the tokens of the seed."""
-        return self.query(self.docs[seed])
+    def only(self, kept: np.ndarray) -> Index:
+        """The index of the items that a mask keeps, numbered anew in their order."""
+        new = object.__new__(Index)
+        there = kept[self.item]
+        new.item, new.weight = (np.cumsum(kept) - 1)[self.item[there]], self.weight[there]
+        new.start = np.r_[0, np.cumsum(there)][self.start]
+        new.n = int(kept.sum())
+        return new
 
     def query(self, ids: np.ndarray) -> np.ndarray:
         """Score of every item of the shard for the different tokens of ``ids``."""
-        out = np.zeros(len(self.docs))
+        out = np.zeros(self.n)
         for t in np.unique(ids).tolist():
             a, b = self.start[t], self.start[t + 1]
             out[self.item[a:b]] += self.weight[a:b]  # an item occurs once in a posting list
@@ -68,33 +73,42 @@ def _fill(fits: np.ndarray, score: np.ndarray, size: np.ndarray, room: int) -> t
     """Items of ``fits`` that go into ``room``, by falling ``score`` (of equal ones the first), each that fits; what room is left.
 
     Where the next best would leave a gap that no other item fills, the item that fills the room most exactly takes its place."""
-    taken: list[int] = []
     s = size[fits]
-    live = s <= room
+    taken: list[int] = []
+    upto = np.cumsum(np.bincount(s[s <= room], minlength=room + 1))  # items of at most each size
     order, at = np.zeros(0, np.int64), 0
     if len(fits) > RANKED:
-        head = np.flatnonzero(score > np.partition(score, len(score) - RANKED)[len(score) - RANKED])
+        bound = np.partition(score, len(score) - RANKED)[len(score) - RANKED]
+        head = np.flatnonzero(score > bound)
         order = head[np.argsort(-score[head], kind="stable")]
-    while live.any():
-        while at < len(order) and not live[order[at]]:
-            at += 1
+    full = False
+    while True:
+        if at < len(order) and s[order[at]] > room:  # what does not fit now never will
+            more = np.flatnonzero(s[order[at:]] <= room)
+            at = at + int(more[0]) if len(more) else len(order)
         if at == len(order):
-            order = np.argsort(-score, kind="stable")  # begins with what was ordered before
+            if full:
+                break
+            free = s <= room
+            free[taken] = False
+            rest = np.flatnonzero(free)  # all ranked after what was ordered before
+            order, at, full = rest[np.argsort(-score[rest], kind="stable")], 0, True
             continue
-        i = order[at]
-        live[i] = False
-        left = room - s[i]
-        if left and not (live & (s <= left)).any():
-            live[i] = True
-            fit = np.flatnonzero(live & (s <= room))
+        i = int(order[at])
+        left = room - int(s[i])
+        # whether another item fits what would be left
+        if left and upto[left] <= sum(1 for j in (*taken, i) if s[j] <= left):
+            free = s <= room
+            free[taken] = False
+            fit = np.flatnonzero(free)
             largest = fit[s[fit] == s[fit].max()]
-            i = largest[np.argmax(score[largest])]
-            taken.append(int(fits[i]))
-            return taken, int(room - s[i])
-        taken.append(int(fits[i]))
-        room = int(left)
-        live &= s <= room
-    return taken, room
+            i = int(largest[np.argmax(score[largest])])
+            taken.append(i)
+            room -= int(s[i])
+            break
+        taken.append(i)
+        room, at = left, at + 1
+    return [int(fits[i]) for i in taken], room
 
 
 def pack_shard(docs: list[np.ndarray], df: np.ndarray, n_all: int, mean_len: float, capacity: int = CAPACITY) -> np.ndarray:
@@ -102,18 +116,21 @@ def pack_shard(docs: list[np.ndarray], df: np.ndarray, n_all: int, mean_len: flo
     size = np.array([len(d) for d in docs], np.int64)
     out = np.zeros(len(docs), np.int64)
     unused = size > 0
-    index, number = None, 0
+    index, number, ids = None, 0, np.arange(len(docs))  # ids: the items that the index holds
     for seed in np.lexsort((np.arange(len(docs)), -size)):
         if not unused[seed]:
             continue
         unused[seed] = False
         out[seed] = number
         room = capacity - int(size[seed])
-        fits = np.flatnonzero(unused & (size <= room))
-        if len(fits):
-            index = index or Index(docs, df, n_all, mean_len)
-            score = index.scores(seed)[fits]
-            got, room = _fill(fits, score, size, room)
+        if index is None:
+            index = Index(docs, df, n_all, mean_len)
+        elif 2 * int(unused[ids].sum()) < len(ids):  # half of it is used up: go on with the rest
+            kept = unused[ids]
+            index, ids = index.only(kept), ids[kept]
+        live = np.flatnonzero(unused[ids] & (size[ids] <= room))
+        if len(live):
+            got, room = _fill(ids[live], index.query(docs[seed])[live], size, room)
             out[got] = number
             unused[got] = False
         number += 1

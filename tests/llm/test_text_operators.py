@@ -65,8 +65,11 @@ def test_retrieval_prefers_shared_words():
 
     docs = [np.array([1, 2, 3, 4] * 5), np.array([9, 8, 7] * 6), np.array([1, 2, 3] * 6), np.array([7, 9] * 5)]
     df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=10)
-    s = packing.Index(docs, df, 4, 15.0).scores(0)
+    index = packing.Index(docs, df, 4, 15.0)
+    s = index.query(docs[0])
     assert s[2] > 0 == s[1] and s[3] == 0
+    rest = index.only(np.array([False, True, True, True])).query(docs[0])
+    assert (rest == s[1:]).all()
     at = packing.pack_shard(docs, df, 4, 15.0, capacity=40)
     assert at[0] == at[2] != at[1]
 
