@@ -527,6 +527,20 @@ def f10(s, d):
 # --- views of one trace, for all traces ----------------------------------------------------------
 
 
+#: ``sh``: canonical texts of the trees, from the deepest level up; all children of a span lie one level below it.
+_SHAPES = """nd AS (SELECT w.trace_id, w.span_id, k.parent_id, w.depth, k.svc || '|' || k.op AS name FROM w JOIN k USING (trace_id, span_id)),
+tx AS (SELECT trace_id, span_id, parent_id, depth, name || '()' AS text FROM nd WHERE depth = (SELECT max(depth) FROM nd)
+       UNION ALL SELECT n.trace_id, n.span_id, any_value(n.parent_id), any_value(n.depth), any_value(n.name) || '(' || coalesce(string_agg(c.text, '' ORDER BY c.text), '') || ')'
+       FROM nd n LEFT JOIN tx c ON c.trace_id = n.trace_id AND c.parent_id = n.span_id WHERE n.depth = (SELECT max(depth) - 1 FROM tx) GROUP BY n.trace_id, n.span_id),
+sh AS (SELECT k.trace_id, md5(coalesce(string_agg(tx.text, '' ORDER BY tx.text), '')) AS shape FROM (SELECT DISTINCT trace_id FROM k) k LEFT JOIN tx ON tx.trace_id = k.trace_id AND tx.depth = 0 GROUP BY k.trace_id)"""
+
+
+@query("ref_f3_shapes", f"{_REC}, {_SHAPES} SELECT trace_id, shape FROM sh")
+def f3(s, d):
+    """Canonical shape of every trace; spans in circles are no part of it."""
+    return fingerprint.fingerprints(spans(s, d)).select("trace_id", "shape")
+
+
 #: Spans on or below a circle: how many different spans the way up from each meets.
 _ROUND = """lo AS (SELECT k.trace_id, k.span_id, k.parent_id FROM k ANTI JOIN w USING (trace_id, span_id)),
 ro AS (SELECT trace_id, span_id, parent_id AS x, [span_id] AS seen FROM lo UNION ALL SELECT ro.trace_id, ro.span_id, lo.parent_id, list_append(ro.seen, lo.span_id) FROM ro JOIN lo ON lo.trace_id = ro.trace_id AND lo.span_id = ro.x WHERE NOT list_contains(ro.seen, ro.x)),
@@ -742,6 +756,12 @@ ro AS (SELECT window_start, service_id, fingerprint, count(*) AS trace_count, CA
 ORACLE["ref_s16_cold_rollups"] = f"WITH {_ROLL} SELECT * FROM ro WHERE window_start >= {_COLD[0]} AND window_start < {_COLD[1]}"
 
 
+ORACLE["ref_f9_topology_cardinality"] = (
+    f"{_REC}, {_SHAPES}, n AS (SELECT trace_id, svc || '|' || op AS name, count(*) AS n, count(*) FILTER (parent_id = '') AS roots FROM k GROUP BY ALL), p AS (SELECT trace_id, sum(roots) AS roots, max(name) FILTER (roots > 0) AS root, sum(n) AS size, md5(string_agg(name || ' ' || n, chr(10) ORDER BY name || ' ' || n)) AS mix FROM n GROUP BY trace_id)"
+    " SELECT CASE WHEN roots = 1 THEN root END AS root, count(*) AS traces, count(DISTINCT CASE WHEN roots = 1 THEN mix END) AS mixes, count(DISTINCT CASE WHEN roots = 1 THEN size END) AS sizes, count(DISTINCT CASE WHEN roots = 1 THEN shape END) AS shapes FROM p JOIN sh USING (trace_id) GROUP BY 1"
+)
+
+
 @query("ref_a7_rollup", f"WITH {_ROLL} SELECT * FROM ro")
 def a7(s, d):
     return rollup.rollups(written(traces(s, d), "traces"))

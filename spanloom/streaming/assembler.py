@@ -86,10 +86,17 @@ def pending_spans(spark: SparkSession, checkpoint: str) -> DataFrame:
     return held.select("trace_id", f"{value}.*")
 
 
+def assembly_ready(spans: DataFrame) -> DataFrame:
+    """One row per span (the last arrival, also where a state holds copies), those with a start of zero or more and such a duration."""
+    cols = [c for c in spans.columns if c not in ("trace_id", "span_id")]
+    last = spans.groupBy("trace_id", "span_id").agg(F.max_by(F.struct(*cols), F.coalesce("arrival", F.lit(-(2**63)))).alias("r")).select("trace_id", "span_id", "r.*")
+    return last.filter("start_time >= 0 and duration >= 0")
+
+
 def assembled(spans: DataFrame, config: Config = Config()) -> DataFrame:
     """Traces of finished spans: the columns of the batch assembly, ``fingerprint``, ``branches`` and ``recursive``."""
     x = spans.withColumn("tags", F.coalesce(F.from_json("tags", "map<string,string>"), F.expr(assembly.NO_TAGS)))
-    x = written(x.filter("start_time is not null and duration >= 0"), "finished-spans")
+    x = written(assembly_ready(x), "finished-spans")
     e = assembly.edges(x).groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("branch_key", "duration_us"))).alias("branches"))
     rec = tree.tree_view(x).groupBy("trace_id").agg(F.bool_or("recursive").alias("recursive"))
     t = written(assembly.assemble(x, config), "assembled").join(fingerprint.fingerprints(x).select("trace_id", "fingerprint"), "trace_id")
