@@ -52,35 +52,34 @@ def valid_spans(spans: DataFrame) -> DataFrame:
 ORDER = ("start_time", "span_id")
 
 
-def _first(value: Column, *before: Column) -> Column:
-    """Value of the first row by (``before``, start_time, span_id)."""
-    return F.min_by(value, F.struct(*[b.alias(f"b{i}") for i, b in enumerate(before)], *ORDER))
-
-
 def assemble(spans: DataFrame, config: Config = Config()) -> DataFrame:
     """One row per trace of ``valid_spans``.
 
     The root is the first span without parent, else the earliest (ties by span id). A grouping value is the root's own, else the first
     other span's that has one. ``service_id`` joins the identity fields. ``end_us`` is at least 0; ``duration_us`` is end minus start."""
     tags, is_child = F.col("tags"), F.col("parent_id") != ""
-    root = lambda c: _first(c, is_child)
     keys = {d: config.keys(d) for d in DIMENSIONS[:-1]} | {"operation": OPERATION_KEYS, "_service_name": SERVICE_NAME_KEYS}
-    found = []
-    for d, ks in keys.items():
-        v = lookup(tags, ks)
-        found += [root(v).alias(f"r_{d}"), F.min_by(F.when(v != "", v), F.when(v != "", F.struct(*ORDER))).alias(f"o_{d}")]
     extra = [f for f in config.identity_fields if f not in (*DIMENSIONS, "service_name", "operation_name")]
+    # all that the root gives is taken together, in one comparison a span
+    root = F.min_by(F.struct("span_id", "service_name", "operation_name", "tags"), F.struct(is_child, *ORDER))
+
+    def other(d: str, ks: list[str]) -> Column:
+        v = lookup(tags, ks)
+        return F.min_by(F.when(v != "", v), F.when(v != "", F.struct(*ORDER))).alias(f"o_{d}")
+
     g = spans.groupBy("trace_id").agg(
         F.count("*").alias("span_count"),
         F.min("start_time").alias("start_us"),
         F.greatest(F.max(F.col("start_time") + F.col("duration")), F.lit(0)).alias("end_us"),
         F.bool_or(status(tags) == "ERROR").alias("has_error"),
-        root(F.col("span_id")).alias("root_span_id"),
-        root(F.col("service_name")).alias("root_service"),
-        root(F.col("operation_name")).alias("root_operation"),
-        *[root(F.coalesce(tags[f], F.lit(""))).alias(f"x_{i}") for i, f in enumerate(extra)],
-        *found,
+        root.alias("_root"),
+        *[other(d, ks) for d, ks in keys.items()],
     )
+    its = F.col("_root.tags")
+    g = g.select(
+        *[c for c in g.columns if c != "_root"], F.col("_root.span_id").alias("root_span_id"), F.col("_root.service_name").alias("root_service"), F.col("_root.operation_name").alias("root_operation"),
+        *[lookup(its, ks).alias(f"r_{d}") for d, ks in keys.items()], *[F.coalesce(its[f], F.lit("")).alias(f"x_{i}") for i, f in enumerate(extra)],
+    )
     some = lambda d: F.coalesce(F.nullif(f"r_{d}", F.lit("")), F.col(f"o_{d}"), F.lit(""))
     dims = {d: some(d) for d in DIMENSIONS[:-1]}
     dims["service_identity"] = F.coalesce(F.nullif(dims["service_identity"], F.lit("")), "root_service")
