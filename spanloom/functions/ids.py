@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 TRACE_DIGITS, SPAN_DIGITS = 32, 16
 
 
+#: What is taken out of a spelling, and what must be left behind as many zeros as an id has digits: zeros, then the digits.
+_EXTRA = r"^[\s\pZ]*0[xX]|[\s\pZ\-]"
+_LEFT = r"^0+([0-9a-fA-F]{%d})$"
+
+
 def _text(c: Column, width: int) -> Column:
     """``width`` hexadecimal digits of either case, or null. Well-formed text takes the short way, without a pattern."""
-    raw = F.regexp_replace(c, r"^[\s\p{Z}]*0[xX]|[\s\p{Z}\-]", "")
-    digits = F.ltrim(raw, F.lit("0"))
-    padded = F.lpad(digits, width, "0")
-    mended = F.when((raw != "") & (F.length(digits) <= width) & F.unhex(padded).isNotNull(), padded)
+    padded = F.concat(F.lit("0" * width), F.regexp_replace(c, _EXTRA, ""))
+    mended = F.nullif(F.regexp_extract(padded, _LEFT % width, 1), F.lit(""))
     return F.when((F.length(c) == width) & F.unhex(c).isNotNull(), c).otherwise(mended)
 
 
@@ -78,11 +81,9 @@ def span_hex(c: Column) -> Column:
 
 
 def text_sql(c: str, width: int) -> str:
-    """``_text`` of the expression ``c``."""
-    raw = f"regexp_replace({c}, r'^[\\s\\pZ]*0[xX]|[\\s\\pZ\\-]', '')"
-    digits = f"ltrim('0', {raw})"
-    padded = f"lpad({digits}, {width}, '0')"
-    mended = f"CASE WHEN {raw} <> '' AND length({digits}) <= {width} AND unhex({padded}) IS NOT NULL THEN {padded} END"
+    """``_text`` of the expression ``c``, for SQL that is formatted once more."""
+    left = (_LEFT % width).replace("{", "{{").replace("}", "}}")
+    mended = f"nullif(regexp_extract(concat('{'0' * width}', regexp_replace({c}, r'{_EXTRA}', '')), r'{left}', 1), '')"
     return f"CASE WHEN length({c}) = {width} AND unhex({c}) IS NOT NULL THEN {c} ELSE {mended} END"
 
 

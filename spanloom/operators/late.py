@@ -33,9 +33,9 @@ def span_copies(spans: DataFrame) -> DataFrame:
         f"""
         SELECT 'spans' AS src, {bits_sql('substring(t, 1, 16)')} AS k1, {bits_sql('substring(t, 17, 16)')} AS k2, {bits_sql('s')} AS k3, event_us, arrival_us, value
         FROM (SELECT {text_sql('trace_id', TRACE_DIGITS)} AS t, {text_sql('span_id', SPAN_DIGITS)} AS s, {event_us_sql('start_time')} AS event_us,
-                     CAST(arrival AS BIGINT) AS arrival_us, CAST(duration AS BIGINT) AS value
+                     CAST(arrival AS BIGINT) AS arrival_us, CAST(duration AS BIGINT) AS value, monotonically_increasing_id() AS once
               FROM {{spans}})
-        WHERE t IS NOT NULL AND s IS NOT NULL
+        WHERE t IS NOT NULL AND s IS NOT NULL AND once >= 0  -- stays above the mending of ids, which would be done twice below
         """,
         spans=spans,
     )

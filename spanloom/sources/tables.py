@@ -22,7 +22,9 @@ def usable_spans(spans: DataFrame, *extra: str) -> DataFrame:
     texts = spans.select(
         trace_text(F.col("trace_id")).alias("_t"), span_text(F.col("span_id")).alias("_s"), span_text(F.col("parent_id")).alias("_p"),
         event_us(F.col("start_time")).alias("event_us"), F.col("arrival").cast("bigint").alias("arrival"), *extra,
-    ).filter("_t is not null and _s is not null")
+        # a number that may not be computed twice keeps the filter where it is: below, it would mend every text again
+        F.monotonically_increasing_id().alias("_once"),
+    ).filter("_t is not null and _s is not null and _once >= 0")
     th, tl = text_bits(F.col("_t"))
     bits = texts.select(th.alias("th"), tl.alias("tl"), F.conv("_s", 16, -10).cast("bigint").alias("s"), F.conv("_p", 16, -10).cast("bigint").alias("p"), "event_us", "arrival", *extra)
     return bits.withColumn("p", F.nullif("p", F.lit(0)))
