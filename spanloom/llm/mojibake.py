@@ -25,7 +25,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from operator import add
 
 import numpy as np
@@ -151,6 +151,11 @@ class Model:
         t = f" {text} ".translate(_DIGITS)
         return sum(map(self.known.__getitem__, map(add, t, t[1:])))
 
+    @cached_property
+    def attested(self) -> frozenset[str]:
+        """Characters of pairs that are not implausible."""
+        return frozenset(c for p, b in self.bits.items() if b < 0.85 * self.unseen for c in p)
+
     def __reduce__(self):
         return _model, (self.bits, self.unseen)
 
@@ -474,7 +479,8 @@ class Repairer:
         if kind == "single" and len(steps) > 1 and len(set(_HIGH.findall(word))) < LETTERS and (deep or not any(c.isascii() and c.isalpha() for c in word)):
             return False
         if kind == "utf-8" and not any(x.partition(">")[0] in MULTI for x in steps):
-            return True
+            # letters alone may be a word that is valid UTF-8 by chance: what comes out must be made of characters of the corpus
+            return not word.isalpha() or all(c.isascii() or c in self.model.attested for c in best)
         kind = "multi" if kind == "utf-8" else kind
         return self._plausible(word, best, kind, len(steps), beside)
 

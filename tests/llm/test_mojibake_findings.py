@@ -60,3 +60,9 @@ def test_copies_do_not_make_garbled_text_plausible(spark):
     got = {r.doc_id: r for r in mojibake.repair(df).collect()}
     assert len(got) == len(rows) and all(got[1000 + i].garbled and got[1000 + i].fixed == " ".join(fr) for i in range(450))
     assert not any(got[i].garbled for i in range(900)) and not got[2000].garbled
+
+
+def test_letters_that_are_utf8_by_chance_are_no_garble():
+    r = _repairer([f"η ομάδα υποστήριξης επαναλαμβάνει το τελευταίο βήμα {i}" for i in range(300)] + ["ΏΡΑΣ ΏΣΠΟΥ"])
+    assert not r.word("ΏΡΑΣ")[3] and not r.word("ΏΣΠΟΥ")[3]
+    assert r.word("ομάδα".encode().decode("latin_1"))[::3] == ("ομάδα", True)
