@@ -506,11 +506,14 @@ class Repairer:
         if got is None:
             best, saved, steps = self._search(word)
             sure = self._sure(word, best, saved, steps)
-            through = self._search(word, deep=True)
-            if through[1] > saved and self._sure(word, *through, deep=True):
-                best, saved, steps, sure = *through, True
-            # a whole word mended to one without an implausible pair has no place left to repair
-            if len(word) > 12 and not (sure and not self._places(best)):
+            # a word mended to one without an implausible pair needs no dearer way and has no place left to repair
+            done = sure and not self._places(best)
+            if not done:
+                through = self._search(word, deep=True)
+                if through[1] > saved and self._sure(word, *through, deep=True):
+                    best, saved, steps, sure = *through, True
+                    done = not self._places(best)
+            if len(word) > 12 and not done:
                 whole, gain, by = self._in_places(word)
                 if by and gain > saved + 2:
                     best, saved, steps, sure = whole, gain, by, True
