@@ -11,7 +11,7 @@ from spanloom.plans.api import Engine
 from spanloom.plans.engine_queries import ASM, FI, K, R, STATUS, traces
 from spanloom.sources.tables import table, usable_spans
 from spanloom.streaming import assembler, files
-from spanloom.workdir import exists, new_path
+from spanloom.workdir import drop, exists, new_path, scratch
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -140,17 +140,27 @@ def z2(s, d):
         F.coalesce("service_name", F.lit("")).alias("service_name"), F.coalesce("event_us", F.lit(-1)).alias("start_time"), none("duration"), "tags", none("arrival"),
     )
     src, log, out = new_path(s, "span-stream"), new_path(s, "span-stream-log"), new_path(s, "stream-traces")
-    rows.withColumn("ts", F.timestamp_micros("start_time")).write.parquet(src)
+    rows.withColumn("ts", F.timestamp_micros("start_time")).write.option("compression", "zstd").parquet(src)
     schema = s.read.parquet(src).schema
-    before = s.conf.get(_PROVIDER, None)
-    s.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # the shuffles of a step go with it: they would lie beside those of all later steps
+    conf = {_PROVIDER: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: s.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        s.conf.set(k, v)
     try:
         stream = assembler.as_stored(files.new_files(s, src, schema, per_trigger=1 << 30)).withWatermark("ts", "1 hour")
         put = files.upsert_into(out, "trace_id", "span_count")
-        q = assembler.completed_spans(stream, event_time=True).writeStream.foreachBatch(lambda b, i: put(assembler.assembled(b), i)).outputMode("append").option("checkpointLocation", log).trigger(availableNow=True).start()
+
+        def sink(spans, i, unique=True):
+            with scratch(s):
+                put(assembler.assembled(spans, unique=unique), i)
+
+        q = assembler.completed_spans(stream, event_time=True).writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", log).trigger(availableNow=True).start()
         q.awaitTermination()
-        put(assembler.assembled(assembler.pending_spans(s, log)), 1_000_000)
+        drop(s, src)
+        sink(assembler.pending_spans(s, log), 1_000_000, False)
     finally:
-        s.conf.set(_PROVIDER, before) if before else s.conf.unset(_PROVIDER)
+        for k, v in before.items():
+            s.conf.set(k, v) if v else s.conf.unset(k)
     x = files.latest(s, out, "trace_id", "span_count")
     return x.select("trace_id", "service_id", "root_span_id", "span_count", "start_us", "end_us", "duration_us", "has_error")

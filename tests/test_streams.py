@@ -103,6 +103,29 @@ def test_event_time_assembly_and_flush(rocks, tmp_path):
     _same(held, _batch(rocks, late))
 
 
+def test_a_bucket_of_traces_is_one_key(rocks, tmp_path):
+    """Due traces leave, the others of their bucket stay open; the state has an entry a bucket and micro-batch, not one a span."""
+    src, cp = str(tmp_path / "in"), str(tmp_path / "cp")
+    at = lambda t, s, n, arrival: (t, s, "", "op", "svc", BASE + n * 1_000_000, 5, None, arrival)
+    due, later = [at(f"a{i}", f"s{j}", i + j, 1) for i in range(50) for j in range(2)], [at(f"b{i}", "s0", 100 + i, 1) for i in range(50)]
+    last = [at("b7", "s0", 107, 2), at("b7", "s1", 250, 2), at("c", "s0", 300, 1)]
+    for i, rows in enumerate((due + later, last)):
+        rocks.createDataFrame(rows, COLS).coalesce(1).write.parquet(f"{src}/f{i}")
+    stream = assembler.as_stored(files.new_files(rocks, f"{src}/*", rocks.createDataFrame([], COLS).schema, per_trigger=1)).withColumn("ts", F.timestamp_micros("start_time")).withWatermark("ts", "1 minute")
+    seen = []
+    q = assembler.completed_spans(stream, event_time=True).writeStream.foreachBatch(lambda b, i: seen.extend(b.collect())).outputMode("append").option("checkpointLocation", cp).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert not q.exception() and sorted((r.trace_id, r.span_id) for r in seen) == sorted((r[0], r[1]) for r in due)
+    held = assembler.pending_spans(rocks, cp).collect()
+    assert sorted((r.trace_id, r.span_id, r.arrival) for r in held) == sorted((r[0], r[1], r[8]) for r in later + last)
+
+    cp = str(tmp_path / "one")
+    q = assembler.completed_spans(stream, event_time=True, buckets=1).writeStream.foreachBatch(lambda b, i: b.collect() and None).outputMode("append").option("checkpointLocation", cp).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert not q.exception() and assembler.pending_spans(rocks, cp).count() == len(later + last)
+    assert 1 <= rocks.read.format("statestore").option("path", cp).option("stateVarName", "spans").load().count() <= 2
+
+
 def test_rollup_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = [("s", "f", 10 * i, 1_718_000_000 + 400 * i) for i in range(12)] + [("s", "f", 1, 1_718_100_000)]
